@@ -31,6 +31,8 @@ def split_lines(text: str | Column) -> Column:
     ``\n``, ``\r\n`` and ``\r`` end a line, an unterminated last line counts
     and an empty text has no line.
     """
-    parts = F.split(_col(text), r"\r\n|\r|\n")
-    ends_blank = F.element_at(parts, -1) == ""
-    return F.when(ends_blank, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    s = _col(text)
+    # Plain replacements first: splitting at one character needs no regex engine.
+    unix = F.replace(F.replace(s, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    lines = F.split(F.regexp_replace(unix, r"\n\z", ""), "\n")
+    return F.when(s != "", lines).otherwise(F.array().cast("array<string>"))

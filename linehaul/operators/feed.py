@@ -11,39 +11,25 @@ from linehaul.functions.ids import with_uuid
 from linehaul.functions.times import format_epoch_ms
 
 _CORRUPT = "_corrupt"
-_CSV = {
-    "sep": ",",
-    "quote": '"',
-    "escape": '"',
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": _CORRUPT,
-}
+_CSV = f"map('sep', ',', 'quote', '\"', 'escape', '\"', 'columnNameOfCorruptRecord', '{_CORRUPT}')"
 # Numeric fields in the order in which a bad one is reported.
 _NUMERIC = ["ts", "speed", "dist", "bearing", "rtid", "secstodep", "longitude", "latitude"]
-_PARSED = [
-    *[n for n, _ in S.FEED_FIELDS],
-    "longitude",
-    "latitude",
-    "reject_reason",
-]
+_HASHES = [n for n, _ in S.FEED_FIELDS[S.N_BASE :]]
+_PARSED = [*[n for n, _ in S.FEED_FIELDS], "longitude", "latitude", "reject_reason"]
 
 
-def _field_count(line: Column) -> Column:
-    """Fields of a line, commas inside quotes not counted."""
-    return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ","))
+def _fewer_than(n: int, line: str) -> str:
+    """SQL telling whether the line has fewer than n fields.
 
-
-def _fewer_than(n: int, line: Column) -> Column:
-    """True where the line has fewer than n fields.
-
-    The CSV reader returns null for an empty field and for a missing one; it
+    The CSV parser gives null for an empty field and for a missing one; it
     marks the line when the count is not 15. Only a marked line whose n-th
-    field is null needs its fields counted.
+    field is null needs its fields counted, commas inside quotes left out.
     """
-    nth = F.col(S.FEED_FIELDS[n - 1][0])
-    blank = line.isNull() | (line == "")
-    unclear = F.col(_CORRUPT).isNotNull() & nth.isNull()
-    return F.when(blank, True).when(unclear, _field_count(line) < n).otherwise(False)
+    nth = S.FEED_FIELDS[n - 1][0]
+    count = f"""size(split(regexp_replace({line}, '"[^"]*"', ''), ','))"""
+    return f"""CASE WHEN {line} IS NULL OR {line} = '' THEN true
+        WHEN {_CORRUPT} IS NOT NULL AND {nth} IS NULL THEN {count} < {n}
+        ELSE false END"""
 
 
 def parse_feed(
@@ -65,56 +51,42 @@ def parse_feed(
         raise ValueError("id_type must be 'string' or 'bigint'")
     if mode not in ("rejects", "failfast"):
         raise ValueError("mode must be 'rejects' or 'failfast'")
+    kept = [f"`{c}`" for c in df.columns if c != line]
+    taken = {c.strip("`") for c in kept} & {*_PARSED, _CORRUPT}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are names of the feed; rename them first")
+    line = f"`{line}`"
     types = {n: t.simpleString() for n, t in S.FEED_FIELDS} | {"planeid": id_type}
     schema = ", ".join(f"{n} {t}" for n, t in types.items()) + f", {_CORRUPT} string"
-    text = F.col(line)
 
-    kept = [c for c in df.columns if c != line]
     # A generator keeps the parse in one place: filters and projections on its
     # output are not merged into it, so each line is parsed exactly once.
-    fields = df.select(*kept, line, F.inline(F.array(F.from_csv(text, schema, _CSV))))
-
-    typed = fields.select(
-        *kept,
-        line,
-        *[c for c in types if c not in _strings(id_type)],
-        # An empty field is an empty text, not a missing one.
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in _base_strings(id_type)],
-        *[_hash_field(c, i, text) for i, c in _hash_columns()],
-        F.expr("try_cast(lon_token AS double)").alias("longitude"),
-        F.expr("try_cast(lat_token AS double)").alias("latitude"),
-        _fewer_than(S.N_FULL if hashes else S.N_BASE, text).alias("_short"),
-    )
+    fields = df.selectExpr(*kept, line, f"inline(array(from_csv({line}, '{schema}', {_CSV})))")
+
+    # An empty text field is an empty text, not a missing one; a hash field is
+    # missing when the line ends before it.
+    column = {n: n for n in types}
+    for n in ["orig", "dest"] + (["planeid"] if id_type == "string" else []):
+        column[n] = f"coalesce({n}, '')"
+    for i, n in enumerate(_HASHES, start=S.N_BASE + 1):
+        column[n] = f"coalesce({n}, CASE WHEN NOT {_fewer_than(i, line)} THEN '' END)"
+    column["longitude"] = "try_cast(lon_token AS double)"
+    column["latitude"] = "try_cast(lat_token AS double)"
+
+    short = _fewer_than(S.N_FULL if hashes else S.N_BASE, line)
     numeric = (["planeid"] if id_type == "bigint" else []) + _NUMERIC
-    reason = F.when(F.col("_short"), "too_few_fields")
-    for c in numeric:
-        reason = reason.when(F.col(c).isNull(), f"bad_{c}")
+    reasons = [f"WHEN {short} THEN 'too_few_fields'"]
+    reasons += [f"WHEN {n} IS NULL THEN 'bad_{n}'" for n in numeric]
+    reason = f"CASE {' '.join(reasons)} END"
     if mode == "failfast":
-        failed = F.raise_error(F.concat_ws(": ", reason, text)).cast("string")
-        reason = F.when(reason.isNotNull(), failed)
-    parsed = typed.withColumn("reject_reason", reason)
-    return parsed.select(*kept, line, *_PARSED)
-
-
-def _hash_columns() -> list[tuple[int, str]]:
-    return [(i, n) for i, (n, _) in enumerate(S.FEED_FIELDS) if i >= S.N_BASE]
-
+        reason = f"if({reason} IS NULL, NULL, raise_error(concat_ws(': ', {reason}, {line})))"
+    column["reject_reason"] = f"cast({reason} AS string)"
+    return fields.selectExpr(*kept, line, *[f"{sql} AS {n}" for n, sql in column.items()])
 
-def _base_strings(id_type: str) -> list[str]:
-    return (["planeid"] if id_type == "string" else []) + ["orig", "dest"]
 
-
-def _strings(id_type: str) -> list[str]:
-    return _base_strings(id_type) + [n for _, n in _hash_columns()]
-
-
-def _hash_field(name: str, index: int, line: Column) -> Column:
-    """A hash field: empty text when it is there but empty, null when the line ends before it."""
-    return F.coalesce(F.col(name), F.when(~_fewer_than(index + 1, line), "")).alias(name)
-
-
-def good_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+def good_rows(parsed: DataFrame, line: str = "line") -> DataFrame:
+    """The typed rows, without the line they came from."""
+    return parsed.filter(F.col("reject_reason").isNull()).drop("reject_reason", line)
 
 
 def rejected_rows(parsed: DataFrame, line: str = "line") -> DataFrame:
@@ -260,18 +232,15 @@ def to_documents(
 def is_json_document(value: str | Column) -> Column:
     """True where the text is exactly one JSON value.
 
-    The variant parser is strict about the value but stops at its end; the
-    array and object wrappings catch anything that follows it.
+    The variant parser is strict but stops at the end of the first value. In an
+    array that also holds a hash of the text, anything after that value either
+    breaks the array or moves the hash from second place.
     """
     value = F.col(value) if isinstance(value, str) else value
-    in_array = F.concat(F.lit("["), value, F.lit("]"))
-    in_object = F.concat(F.lit('{"v":'), value, F.lit("}"))
-    return F.coalesce(
-        F.try_parse_json(value).isNotNull()
-        & (F.json_array_length(in_array) == 1)
-        & F.json_object_keys(in_object).isNotNull(),
-        F.lit(False),
-    )
+    mark = F.xxhash64(value)
+    pair = F.concat(F.lit("["), value, F.lit(","), mark.cast("string"), F.lit("]"))
+    second = F.try_variant_get(F.try_parse_json(pair), "$[1]", "bigint")
+    return F.coalesce(second == mark, F.lit(False))
 
 
 def json_lines(df: DataFrame, value: str = "line") -> DataFrame:

@@ -19,6 +19,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when their files are too few to do that by themselves.
+
+    A file of one row group is one task however many cores there are. Data of
+    some size has more splits than cores and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 # One feed line per event. Every event gives a line: those whose number divides
 # by 97 carry a broken time and those by 101 are cut after five fields, so that
 # there are lines to reject.
@@ -48,7 +58,7 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = list(_TOKENS.values())
     whole, short = (f"concat_ws(',', {', '.join(t)})" for t in (tokens, tokens[:5]))
     return (
-        events(spark, sf_dir)
+        spread(events(spark, sf_dir).drop("props"))
         .withColumn("frac", F.expr(_FRAC))
         .select("event_id", F.expr(f"if(event_id % 101 = 0, {short}, {whole})").alias("line"))
     )
@@ -64,6 +74,7 @@ def good_feed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str, file_column: str) -> DataFrame:
     """``(file, line)`` of the documents, each document's whole text cut into lines."""
-    return table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents").select(file_column, "text")
+    return spread(documents).select(
         F.col(file_column).alias("file"), F.explode(split_lines("text")).alias("line")
     )
