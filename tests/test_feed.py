@@ -1,0 +1,278 @@
+from __future__ import annotations
+
+import csv
+import io
+import json
+import random
+from datetime import datetime
+
+import pytest
+from conftest import LINE1, LINE2
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from linehaul import schemas as S
+from linehaul.operators import feed as feed_ops
+from linehaul.operators.feed import (
+    copy_line,
+    good_rows,
+    is_json_document,
+    json_lines,
+    parse_feed,
+    rejected_rows,
+    to_copy_rows,
+    to_documents,
+    to_planes12,
+    to_planes16,
+    to_planes18,
+)
+
+BASE = LINE1.rsplit(",", 4)[0]
+
+
+def reasons(parsed):
+    return {r.n: r.reject_reason for r in parsed.select("n", "reject_reason").collect()}
+
+
+def test_literal_lines_give_typed_values(feed):
+    a, b = good_rows(parse_feed(feed(LINE1, LINE2), hashes=True)).orderBy("n").collect()
+    assert a.planeid == "0" and a.ts == 1506957079575 and a.speed == 240.25
+    assert a.dist == 5024.32 and a.bearing == -70.72 and a.rtid == 1 and a.secstodep == -1
+    assert a.orig == "Mielec Airport" and a.dest == "Frank Pais International Airport"
+    assert (a.longitude, a.latitude) == (-31.88592, 49.21297)
+    assert (a.geohash, a.sqrhash, a.pntytrihash, a.flattrihash) == ("AAA", "BBB", "CCC", "DDD")
+    assert (b.longitude, b.latitude) == (160.948738273412, 67.805666315828)
+    assert b.flattrihash == "BCFBCGFBBACFBBCFBCGEEGFABBBCEG"
+
+
+def test_reject_reasons(feed):
+    def broken(i, token):
+        fields = LINE1.split(",")
+        fields[i] = token
+        return ",".join(fields)
+
+    lines = {
+        LINE1: None,
+        BASE: None,
+        LINE1 + ",extra": None,
+        broken(1, "bad"): "bad_ts",
+        broken(1, " 5"): "bad_ts",
+        broken(1, "5.5"): "bad_ts",
+        broken(2, ""): "bad_speed",
+        broken(3, "x"): "bad_dist",
+        broken(4, '""'): "bad_bearing",
+        broken(5, "99999999999"): "bad_rtid",
+        broken(8, "1.0"): "bad_secstodep",
+        broken(9, "east"): "bad_longitude",
+        broken(10, ""): "bad_latitude",
+        broken(5, '"7"'): None,
+        "1,2,3,4,5,6,7,8": "too_few_fields",
+        "bad,bad": "too_few_fields",
+        "": "too_few_fields",
+        "   ": "too_few_fields",
+        BASE.rsplit(",", 1)[0]: "too_few_fields",
+        BASE.rsplit(",", 1)[0] + ",": "bad_latitude",
+    }
+    got = reasons(parse_feed(feed(*lines)))
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+    assert reasons(parse_feed(feed(None))) == {0: "too_few_fields"}
+
+
+def test_shapes_with_hashes_need_all_fields(feed):
+    lines = {
+        LINE1: None,
+        BASE: "too_few_fields",
+        BASE + ",a,b,c": "too_few_fields",
+        BASE + ",a,b,c,": None,
+        BASE + ",a,,,d": None,
+        BASE + ",,,,": None,
+        BASE + ",a,b,c,,more": None,
+    }
+    parsed = parse_feed(feed(*lines), hashes=True)
+    got = reasons(parsed)
+    assert [got[i] for i in range(len(lines))] == list(lines.values())
+    rows = {r.n: r for r in parsed.collect()}
+    assert rows[3].flattrihash == "" and rows[4].sqrhash == "" and rows[6].flattrihash == ""
+    assert rows[2].pntytrihash == "c" and rows[2].flattrihash is None
+
+
+def test_quotes_and_raw_tokens(feed):
+    line = '5,1,1.0,2.0,3.0,4,"Mie ""x"" lec, A",B,-1,-31.885920,+49.10,"g,1",,"",z'
+    rows = good_rows(parse_feed(feed(line), hashes=True))
+    r = rows.first()
+    assert r.orig == 'Mie "x" lec, A' and r.dest == "B"
+    assert (r.geohash, r.sqrhash, r.pntytrihash, r.flattrihash) == ("g,1", "", "", "z")
+    assert to_planes12(rows, id_from="uuid").first().geometry == "POINT (-31.885920 +49.10)"
+
+
+def test_numeric_plane_id(feed):
+    parsed = parse_feed(feed(LINE1, "x" + LINE1), id_type="bigint")
+    assert dict(parsed.dtypes)["planeid"] == "bigint"
+    assert reasons(parsed) == {0: None, 1: "bad_planeid"}
+
+
+def test_failfast_stops_the_job(feed):
+    assert parse_feed(feed(LINE1), mode="failfast").count() == 1
+    with pytest.raises(PySparkException, match="bad_ts: 0,bad"):
+        parse_feed(feed(LINE1, LINE1.replace("1506957079575", "bad")), mode="failfast").collect()
+
+
+def test_column_names_of_the_feed_are_refused(feed):
+    with pytest.raises(ValueError, match="ts"):
+        parse_feed(feed(LINE1).withColumnRenamed("n", "ts"))
+    with pytest.raises(ValueError):
+        parse_feed(feed(LINE1), mode="lenient")
+    with pytest.raises(ValueError):
+        parse_feed(feed(LINE1), id_type="uuid")
+
+
+def test_each_line_is_parsed_once(feed):
+    rows = good_rows(parse_feed(feed(LINE1))).filter("speed > 10").select("ts", "orig")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_csv") == 1
+    assert "PythonUDF" not in plan and "Exchange" not in plan
+
+
+def csv_oracle(line):
+    """(kept, planeid, orig, lon text) as a plain CSV reader sees the line."""
+    rows = list(csv.reader(io.StringIO(line)))
+    f = rows[0] if rows else []
+    try:
+        if len(f) < 11:
+            raise ValueError
+        for i, cast in [(1, int), (5, int), (8, int)] + [(i, float) for i in (2, 3, 4, 9, 10)]:
+            if f[i] != f[i].strip():
+                raise ValueError
+            cast(f[i])
+    except ValueError:
+        return None
+    return f[0], f[6], f[9]
+
+
+def test_random_lines_against_a_plain_reader(feed):
+    rng = random.Random(7)
+    texts = ["", "A", '"A, B"', '"q ""x"" y"', '""', '"a""b"', "é ü", '",,,"']
+    numbers = ["1", "-1", "0", "", "x", "12345"]
+    doubles = ["1.5", "-0.10", "2", "", "1e3", "y"]
+    lines = []
+    for _ in range(3000):
+        numeric = lambda good: rng.choice(good) if rng.random() < 0.05 else good[0]
+        f = [rng.choice(texts), numeric(numbers), *(numeric(doubles) for _ in range(3))]
+        f += [numeric(numbers), rng.choice(texts), rng.choice(texts), numeric(numbers)]
+        f += [numeric(doubles), numeric(doubles), *(rng.choice(texts) for _ in range(4))]
+        lines.append(",".join(f[: rng.choice([15, 15, 15, 15, 11, 10, 6, 14])]))
+    parsed = parse_feed(feed(*lines))
+    got = {r.n: r for r in parsed.collect()}
+    for i, line in enumerate(lines):
+        want = csv_oracle(line)
+        r = got[i]
+        assert (r.reject_reason is None) == (want is not None), (line, r.reject_reason)
+        if want:
+            assert (r.planeid, r.orig, r.lon_token) == want, line
+    assert good_rows(parsed).count() + rejected_rows(parsed).count() == len(lines)
+
+
+def test_planes12_by_name(spark, feed):
+    rows = to_planes12(good_rows(parse_feed(feed(LINE1), id_type="bigint")))
+    assert rows.dtypes == [(f.name, f.dataType.simpleString()) for f in S.planes12()]
+    r = rows.first()
+    assert (r.id, r.lon, r.lat) == (0, -31.88592, 49.21297)
+    assert r.ts == datetime.fromtimestamp(1506957079.575)
+    assert r.geometry == "POINT (-31.88592 49.21297)"
+
+
+def test_planes12_ingest_time_and_uuid(feed):
+    before = datetime.now()
+    rows = to_planes12(good_rows(parse_feed(feed(LINE1, LINE2))), "uuid", ts_mode="ingest")
+    got = rows.collect()
+    assert len({r.id for r in got}) == 2 and all(len(r.id) == 36 for r in got)
+    assert all(before <= r.ts <= datetime.now() for r in got)
+    with pytest.raises(ValueError):
+        to_planes12(rows, "line")
+    with pytest.raises(ValueError):
+        to_planes12(rows, ts_mode="never")
+
+
+def test_planes16_and_planes18(feed):
+    rows = good_rows(parse_feed(feed(LINE1), hashes=True))
+    assert to_planes16(rows).schema.names == S.PLANES16.names
+    r = to_planes18(rows.withColumn("objectid", F.lit(7))).first()
+    assert (r.objectid, r.plane_id) == (7, "0")
+    assert (r.geometry.lon, r.geometry.lat) == (r.lon, r.lat) == (-31.88592, 49.21297)
+    assert r.esri_geohash_pointytriangle_102100_30 == "CCC" and len(r.globalid) == 36
+
+
+def test_copy_rows(feed):
+    rows = good_rows(parse_feed(feed(LINE1), hashes=True))
+    r = to_copy_rows(rows).first()
+    assert r.ts == "2017-10-02 15:11:19.575"
+    assert r.geometry == "SRID=4326;POINT (-31.88592 49.21297)"
+    g = to_copy_rows(rows, with_globalid=True)
+    assert g.schema.names == S.COPY16_GLOBAL.names
+    assert g.first().esri_geohash_pointytriangle_102100_26 == "CCC"
+
+
+def test_copy_line_quotes_text_and_marks_null(feed):
+    line = '5,0,1.0,2.0,3.0,4,"a ""b"", c",null,-1,1.50,2.0,g,s,p,f'
+    rows = good_rows(parse_feed(feed(line), hashes=True)).withColumn("id", F.lit("ID"))
+    rows = rows.withColumn("geohash", F.lit(None).cast("string"))
+    text = copy_line(to_copy_rows(rows)).first().copy_line
+    assert text == (
+        'ID,"1970-01-01 00:00:00.000",1.0,2.0,3.0,4,"a ""b"", c","null",-1,1.5,2.0,'
+        'null,"s","p","f","SRID=4326;POINT (1.50 2.0)"'
+    )
+
+
+@pytest.mark.parametrize("hashes", [False, True])
+@pytest.mark.parametrize("agg", [False, True])
+def test_documents(feed, hashes, agg):
+    quoted = LINE2.replace("Cozumel", 'Co""z""umel')
+    rows = good_rows(parse_feed(feed(LINE1, quoted), hashes=True))
+    docs = to_documents(rows.withColumn("objectid", F.col("n") + 1), hashes, agg)
+    a, b = sorted((json.loads(r.document) for r in docs.collect()), key=lambda d: d["objectid"])
+    names = [
+        "objectid", "globalid", "planeid", "ts", "speed", "dist", "bearing", "rtid", "orig",
+        "dest", "secsToDep", "longitude", "latitude",
+    ]
+    names += ["square", "pointy", "flat"] if hashes else []
+    names += ["---geo_hash---"] if agg else []
+    assert list(a) == names + ["geometry"]
+    assert a["geometry"] == [-31.88592, 49.21297] and a["ts"] == 1506957079575
+    assert a["planeid"] == "0" and a["secsToDep"] == -1
+    if hashes:
+        assert (a["square"], a["pointy"], a["flat"]) == ("BBB", "CCC", "DDD")
+    if agg:
+        assert a["---geo_hash---"] == a["geometry"]
+    assert b["orig"] == 'Co"z"umel International Airport'
+    columns = to_documents(rows.withColumn("objectid", F.lit(1)), hashes, agg, as_text=False)
+    assert columns.columns == names + ["geometry"]
+
+
+def test_json_lines(spark):
+    cases = {
+        '{"a":1}': True,
+        ' {"a":[1,{"b":null}]} ': True,
+        '{"a":': False,
+        "": False,
+        "  ": False,
+        '{"a":1} xyz': False,
+        '{"a":1},{"b":2}': False,
+        '{"a":1}],[': False,
+        "1],[2": False,
+        '{"a":NaN}': False,
+        "{'a':1}": False,
+        '"x"': True,
+        None: False,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "line string")
+    got = {r.line: r.valid for r in json_lines(df).collect()}
+    assert got == cases
+    assert df.filter(is_json_document("line")).count() == 3
+
+
+def test_no_python_in_the_row_path(feed):
+    rows = good_rows(parse_feed(feed(LINE1), hashes=True)).withColumn("objectid", F.lit(1))
+    for shaped in (to_documents(rows), to_copy_rows(rows), to_planes16(rows), to_planes18(rows)):
+        plan = shaped._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and plan.count("from_csv") == 1
+    assert feed_ops._fewer_than(11, "line").count("split") == 1
