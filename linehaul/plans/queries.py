@@ -184,7 +184,9 @@ def topic_running_total(spark: SparkSession, sf: str) -> DataFrame:
     )
     counted = counts.batch_counts(messages, "batch")
     first, last = messages.agg(F.min("batch"), F.max("batch")).first()
-    return counts.running_total(counts.with_empty_batches(counted, first, last))
+    if first is not None:
+        counted = counts.with_empty_batches(counted, first, last)
+    return counts.running_total(counted)
 
 
 def union_topics(spark: SparkSession, sf: str) -> DataFrame:

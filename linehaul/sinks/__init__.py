@@ -1,4 +1,12 @@
-from .tables import append, conform, recreate, write_batch_once, write_chunked, write_clustered
+from .tables import (
+    append,
+    conform,
+    read_keyed,
+    recreate,
+    write_batch_once,
+    write_chunked,
+    write_clustered,
+)
 from .targets import Target, cassandra, elasticsearch, files, postgres, topic, write, writer_to
 
 __all__ = [
@@ -9,6 +17,7 @@ __all__ = [
     "elasticsearch",
     "files",
     "postgres",
+    "read_keyed",
     "recreate",
     "topic",
     "write",

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from linehaul.functions.times import WEEK_US
-from linehaul.operators.keyed import clustered, with_chunk
+from linehaul.operators.keyed import clustered, latest_by_key, with_chunk
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -64,6 +64,17 @@ def write_clustered(
     )
 
 
+def read_keyed(
+    spark: SparkSession, path: str, keys: list[str], arrival: str | Column
+) -> DataFrame:
+    """The current rows of a table that is only ever appended to.
+
+    Writing stays a plain append; a later row of the same key hides the earlier
+    one when the table is read.
+    """
+    return latest_by_key(spark.read.parquet(path), keys, arrival)
+
+
 def write_batch_once(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
     """Write a micro-batch to a folder of its own, replacing what a failed try left there."""
     df.write.format(fmt).mode("overwrite").save(f"{path}/batch_id={batch_id}")
