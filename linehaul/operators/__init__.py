@@ -9,6 +9,7 @@ from .counts import (
 from .feed import (
     copy_line,
     document_struct,
+    documents_from_json,
     good_rows,
     is_json_document,
     json_lines,
@@ -39,6 +40,7 @@ __all__ = [
     "count_lines",
     "count_lines_by_file",
     "document_struct",
+    "documents_from_json",
     "good_rows",
     "in_time_range",
     "is_json_document",

@@ -48,7 +48,9 @@ def running_total(
     )
     return (
         counts.withColumn("_within", F.sum(n).over(so_far))
-        .join(blocks, "_block")
+        # An outer join puts no condition on the counts, so that both uses of
+        # them have the same plan and the counting runs once.
+        .join(blocks, "_block", "left")
         .withColumn(total, F.col("_before") + F.col("_within"))
         .drop("_block", "_within", "_before")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from linehaul import schemas as S
 from linehaul.functions.geo import ewkt_point, geo_array, point_struct, wkt_point
@@ -243,6 +244,16 @@ def is_json_document(value: str | Column) -> Column:
     return F.coalesce(second == mark, F.lit(False))
 
 
+def documents_from_json(df: DataFrame, schema: StructType, value: str = "line") -> DataFrame:
+    """JSON lines as columns, for a document target that takes rows.
+
+    The schema is given: working it out would be a pass of its own over all lines.
+    """
+    text = F.col(value)
+    valid = df.filter(is_json_document(text))
+    return valid.select(F.inline(F.array(F.from_json(text, schema))))
+
+
 def json_lines(df: DataFrame, value: str = "line") -> DataFrame:
     """Pass lines through untouched, with ``valid`` telling documents from broken lines."""
     return df.withColumn("valid", is_json_document(value))

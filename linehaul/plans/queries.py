@@ -255,19 +255,19 @@ def cluster_by_id_ts_desc(spark: SparkSession, sf: str) -> DataFrame:
     path = new_work_folder(spark, "clustered")
     rows = events(spark, sf).select("user_id", "ts", "event_id")
     tables.write_clustered(rows, path, "user_id", "ts", ["event_id"])
-    name = F.col("_metadata.file_name")
     stored = spark.read.parquet(path).select(
         "user_id",
         "event_id",
-        F.regexp_extract(name, r"^part-(\d+)", 1).cast("int").alias("file"),
+        F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.row_index").alias("row"),
     )
     # One row per user and file, so even a very frequent user is a short list here.
     runs = stored.groupBy("user_id", "file").agg(
         F.count(F.lit(1)).alias("n"), F.min("row").alias("first_row")
     )
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("int")
     earlier = (
-        Window.partitionBy("user_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("user_id").orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     )
     runs = runs.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     rank = F.col("before") + F.col("row") - F.col("first_row") + 1

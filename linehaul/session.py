@@ -5,12 +5,16 @@ from __future__ import annotations
 import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
 log = logging.getLogger("linehaul")
 
 _local_root: str | None = None
+_scope: ContextVar[list[str] | None] = ContextVar("linehaul_work_scope", default=None)
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -39,7 +43,29 @@ def work_root(spark: SparkSession) -> str:
 
 def new_work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path (not yet created) below the work root."""
-    return f"{work_root(spark)}/linehaul/{purpose}-{uuid.uuid4().hex}"
+    path = f"{work_root(spark)}/linehaul/{purpose}-{uuid.uuid4().hex}"
+    made = _scope.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the work folders made inside the block when it ends.
+
+    Frames that read staged rows must be written out before that. Without a
+    scope the folders stay, since a returned frame may be read at any time.
+    """
+    token = _scope.set([])
+    try:
+        yield
+    finally:
+        made = _scope.get()
+        _scope.reset(token)
+        for path in made:
+            fs, p = hadoop_path(spark, path)
+            fs.delete(p, True)
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from linehaul.session import log
+from linehaul.session import log, work_scope
 
 OBSERVED = "linehaul_batch"
 DROPPED_SCHEMA = "batch_id long, error string"
@@ -26,6 +26,9 @@ def run_stream(
 ) -> StreamingQuery:
     """Start a query that calls ``action(batch, batch_id)`` for every micro-batch.
 
+    The action writes the batch before it returns; folders that were staged for
+    it are removed then.
+
     ``trigger`` holds the arguments of Spark's trigger, one second of
     processing time by default. With ``on_error='fail'`` an error stops the
     query and a restart from the checkpoint repeats the batch; with ``'drop'``
@@ -41,7 +44,8 @@ def run_stream(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         try:
-            action(batch, batch_id)
+            with work_scope(spark):
+                action(batch, batch_id)
         except Exception as e:  # any failure of the batch is the policy's business
             if on_error == "fail":
                 raise

@@ -15,6 +15,7 @@ from linehaul import schemas as S
 from linehaul.operators import feed as feed_ops
 from linehaul.operators.feed import (
     copy_line,
+    documents_from_json,
     good_rows,
     is_json_document,
     json_lines,
@@ -270,6 +271,15 @@ def test_json_lines(spark):
     assert df.filter(is_json_document("line")).count() == 3
 
 
+def test_documents_from_json_lines(spark, feed):
+    rows = good_rows(parse_feed(feed(LINE1, LINE2), hashes=True)).withColumn("objectid", F.col("n"))
+    texts = to_documents(rows).withColumnRenamed("document", "line")
+    broken = spark.createDataFrame([('{"objectid":',)], "line string")
+    docs = documents_from_json(texts.union(broken), S.document(True))
+    a, b = docs.orderBy("objectid").collect()
+    assert a.square == "BBB" and a.geometry == [-31.88592, 49.21297] and b.rtid == 2
+
+
 def test_no_python_in_the_row_path(feed):
     rows = good_rows(parse_feed(feed(LINE1), hashes=True)).withColumn("objectid", F.lit(1))
     for shaped in (to_documents(rows), to_copy_rows(rows), to_planes16(rows), to_planes18(rows)):

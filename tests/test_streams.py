@@ -21,6 +21,7 @@ from linehaul.operators.feed import (
     to_planes18,
 )
 from linehaul.operators.relay import relay_messages, union_streams
+from linehaul.session import hadoop_path, new_work_folder
 from linehaul.sinks import files, write_batch_once, writer_to
 from linehaul.sources.lines import read_line_stream, read_lines
 from linehaul.sources.topics import read_topic, topic_options, values
@@ -290,6 +291,27 @@ def test_objectids_go_on_and_repeat_on_retry(spark, folder, tmp_path):
     assert len([n for n in os.listdir(ledger) if n.startswith("batch_id=")]) == 2
 
 
+def test_staged_rows_of_a_batch_are_removed(spark, folder, tmp_path):
+    three_files(folder)
+    made = []
+
+    def action(batch, batch_id):
+        made.append(new_work_folder(spark, "test"))
+        batch.write.parquet(made[-1])
+        if batch_id == 1:
+            raise RuntimeError("after staging")
+
+    stream = read_line_stream(spark, str(folder), files_per_batch=1)
+    query = run_stream(stream, action, str(tmp_path / "cp"), NOW, on_error="drop")
+    query.awaitTermination()
+    assert len(made) == 3
+    for path in made:
+        fs, p = hadoop_path(spark, path)
+        assert not fs.exists(p)
+    fs, p = hadoop_path(spark, new_work_folder(spark, "kept"))
+    assert not fs.exists(p)
+
+
 def test_topic_options():
     o = topic_options("b:9092", "a,b", "earliest", "g", 16, {"failOnDataLoss": "false"})
     assert o == {
