@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linehaul.session import new_work_folder
@@ -49,20 +50,19 @@ def with_objectid(
     if order_by:
         df = df.orderBy(*order_by)
     place = F.monotonically_increasing_id()
-    staged = new_work_folder(spark, "objectid")
-    df.select(
+    numbered = df.select(
         "*",
         F.shiftright(place, _POSITION_BITS).cast("int").alias("_task"),
         place.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).alias("_place"),
-    ).write.parquet(staged)
+    )
+    staged = new_work_folder(spark, "objectid")
+    numbered.write.parquet(staged)
+    rows = spark.read.schema(numbered.schema).parquet(staged)
 
-    rows = spark.read.parquet(staged)
-    counts = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per write task: small enough for a single window task and for the driver.
-    offsets = counts.select(
-        "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    ).toArrow()
+    # One row per write task, which is little for the driver: it has handled each of them.
+    counts = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).toArrow().sort_by("_task")
+    n = counts["_n"].to_numpy()
+    offsets = pa.table({"_task": counts["_task"], "_before": n.cumsum() - n})
     small = spark.createDataFrame(offsets)
     if offsets.num_rows <= BROADCAST_ROWS:
         small = F.broadcast(small)

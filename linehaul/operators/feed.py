@@ -12,23 +12,56 @@ from linehaul.functions.ids import with_uuid
 from linehaul.functions.times import format_epoch_ms
 
 _CORRUPT = "_corrupt"
-_CSV = f"map('sep', ',', 'quote', '\"', 'escape', '\"', 'columnNameOfCorruptRecord', '{_CORRUPT}')"
+_RECORD = "_record"
+_CSV_OPTIONS = {
+    "sep": ",",
+    "quote": '"',
+    "escape": '"',
+    "positiveInf": "Infinity",
+    "negativeInf": "-Infinity",
+    "columnNameOfCorruptRecord": _CORRUPT,
+}
+_CSV = f"map({', '.join(repr(x) for kv in _CSV_OPTIONS.items() for x in kv)})"
+# The CSV parser gives up on texts of more than 20480 fields; shorter ones cannot have them.
+_LONG = 20_000
 # Numeric fields in the order in which a bad one is reported.
 _NUMERIC = ["ts", "speed", "dist", "bearing", "rtid", "secstodep", "longitude", "latitude"]
 _HASHES = [n for n, _ in S.FEED_FIELDS[S.N_BASE :]]
 _PARSED = [*[n for n, _ in S.FEED_FIELDS], "longitude", "latitude", "reject_reason"]
 
 
-def _fewer_than(n: int, line: str) -> str:
-    """SQL telling whether the line has fewer than n fields.
+def _first_record(line: str) -> str:
+    """SQL for the CSV record a text starts with.
+
+    A message may go on after a line end outside quotes, which ends the record.
+    Of a very long text the fields beyond the last one of the feed are left out.
+    """
+    ends = f"contains({line}, '\\n') OR contains({line}, '\\r')"
+    first = f"""regexp_extract({line}, '^(?:[^"\\r\\n]++|"[^"]*+")*+', 0)"""
+    field = '(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*+),'
+    used = f"regexp_extract({line}, '^(?:{field}){{{S.N_FULL}}}', 0)"
+    return f"""CASE WHEN {ends} THEN {first}
+        WHEN octet_length({line}) > {_LONG} THEN coalesce(nullif({used}, ''), {line})
+        ELSE {line} END"""
+
+
+def _as_double(token: str) -> str:
+    """SQL casting a token to a number, with Java's spellings of the special ones only."""
+    special = f"contains({token}, 'n') OR contains({token}, 'N')"
+    known = f"trim({token}) RLIKE '^[+-]?(NaN|Infinity)$'"
+    return f"if(({special}) AND NOT {known}, NULL, try_cast({token} AS double))"
+
+
+def _fewer_than(n: int) -> str:
+    """SQL telling whether the record has fewer than n fields.
 
     The CSV parser gives null for an empty field and for a missing one; it
-    marks the line when the count is not 15. Only a marked line whose n-th
+    marks the record when the count is not 15. Only a marked record whose n-th
     field is null needs its fields counted, commas inside quotes left out.
     """
     nth = S.FEED_FIELDS[n - 1][0]
-    count = f"""size(split(regexp_replace({line}, '"[^"]*"', ''), ','))"""
-    return f"""CASE WHEN {line} IS NULL OR {line} = '' THEN true
+    count = f"""size(split(regexp_replace({_RECORD}, '"[^"]*"', ''), ','))"""
+    return f"""CASE WHEN {_RECORD} IS NULL OR {_RECORD} = '' THEN true
         WHEN {_CORRUPT} IS NOT NULL AND {nth} IS NULL THEN {count} < {n}
         ELSE false END"""
 
@@ -53,7 +86,7 @@ def parse_feed(
     if mode not in ("rejects", "failfast"):
         raise ValueError("mode must be 'rejects' or 'failfast'")
     kept = [f"`{c}`" for c in df.columns if c != line]
-    taken = {c.strip("`") for c in kept} & {*_PARSED, _CORRUPT}
+    taken = {c.strip("`") for c in kept} & {*_PARSED, _CORRUPT, _RECORD}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are names of the feed; rename them first")
     line = f"`{line}`"
@@ -62,7 +95,9 @@ def parse_feed(
 
     # A generator keeps the parse in one place: filters and projections on its
     # output are not merged into it, so each line is parsed exactly once.
-    fields = df.selectExpr(*kept, line, f"inline(array(from_csv({line}, '{schema}', {_CSV})))")
+    parse = f"inline(array(from_csv({_RECORD}, '{schema}', {_CSV})))"
+    records = df.selectExpr(*kept, line, f"{_first_record(line)} AS {_RECORD}")
+    fields = records.selectExpr(*kept, line, _RECORD, parse)
 
     # An empty text field is an empty text, not a missing one; a hash field is
     # missing when the line ends before it.
@@ -70,11 +105,11 @@ def parse_feed(
     for n in ["orig", "dest"] + (["planeid"] if id_type == "string" else []):
         column[n] = f"coalesce({n}, '')"
     for i, n in enumerate(_HASHES, start=S.N_BASE + 1):
-        column[n] = f"coalesce({n}, CASE WHEN NOT {_fewer_than(i, line)} THEN '' END)"
-    column["longitude"] = "try_cast(lon_token AS double)"
-    column["latitude"] = "try_cast(lat_token AS double)"
+        column[n] = f"coalesce({n}, CASE WHEN NOT {_fewer_than(i)} THEN '' END)"
+    column["longitude"] = _as_double("lon_token")
+    column["latitude"] = _as_double("lat_token")
 
-    short = _fewer_than(S.N_FULL if hashes else S.N_BASE, line)
+    short = _fewer_than(S.N_FULL if hashes else S.N_BASE)
     numeric = (["planeid"] if id_type == "bigint" else []) + _NUMERIC
     reasons = [f"WHEN {short} THEN 'too_few_fields'"]
     reasons += [f"WHEN {n} IS NULL THEN 'bad_{n}'" for n in numeric]

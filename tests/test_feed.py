@@ -12,7 +12,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from linehaul import schemas as S
-from linehaul.operators import feed as feed_ops
 from linehaul.operators.feed import (
     copy_line,
     documents_from_json,
@@ -134,6 +133,54 @@ def test_each_line_is_parsed_once(feed):
     assert "PythonUDF" not in plan and "Exchange" not in plan
 
 
+def test_a_message_ends_with_its_first_record(feed):
+    quoted = LINE1.replace('"Mielec Airport"', '"Mielec\n""Airport"""')
+    parsed = parse_feed(
+        feed(LINE1 + "\n", LINE1 + "\r\n" + LINE2, "\n" + LINE1, quoted + "\nx", '1,"x\n' + LINE1),
+        hashes=True,
+    )
+    rows = {r.n: r for r in parsed.collect()}
+    assert rows[0].flattrihash == rows[1].flattrihash == rows[3].flattrihash == "DDD"
+    assert rows[3].orig == 'Mielec\n"Airport"' and rows[3].reject_reason is None
+    assert rows[2].reject_reason == rows[4].reject_reason == "too_few_fields"
+    assert rows[1].line == LINE1 + "\r\n" + LINE2
+
+
+def test_very_long_lines_are_read_whole(feed):
+    long_name = "é" * 40_000
+    doubled = '"' + '""' * 50_000 + '"'
+    lines = [
+        LINE1 + ",x" * 30_000,
+        LINE1.replace('"Mielec Airport"', long_name),
+        LINE1.replace('"Mielec Airport"', doubled) + ",y",
+        "," * 50_000,
+        "1" * 50_000,
+        ("a," * 9 + '"' + "b," * 20_000),
+    ]
+    rows = {r.n: r for r in parse_feed(feed(*lines), hashes=True).collect()}
+    assert [rows[i].reject_reason for i in range(6)] == [
+        None, None, None, "bad_ts", "too_few_fields", "bad_ts",
+    ]
+    assert rows[0].flattrihash == "DDD"
+    assert rows[1].orig == long_name and rows[2].orig == '"' * 50_000
+
+
+def test_special_numbers_are_spelled_as_in_java(feed):
+    def speed_and_lat(token):
+        return LINE1.replace("240.25", token), LINE1.replace("49.21297", token)
+
+    tokens = {
+        "NaN": True, "Infinity": True, "-Infinity": True, "1e999": True, "1d": True, " 5 ": True,
+        "inf": False, "Inf": False, "-Inf": False, "nan": False, "infinity": False, "+inf": False,
+        "1,5": None,
+    }
+    for i, name in enumerate(["bad_speed", "bad_latitude"]):
+        lines = [speed_and_lat(t)[i] for t, ok in tokens.items() if ok is not None]
+        got = reasons(parse_feed(feed(*lines)))
+        want = [None if ok else name for ok in tokens.values() if ok is not None]
+        assert [got[k] for k in range(len(lines))] == want
+
+
 def csv_oracle(line):
     """(kept, planeid, orig, lon text) as a plain CSV reader sees the line."""
     rows = list(csv.reader(io.StringIO(line)))
@@ -285,4 +332,3 @@ def test_no_python_in_the_row_path(feed):
     for shaped in (to_documents(rows), to_copy_rows(rows), to_planes16(rows), to_planes18(rows)):
         plan = shaped._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and plan.count("from_csv") == 1
-    assert feed_ops._fewer_than(11, "line").count("split") == 1
