@@ -12,6 +12,7 @@ from linehaul.session import new_work_folder
 # one row per write task, so only jobs with millions of tasks go past this.
 BROADCAST_ROWS = 1_000_000
 
+_UNHASHABLE = ("map", "variant")
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row below
 
 
@@ -32,6 +33,16 @@ def stable_uuid(*columns: str | Column) -> Column:
     return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in cuts])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row: the last sort key that tells rows of equal keys apart.
+
+    It depends on nothing but the row, so a repeated task puts every row where
+    it was before.
+    """
+    usable = [f.name for f in df.schema if not f.dataType.simpleString().startswith(_UNHASHABLE)]
+    return F.xxhash64(*[F.col(f"`{n}`") for n in usable])
+
+
 def with_objectid(
     df: DataFrame,
     order_by: list[str | Column] | None = None,
@@ -43,12 +54,12 @@ def with_objectid(
     The rows are written once to the work folder together with the number of
     the task that wrote them and their place in it; a count per task gives each
     task its offset. Without ``order_by`` nothing is shuffled. With it, rows are
-    range-partitioned and sorted in parallel; let the list end in a unique
-    column, so that equal keys can be spread and the order is repeatable.
+    range-partitioned and sorted in parallel. Equal keys are put in the order of
+    a hash of their rows, which also lets a very frequent key spread over tasks.
     """
     spark = df.sparkSession
     if order_by:
-        df = df.orderBy(*order_by)
+        df = df.orderBy(*order_by, row_hash(df))
     place = F.monotonically_increasing_id()
     numbered = df.select(
         "*",

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linehaul.functions.ids import row_hash
 from linehaul.functions.times import WEEK_US, chunk_number
 
 
@@ -33,10 +34,12 @@ def clustered(
 ) -> DataFrame:
     """Rows laid out by key, newest first within a key.
 
-    Ranges are cut on key and time together: rows of one key stay next to each
-    other, yet a very frequent key is spread over several tasks by its times.
+    Ranges are cut on key and time together, and at last on a hash of the row:
+    rows of one key stay next to each other, yet a very frequent key spreads
+    over tasks.
     """
-    order = [F.col(key).asc(), F.col(ts).desc(), *[F.col(c).asc() for c in tie_breakers or []]]
+    ties = [F.col(c).asc() for c in tie_breakers or []]
+    order = [F.col(key).asc(), F.col(ts).desc(), *ties, row_hash(df).asc()]
     ranged = (
         df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     )

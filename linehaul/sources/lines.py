@@ -31,17 +31,20 @@ def s3a_options(
     return {k: v for k, v in options.items() if v is not None}
 
 
-def _bare(uri: Column) -> Column:
-    """A URI without scheme and leading slashes, percent escapes undone."""
-    plain = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "")
-
-
 def object_key(file_path: Column, root: str) -> Column:
-    """Path of a file relative to ``root`` (a qualified URI), as an object store lists it."""
-    bare_root = root.split(":", 1)[-1].strip("/")
-    prefix = bare_root + "/" if bare_root else ""
-    return F.substr(_bare(file_path), F.lit(len(prefix) + 1))
+    """Path of a file relative to ``root`` (a qualified URI), as an object store lists it.
+
+    This is evaluated for every line, so it is kept to a few byte searches:
+    escapes are undone only where there are any, and as nothing but scheme and
+    slashes comes before the root, its first place in the URI is the right one.
+    """
+    unescaped = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+    plain = F.when(F.contains(file_path, F.lit("%")), unescaped).otherwise(file_path)
+    prefix = root.split(":", 1)[-1].strip("/") + "/"
+    if prefix == "/":
+        return F.regexp_replace(plain, r"^[^:/]+:/+", "")
+    prefix = "/" + prefix
+    return F.substr(plain, F.locate(prefix, plain) + F.lit(len(prefix)))
 
 
 def full_match(value: str | Column, regex: str) -> Column:

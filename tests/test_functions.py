@@ -111,6 +111,16 @@ def test_objectids_with_one_very_frequent_key(spark):
     assert [r.objectid for r in sorted(got, key=lambda r: (r.k, r.id))] == list(range(1, 9001))
 
 
+def test_a_frequent_key_spreads_without_a_unique_order(spark):
+    rows = spark.range(40_000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id"
+    )
+    got = with_objectid(rows, ["k"])
+    ids = got.orderBy("objectid").collect()
+    assert [r.objectid for r in ids] == list(range(1, 40_001))
+    assert [r.k for r in ids] == sorted(r.k for r in ids)
+
+
 def test_unordered_numbering_does_not_shuffle_rows(spark):
     plan = with_objectid(spark.range(100))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "rangepartitioning" not in plan

@@ -54,6 +54,13 @@ def test_clustered_spreads_a_frequent_key_and_keeps_order(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 9000
 
 
+def test_clustered_spreads_a_key_whose_times_are_all_equal(spark):
+    rows = skewed(spark).withColumn("ts", F.lit(START))
+    parts = clustered(rows, "key", "ts", partitions=6).withColumn("p", F.spark_partition_id())
+    hot = parts.filter("key = 0").groupBy("p").count().collect()
+    assert len(hot) > 1 and sum(r["count"] for r in hot) == rows.filter("key = 0").count()
+
+
 def test_chunks_are_written_apart_and_skipped_on_read(spark, tmp_path):
     path, hour = str(tmp_path / "t"), 3_600_000_000
     write_chunked(skewed(spark, 600), path, "ts", hour)
