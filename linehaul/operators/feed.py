@@ -99,13 +99,14 @@ def parse_feed(
     records = df.selectExpr(*kept, line, f"{_first_record(line)} AS {_RECORD}")
     fields = records.selectExpr(*kept, line, _RECORD, parse)
 
-    # An empty text field is an empty text, not a missing one; a hash field is
-    # missing when the line ends before it.
+    # An empty text field is an empty text, not a missing one; where hash fields
+    # are optional, one is missing when the line ends before it.
     column = {n: n for n in types}
-    for n in ["orig", "dest"] + (["planeid"] if id_type == "string" else []):
+    for n in ["orig", "dest", *_HASHES] + (["planeid"] if id_type == "string" else []):
         column[n] = f"coalesce({n}, '')"
-    for i, n in enumerate(_HASHES, start=S.N_BASE + 1):
-        column[n] = f"coalesce({n}, CASE WHEN NOT {_fewer_than(i)} THEN '' END)"
+    if not hashes:
+        for i, n in enumerate(_HASHES, start=S.N_BASE + 1):
+            column[n] = f"coalesce({n}, CASE WHEN NOT {_fewer_than(i)} THEN '' END)"
     column["longitude"] = _as_double("lon_token")
     column["latitude"] = _as_double("lat_token")
 

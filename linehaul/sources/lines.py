@@ -64,13 +64,15 @@ def read_lines(
     key_regex: str | None = None,
     recursive: bool = False,
     options: dict[str, str] | None = None,
+    with_file: bool = True,
 ) -> DataFrame:
     """``(file, line)`` of a file, a folder or, with ``recursive``, all objects below a prefix.
 
     ``file`` is the path relative to ``path`` (the name, for a single file).
     ``key_regex`` must match it entirely; the condition only looks at file
     paths, so files that do not match are never opened. A missing path gives a
-    warning and no rows.
+    warning and no rows. ``with_file=False`` leaves ``file`` out: naming the
+    file of every line costs as much as reading the line.
     """
     try:
         lines = (
@@ -82,13 +84,20 @@ def read_lines(
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         log.warning("no files in %s", path)
-        return spark.createDataFrame([], LINES)
-    return _with_key(spark, lines, path, key_regex)
+        return spark.createDataFrame([], LINES if with_file else "line string")
+    return _with_key(spark, lines, path, key_regex, with_file)
 
 
 def _with_key(
-    spark: SparkSession, lines: DataFrame, path: str, key_regex: str | None
+    spark: SparkSession,
+    lines: DataFrame,
+    path: str,
+    key_regex: str | None,
+    with_file: bool = True,
 ) -> DataFrame:
+    line = F.col("value").alias("line")
+    if key_regex is None and not with_file:
+        return lines.select(line)
     root = _qualified(spark, path)
     fs, p = hadoop_path(spark, path)
     if fs.exists(p) and fs.getFileStatus(p).isFile():
@@ -96,7 +105,7 @@ def _with_key(
     key = object_key(F.col("_metadata.file_path"), root)
     if key_regex is not None:
         lines = lines.filter(full_match(key, key_regex))
-    return lines.select(key.alias("file"), F.col("value").alias("line"))
+    return lines.select(key.alias("file"), line) if with_file else lines.select(line)
 
 
 def list_files(

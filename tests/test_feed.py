@@ -93,7 +93,9 @@ def test_shapes_with_hashes_need_all_fields(feed):
     assert [got[i] for i in range(len(lines))] == list(lines.values())
     rows = {r.n: r for r in parsed.collect()}
     assert rows[3].flattrihash == "" and rows[4].sqrhash == "" and rows[6].flattrihash == ""
-    assert rows[2].pntytrihash == "c" and rows[2].flattrihash is None
+    base = {r.n: r for r in parse_feed(feed(*lines)).collect()}
+    assert base[2].pntytrihash == "c" and base[2].flattrihash is None
+    assert base[3].flattrihash == "" and base[1].geohash is None and base[5].geohash == ""
 
 
 def test_quotes_and_raw_tokens(feed):

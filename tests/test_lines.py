@@ -78,6 +78,15 @@ def test_key_regex_matches_whole_key_and_prunes_files(spark, tmp_path):
     assert scan.metrics().apply("numFiles").value() == 2
 
 
+def test_lines_without_their_file(spark, folder):
+    lines = read_lines(spark, str(folder), with_file=False)
+    assert lines.columns == ["line"] and lines.count() == 6
+    assert "file_path" not in lines._jdf.queryExecution().executedPlan().toString()
+    some = read_lines(spark, str(folder), r"a\..*", with_file=False)
+    assert sorted(r.line for r in some.collect()) == ["ab", "abc", "xyz"]
+    assert read_lines(spark, str(folder / "none"), with_file=False).columns == ["line"]
+
+
 def test_full_match_has_no_anchor_surprises(spark):
     df = spark.createDataFrame([("ab",), ("ab\n",), ("xab",), ("b",)], "k string")
     got = [r.m for r in df.select(full_match("k", "a|ab").alias("m")).collect()]
