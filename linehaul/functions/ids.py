@@ -40,7 +40,7 @@ def row_hash(df: DataFrame) -> Column:
     it was before.
     """
     usable = [f.name for f in df.schema if not f.dataType.simpleString().startswith(_UNHASHABLE)]
-    return F.xxhash64(*[F.col(f"`{n}`") for n in usable])
+    return F.expr(f"xxhash64({', '.join(f'`{n}`' for n in usable)})")
 
 
 def with_objectid(
