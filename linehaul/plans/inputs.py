@@ -53,14 +53,24 @@ _TOKENS = {
 _FRAC = "lpad(cast(event_id * 37 % 100000 as string), 5, '0')"
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    return files.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, line)``."""
+    return lines_of(spread(events(spark, sf_dir).drop("props")))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """``(event_id, line)`` of a batch or stream of events."""
     tokens = list(_TOKENS.values())
     whole, short = (f"concat_ws(',', {', '.join(t)})" for t in (tokens, tokens[:5]))
-    return (
-        spread(events(spark, sf_dir).drop("props"))
-        .withColumn("frac", F.expr(_FRAC))
-        .select("event_id", F.expr(f"if(event_id % 101 = 0, {short}, {whole})").alias("line"))
+    return rows.withColumn("frac", F.expr(_FRAC)).select(
+        "event_id", F.expr(f"if(event_id % 101 = 0, {short}, {whole})").alias("line")
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from linehaul.functions.times import MINUTE_US, WEEK_US
 from linehaul.plans.queries import (
     HOUR_US,
+    RANGE,
     SEARCH_TEXT,
     SOURCE_REGEX,
     TTL_SECONDS,
@@ -85,6 +86,21 @@ SELECT row_number() OVER (ORDER BY event_id) AS objectid, planeid AS plane_id, {
 SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M:%S.%g') AS ts, speed, dist, bearing,
   rtid, orig, dest, secstodep, longitude AS lon, latitude AS lat,
   geohash, sqrhash, pntytrihash, flattrihash, 'SRID=4326;' || {_WKT} AS geometry FROM good""",
+    "feed_copy_rows_global": f"""{_FEED}
+SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M:%S.%g') AS ts, speed, dist, bearing,
+  rtid, orig, dest, secstodep, longitude, latitude,
+  geohash AS esri_geohash_geohash_4326_12, sqrhash AS esri_geohash_square_102100_26,
+  pntytrihash AS esri_geohash_pointytriangle_102100_26,
+  flattrihash AS esri_geohash_flattriangle_102100_26,
+  'SRID=4326;' || {_WKT} AS geometry FROM good""",
+    "feed_copy_lines": f"""{_FEED}
+SELECT 36 AS id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M:%S.%g') AS ts,
+  speed, dist, bearing, rtid, orig, dest, secstodep, longitude AS lon, latitude AS lat,
+  geohash, sqrhash, pntytrihash, flattrihash, 'SRID=4326;' || {_WKT} AS geometry FROM good""",
+    "feed_stable_ids": f"""{_FEED}, digests AS (
+  SELECT event_id, md5('{{"event_id":' || CAST(event_id AS VARCHAR) || '}}') AS h FROM good)
+SELECT event_id, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32]
+  AS id FROM digests""",
     "feed_json_docs": f"""{_FEED}
 SELECT row_number() OVER (ORDER BY event_id) AS objectid, 36 AS globalid_length, planeid, ts,
   speed, dist, bearing, rtid, orig, dest, secstodep AS secs_to_dep, longitude, latitude,
@@ -97,6 +113,9 @@ WITH lines AS (
   FROM events)
 SELECT count(*) FILTER (json_valid(line)) AS n_valid,
   count(*) FILTER (NOT json_valid(line)) AS n_invalid FROM lines""",
+    "json_lines_to_columns": """
+SELECT CAST(props ->> '$.k' AS INTEGER) AS k, count(*) AS n FROM events
+WHERE json_valid(props) GROUP BY 1""",
     "search_lines_total": f"""{_LINES}
 SELECT count(*) FILTER (contains(line, '{SEARCH_TEXT}')) AS n_matching FROM lines""",
     "search_lines_by_file": f"""{_LINES}
@@ -143,6 +162,10 @@ SELECT event_type, 2 * count(*) AS n, CAST(2 * sum(event_id) AS BIGINT) AS sum_e
 FROM events GROUP BY event_type""",
     "upsert_latest_by_key": """
 SELECT event_id, epoch_us(ts) // 1000 AS ts, user_id, event_type, value, props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""",
+    "keyed_table_read": """
+SELECT user_id, event_type, event_id,
+  CASE WHEN event_type = 'view' THEN '{}' ELSE props END AS props FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""",
     "cluster_by_id_ts_desc": """
 SELECT user_id, event_id,
@@ -153,7 +176,14 @@ SELECT CAST({WEEK_US} AS BIGINT) AS interval_us, epoch_us(ts) // {WEEK_US} AS ch
   count(*) AS n FROM events GROUP BY 2
 UNION ALL
 SELECT CAST({HOUR_US} AS BIGINT), epoch_us(ts) // {HOUR_US}, count(*) FROM events GROUP BY 2""",
+    "chunked_range_read": f"""
+SELECT event_id, epoch_us(ts) AS ts_us FROM events
+WHERE ts >= TIMESTAMP '{RANGE[0]}' AND ts < TIMESTAMP '{RANGE[1]}'""",
     "ttl_retention": f"""
 SELECT event_id, epoch_us(ts) AS ts_us FROM events
 WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - CAST({TTL_SECONDS} AS BIGINT) * 1000000""",
+    "stream_ingest": f"""{_FEED}
+SELECT event_id, CAST(planeid AS BIGINT) AS planeid, {_BASE.removeprefix("planeid, ")} FROM good""",
+    "stream_batch_report": f"""{_FEED}
+SELECT count(*) AS sum_count, count(*) AS last_total FROM good""",
 }

@@ -3,26 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linehaul import schemas as S
 from linehaul.functions.geo import wkt_point
-from linehaul.functions.ids import with_objectid, with_uuid
+from linehaul.functions.ids import stable_uuid, with_objectid, with_uuid
 from linehaul.functions.text import first_of_list, split_list
 from linehaul.functions.times import MINUTE_US, WEEK_US, chunk_number
 from linehaul.operators import counts, feed, keyed, relay, search
 from linehaul.plans.inputs import (
     document_lines,
+    event_stream,
     events,
     good_feed,
+    lines_of,
     parsed_feed,
     table,
 )
 from linehaul.session import new_work_folder
 from linehaul.sinks import tables
 from linehaul.sources.lines import full_match
+from linehaul.streaming import count_batches, run_stream, stored_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +36,8 @@ URL_REGEX = r"https?://[^/]+/en/\d+(\.html)?"
 SOURCE_REGEX = r"src[0-9]*[13579]"
 HOUR_US = 60 * MINUTE_US
 TTL_SECONDS = 7 * 24 * 3600
+RANGE = (datetime(2024, 1, 10, 12), datetime(2024, 1, 20))
+ALL_NOW = {"availableNow": True}
 
 _BASE = [
     "planeid", "ts", "speed", "dist", "bearing", "rtid",
@@ -88,6 +95,23 @@ def feed_copy_rows(spark: SparkSession, sf: str) -> DataFrame:
     return feed.to_copy_rows(good_feed(spark, sf, hashes=True)).drop("id")
 
 
+def feed_copy_rows_global(spark: SparkSession, sf: str) -> DataFrame:
+    rows = feed.to_copy_rows(good_feed(spark, sf, hashes=True), with_globalid=True)
+    return rows.drop("globalid")
+
+
+def feed_copy_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The copy text read back, so that quoting shows and numbers compare as numbers."""
+    texts = feed.copy_line(feed.to_copy_rows(good_feed(spark, sf, hashes=True)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.COPY16)
+    read = texts.select(F.inline(F.array(F.from_csv("copy_line", schema, {"escape": '"'}))))
+    return read.withColumn("id", F.length("id"))
+
+
+def feed_stable_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return good_feed(spark, sf).select("event_id", stable_uuid("event_id").alias("id"))
+
+
 def feed_json_docs(spark: SparkSession, sf: str) -> DataFrame:
     numbered = with_objectid(good_feed(spark, sf), ["event_id"])
     docs = feed.to_documents(numbered, extra_hashes=False)
@@ -148,6 +172,12 @@ def json_lines_validate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def json_lines_to_columns(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "events").select(F.col("props").alias("line"))
+    docs = feed.documents_from_json(lines, T.StructType([T.StructField("k", T.IntegerType())]))
+    return docs.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
 def search_lines_total(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_lines(document_lines(spark, sf, "doc_id"), SEARCH_TEXT)
 
@@ -250,6 +280,19 @@ def upsert_latest_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.latest_by_key(rows, ["user_id", "event_type"], "event_id")
 
 
+def keyed_table_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches appended to a keyed table; the second holds newer rows of all its keys."""
+    path = new_work_folder(spark, "keyed")
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", "props")
+    tables.write_batch_once(rows, 0, path)
+    views = rows.filter("event_type = 'view'").withColumn("props", F.lit("{}"))
+    tables.write_batch_once(views, 1, path)
+    arrival = F.struct("batch_id", "event_id")
+    return tables.read_keyed(spark, path, ["user_id", "event_type"], arrival).select(
+        "user_id", "event_type", "event_id", "props"
+    )
+
+
 def cluster_by_id_ts_desc(spark: SparkSession, sf: str) -> DataFrame:
     """Write clustered, then read the place of each row within its user off the files."""
     path = new_work_folder(spark, "clustered")
@@ -292,6 +335,39 @@ def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def chunked_range_read(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_work_folder(spark, "chunked")
+    tables.write_chunked(events(spark, sf).select("event_id", "ts"), path, "ts")
+    since, until = (t.replace(tzinfo=timezone.utc) for t in RANGE)
+    kept = keyed.in_time_range(spark.read.parquet(path), "ts", since, until)
+    return kept.select("event_id", F.unix_micros("ts").alias("ts_us"))
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream, parsed and written batch by batch, then read back."""
+    folder = new_work_folder(spark, "stream")
+    lines = lines_of(event_stream(spark, sf))
+    rows = feed.good_rows(feed.parse_feed(lines, id_type="bigint"))
+    run_stream(
+        rows.select("event_id", *_BASE),
+        lambda batch, batch_id: tables.write_batch_once(batch, batch_id, f"{folder}/rows"),
+        f"{folder}/checkpoint",
+        ALL_NOW,
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch_id")
+
+
+def stream_batch_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Parsed rows counted per micro-batch; the last total is their number."""
+    folder = new_work_folder(spark, "stream")
+    rows = feed.good_rows(feed.parse_feed(lines_of(event_stream(spark, sf))))
+    query = count_batches(rows, f"{folder}/counts", f"{folder}/checkpoint", ALL_NOW)
+    query.awaitTermination()
+    return stored_report(spark, f"{folder}/counts").agg(
+        F.sum("count").alias("sum_count"), F.max("total").alias("last_total")
+    )
+
+
 def ttl_retention(spark: SparkSession, sf: str) -> DataFrame:
     rows = events(spark, sf)
     as_of = rows.agg(F.max("ts")).first()[0]
@@ -308,9 +384,13 @@ QUERIES: dict[str, Query] = {
     "feed_hash_fields": feed_hash_fields,
     "feed_global_ids": feed_global_ids,
     "feed_copy_rows": feed_copy_rows,
+    "feed_copy_rows_global": feed_copy_rows_global,
+    "feed_copy_lines": feed_copy_lines,
+    "feed_stable_ids": feed_stable_ids,
     "feed_json_docs": feed_json_docs,
     "feed_json_docs_all_flags": feed_json_docs_all_flags,
     "json_lines_validate": json_lines_validate,
+    "json_lines_to_columns": json_lines_to_columns,
     "search_lines_total": search_lines_total,
     "search_lines_by_file": search_lines_by_file,
     "count_lines_total": count_lines_total,
@@ -326,7 +406,11 @@ QUERIES: dict[str, Query] = {
     "load_rows_by_partition": load_rows_by_partition,
     "recreate_then_append": recreate_then_append,
     "upsert_latest_by_key": upsert_latest_by_key,
+    "keyed_table_read": keyed_table_read,
     "cluster_by_id_ts_desc": cluster_by_id_ts_desc,
     "chunk_counts": chunk_counts,
+    "chunked_range_read": chunked_range_read,
     "ttl_retention": ttl_retention,
+    "stream_ingest": stream_ingest,
+    "stream_batch_report": stream_batch_report,
 }

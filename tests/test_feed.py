@@ -4,6 +4,7 @@ import csv
 import io
 import json
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -334,3 +335,17 @@ def test_no_python_in_the_row_path(feed):
     for shaped in (to_documents(rows), to_copy_rows(rows), to_planes16(rows), to_planes18(rows)):
         plan = shaped._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and plan.count("from_csv") == 1
+
+
+def test_generated_code_stays_small_enough_to_be_compiled(spark, feed):
+    """The JVM does not compile methods of more than 8000 bytes of bytecode."""
+    rows = good_rows(parse_feed(feed(LINE1), hashes=True)).withColumn("objectid", F.lit(1))
+    base = good_rows(parse_feed(feed(LINE1), id_type="bigint"))
+    copies = copy_line(to_copy_rows(rows))
+    shapes = [to_planes12(base), to_planes16(rows), to_planes18(rows), copies, to_documents(rows)]
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    for shaped in shapes:
+        plan = shaped._jdf.queryExecution().executedPlan()
+        code = getattr(debug, "MODULE$").codegenString(plan)
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        assert sizes and max(sizes) < 8000
