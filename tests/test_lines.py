@@ -78,6 +78,18 @@ def test_key_regex_matches_whole_key_and_prunes_files(spark, tmp_path):
     assert scan.metrics().apply("numFiles").value() == 2
 
 
+def test_escaped_characters_in_the_folder(spark, tmp_path):
+    folder = tmp_path / "a b+c%20d"
+    (folder / "x y").mkdir(parents=True)
+    (folder / "x y" / "é%.txt").write_text("1\n")
+    (folder / "z+.txt").write_text("2\n3\n")
+    lines = read_lines(spark, str(folder), recursive=True)
+    files = list_files(spark, str(folder), recursive=True)
+    want = [("x y/é%.txt", 1), ("z+.txt", 2)]
+    assert pairs(count_lines_by_file(lines)) == want
+    assert sorted(r.file for r in files.collect()) == [f for f, _ in want]
+
+
 def test_lines_without_their_file(spark, folder):
     lines = read_lines(spark, str(folder), with_file=False)
     assert lines.columns == ["line"] and lines.count() == 6
