@@ -42,3 +42,11 @@ def test_bench_prints_one_json_line():
     )
     result = json.loads(run.stdout.strip())
     assert result["sf"] == "0.001" and list(result["queries"]) == ["relay_key_value"]
+
+
+def test_lost_tasks_change_nothing(tmp_path):
+    run = subprocess.run(
+        [sys.executable, str(ROOT / "tests" / "retry_check.py"), str(tmp_path)],
+        capture_output=True, text=True, timeout=300,
+    )
+    assert run.stdout.strip() == "all rows once", run.stderr[-2000:]
