@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -22,7 +23,7 @@ N = 60_000
 HOUR_US = 3_600_000_000
 
 
-@F.udf("long")
+@F.udf(LongType())
 def lost_once(x):
     task = TaskContext.get()
     if task.attemptNumber() == 0 and task.partitionId() % 2 and x % 5000 == 4999:
