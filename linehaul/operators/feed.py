@@ -30,19 +30,26 @@ _HASHES = [n for n, _ in S.FEED_FIELDS[S.N_BASE :]]
 _PARSED = [*[n for n, _ in S.FEED_FIELDS], "longitude", "latitude", "reject_reason"]
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _first_record(line: str) -> str:
     """SQL for the CSV record a text starts with.
 
     A message may go on after a line end outside quotes, which ends the record.
-    Of a very long text the fields beyond the last one of the feed are left out.
     """
     ends = f"contains({line}, '\\n') OR contains({line}, '\\r')"
     first = f"""regexp_extract({line}, '^(?:[^"\\r\\n]++|"[^"]*+")*+', 0)"""
+    return f"CASE WHEN {ends} THEN {_used_part(first)} ELSE {_used_part(line)} END"
+
+
+def _used_part(record: str) -> str:
+    """SQL for a record; of a very long one the fields in use and one more, to keep it marked."""
     field = '(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*+),'
-    used = f"regexp_extract({line}, '^(?:{field}){{{S.N_FULL}}}', 0)"
-    return f"""CASE WHEN {ends} THEN {first}
-        WHEN octet_length({line}) > {_LONG} THEN coalesce(nullif({used}, ''), {line})
-        ELSE {line} END"""
+    used = f"regexp_extract({record}, '^(?:{field}){{{S.N_FULL}}}', 0)"
+    return f"""CASE WHEN octet_length({record}) > {_LONG}
+        THEN coalesce(nullif({used}, ''), {record}) ELSE {record} END"""
 
 
 def _as_double(token: str) -> str:
@@ -85,11 +92,11 @@ def parse_feed(
         raise ValueError("id_type must be 'string' or 'bigint'")
     if mode not in ("rejects", "failfast"):
         raise ValueError("mode must be 'rejects' or 'failfast'")
-    kept = [f"`{c}`" for c in df.columns if c != line]
-    taken = {c.strip("`") for c in kept} & {*_PARSED, _CORRUPT, _RECORD}
+    kept = [_quoted(c) for c in df.columns if c != line]
+    taken = ({*df.columns} - {line}) & {*_PARSED, _CORRUPT, _RECORD}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are names of the feed; rename them first")
-    line = f"`{line}`"
+    line = _quoted(line)
     types = {n: t.simpleString() for n, t in S.FEED_FIELDS} | {"planeid": id_type}
     schema = ", ".join(f"{n} {t}" for n, t in types.items()) + f", {_CORRUPT} string"
 

@@ -123,6 +123,8 @@ def test_failfast_stops_the_job(feed):
 def test_column_names_of_the_feed_are_refused(feed):
     with pytest.raises(ValueError, match="ts"):
         parse_feed(feed(LINE1).withColumnRenamed("n", "ts"))
+    odd = feed(LINE1).toDF("a`b c", "the.line")
+    assert good_rows(parse_feed(odd, "the.line"), "the.line").select("`a``b c`").count() == 1
     with pytest.raises(ValueError):
         parse_feed(feed(LINE1), mode="lenient")
     with pytest.raises(ValueError):
@@ -159,12 +161,13 @@ def test_very_long_lines_are_read_whole(feed):
         "," * 50_000,
         "1" * 50_000,
         ("a," * 9 + '"' + "b," * 20_000),
+        LINE1 + ",x" * 30_000 + "\n" + LINE2,
     ]
     rows = {r.n: r for r in parse_feed(feed(*lines), hashes=True).collect()}
-    assert [rows[i].reject_reason for i in range(6)] == [
-        None, None, None, "bad_ts", "too_few_fields", "bad_ts",
+    assert [rows[i].reject_reason for i in range(7)] == [
+        None, None, None, "bad_ts", "too_few_fields", "bad_ts", None,
     ]
-    assert rows[0].flattrihash == "DDD"
+    assert rows[0].flattrihash == rows[6].flattrihash == "DDD"
     assert rows[1].orig == long_name and rows[2].orig == '"' * 50_000
 
 
