@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import line_dedup
+from linehaul.llm import jaccard, line_dedup
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
@@ -18,11 +18,15 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return table(small_batches(spark), sf, name)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.component_report(_read(spark, sf, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op7_line_dedup,)
+    for f in (op6_ngram_jaccard_join, op7_line_dedup,)
 }
