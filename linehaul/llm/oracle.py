@@ -42,6 +42,37 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id
         FROM sets
     """,
+    "op10_benchmark_decontamination": rf"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+            FROM documents
+        ),
+        b AS (
+            SELECT item_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+            FROM benchmark
+        ),
+        sized AS (SELECT item_id, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+        windows AS (
+            SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)
+        ),
+        sizes AS (SELECT DISTINCT k FROM sized),
+        places AS (
+            SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes)
+        ),
+        hits AS (SELECT doc_id, item_id, k, i FROM places JOIN windows USING (k, s)),
+        covered AS (
+            SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id
+        ),
+        named AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits),
+        listed AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM named GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
     "op7_line_dedup": f"""
         WITH {_LINES}
         SELECT doc_id, count(*) AS n_lines,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import jaccard, line_dedup
+from linehaul.llm import decontaminate, jaccard, line_dedup
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
@@ -26,7 +26,13 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    documents, tests = _read(spark, sf, "documents"), _read(spark, sf, "benchmark")
+    out = decontaminate.contamination_report(documents, tests)
+    return out.drop("longest")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op6_ngram_jaccard_join, op7_line_dedup,)
+    for f in (op6_ngram_jaccard_join, op7_line_dedup, op10_benchmark_decontamination)
 }
