@@ -32,6 +32,7 @@ _SHARD = (
     "shard int, n int, turn int, steps array<int>, prints array<bigint>, "
     "lines array<bigint>, holders array<bigint>"
 )
+#: 2**31 - 1, a prime; the low 31 bits of a number.
 _MASK = (1 << 31) - 1
 
 
@@ -92,15 +93,15 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
     groups.sort(key=len, reverse=True)
     for turn in range(20):
-        first, second = _parts(h2, turn)
+        first, second = (h2 >> turn) & _MASK, (h2 >> (turn + 12)) & _MASK
         steps, slot = np.zeros(buckets, np.int32), np.full(n, -1)
         taken = np.zeros(n, bool)
         for g in groups:
             if len(g) == 1:
                 break
-            for d in range(8 * n):
-                s = (first[g] + d * second[g]) % n
-                if not taken[s].any() and len(set(s.tolist())) == len(g):
+            for d in range(1 << 16):
+                s = (first[g] + d * second[g]) % _MASK % n
+                if not taken[s].any() and len(np.unique(s)) == len(g):
                     break
             else:
                 break
@@ -121,11 +122,7 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _buckets(n: int) -> int:
-    return n // 3 + 1
-
-
-def _parts(h2: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h2 >> turn) & _MASK, (h2 >> (turn + 12)) & _MASK
+    return n // 2 + 1
 
 
 def probe(lines: DataFrame, index: DataFrame) -> DataFrame:
@@ -135,10 +132,10 @@ def probe(lines: DataFrame, index: DataFrame) -> DataFrame:
         return lines.limit(0).select("*", F.lit(0).alias("lines"), F.lit(0).alias("holder"))
     at = lines.withColumn("shard", F.pmod("h1", F.lit(shards[0])).cast("int"))
     both = at.join(index.hint("shuffle_hash"), "shard")
-    step = "element_at(steps, cast(pmod(shiftright(h1, 32), n div 3 + 1) as int) + 1)"
+    step = "element_at(steps, cast(pmod(shiftright(h1, 32), n div 2 + 1) as int) + 1)"
     slot = (
         f"if({step} < 0, -{step} - 1, cast(((shiftright(h2, turn) & {_MASK}) + "
-        f"{step} * (shiftright(h2, turn + 12) & {_MASK})) % n as int)) + 1"
+        f"{step} * (shiftright(h2, turn + 12) & {_MASK})) % {_MASK} % n as int)) + 1"
     )
     found = both.withColumn("slot", F.expr(slot)).where("element_at(prints, slot) = h1")
     return found.select(
@@ -155,7 +152,7 @@ def drop_repeated_lines(
 
     A line goes where its key is in the index and another document of a smaller id holds it.
     """
-    lines = line_hashes(docs, id_col, text_col, min_chars)
+    lines = staged(line_hashes(docs, id_col, text_col, min_chars), "line_hashes")
     index = staged(line_index(lines), "line_index")
     drops = (
         probe(lines, index)
