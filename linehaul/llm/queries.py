@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import decontaminate, jaccard, line_dedup
+from linehaul.llm import decontaminate, jaccard, line_dedup, packing
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
+
+def word_tokenizer() -> str:
+    """The file of the word BPE, where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,6 +26,10 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return table(small_batches(spark), sf, name)
 
 
+def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.piece_report(_read(spark, sf, "documents"), word_tokenizer())
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.component_report(_read(spark, sf, "documents"))
 
@@ -34,5 +46,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op6_ngram_jaccard_join, op7_line_dedup, op10_benchmark_decontamination)
+    for f in (op1_packing, op6_ngram_jaccard_join, op7_line_dedup, op10_benchmark_decontamination)
 }

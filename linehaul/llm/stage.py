@@ -19,14 +19,14 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared work folder and read it back, which cuts its lineage.
 
     The table stays until :func:`release`, since a returned frame may read it at any time.
     """
     spark = df.sparkSession
     path = new_work_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
