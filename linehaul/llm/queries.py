@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import decontaminate, jaccard, line_dedup, packing
+from linehaul.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
@@ -30,6 +30,10 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.piece_report(_read(spark, sf, "documents"), word_tokenizer())
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity_report(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.component_report(_read(spark, sf, "documents"))
 
@@ -46,5 +50,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op6_ngram_jaccard_join, op7_line_dedup, op10_benchmark_decontamination)
+    for f in (op1_packing, op5_toxicity, op6_ngram_jaccard_join, op7_line_dedup, op10_benchmark_decontamination)
 }
