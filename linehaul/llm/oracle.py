@@ -18,6 +18,35 @@ _LINES = f"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Spans of the secret kinds: matches stand between two marks; pieces at odd places are matches.
+_SECRETS = {
+    "assign": r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]{24,}",
+    "owned": "[A-Za-z0-9+/_-]{20,}",
+}
+
+
+def _secret_spans() -> str:
+    parts = []
+    for k, (name, pattern) in enumerate(_SECRETS.items()):
+        value = f"regexp_extract(p, '{pattern}', 1)" if k == 0 else "p"
+        least = {0: 6, 1: 20, 2: 24, 3: 20}[k]
+        mixed = " AND length(v) <= 200 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')"
+        parts.append(f"""
+            SELECT doc_id, source, {k} AS k, off AS start, off + length(p) AS stop, v FROM (
+                SELECT *, {value} AS v FROM (
+                    SELECT doc_id, source, p, i, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+                    FROM (SELECT doc_id, source, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (
+                        SELECT doc_id, source,
+                            string_split(regexp_replace(t, '({pattern})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS ps
+                        FROM texts))
+                ) WHERE i % 2 = 1
+            ) WHERE length(v) >= {least}{mixed if k == 3 else ''}""")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE: dict[str, str] = {
     "op6_ngram_jaccard_join": rf"""
         WITH RECURSIVE words AS (
@@ -42,6 +71,51 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id
         FROM sets
     """,
+    "op8_secret_scans": f"""
+        WITH texts AS (
+            SELECT doc_id, source, translate(coalesce(text, ''), chr(57344), chr(57345)) AS t FROM documents
+        ),
+        every AS ({_secret_spans()}),
+        found AS (
+            SELECT * FROM every e WHERE k < 3 OR NOT EXISTS (
+                SELECT 1 FROM every b WHERE b.doc_id = e.doc_id AND b.k < 3 AND b.start < e.stop AND e.start < b.stop)
+        ),
+        counts AS (
+            SELECT v, count(DISTINCT doc_id) AS repositories, count(DISTINCT coalesce(source, '')) AS owners FROM found GROUP BY v
+        ),
+        listed AS (
+            SELECT doc_id, k, start, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS s
+            FROM found JOIN counts USING (v) WHERE k < 3 OR (owners <= 1 AND repositories <= 5)
+        ),
+        per AS (
+            SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,
+                count(*) FILTER (WHERE k = 2) AS n_hex,
+                string_agg(s, ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base,
+                string_agg(s, ',' ORDER BY start, k) AS spans
+            FROM listed GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents LEFT JOIN per USING (doc_id)
+    """,
+    "op9_url_filters": r"""
+        WITH cut AS (
+            SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ),
+        parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM cut
+        ),
+        rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+            ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        fit AS (
+            SELECT page_id, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY page_id
+                ORDER BY length(rhost) DESC, length(rpath) DESC) AS place
+            FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM parts LEFT JOIN (SELECT * FROM fit WHERE place = 1) USING (page_id)
+    """,
     "op10_benchmark_decontamination": rf"""
         WITH d AS (
             SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import decontaminate, jaccard, line_dedup, packing, toxicity
+from linehaul.llm import decontaminate, jaccard, line_dedup, packing, secrets, toxicity, urls
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
@@ -42,6 +42,24 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_report(_read(spark, sf, "documents"))
 
 
+def op8_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_report(_read(spark, sf, "documents"))
+
+
+#: Fixed rules of the URL query: verdict, host, beginning of the path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op9_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.verdict_report(_read(spark, sf, "pages"), URL_RULES)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     documents, tests = _read(spark, sf, "documents"), _read(spark, sf, "benchmark")
     out = decontaminate.contamination_report(documents, tests)
@@ -50,5 +68,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op5_toxicity, op6_ngram_jaccard_join, op7_line_dedup, op10_benchmark_decontamination)
+    for f in (op1_packing, op5_toxicity, op6_ngram_jaccard_join, op7_line_dedup, op8_secret_scans, op9_url_filters, op10_benchmark_decontamination)
 }
