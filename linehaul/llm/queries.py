@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import decontaminate, jaccard, line_dedup, neighbours, packing, secrets, toxicity, urls
+from linehaul.llm import decontaminate, jaccard, line_dedup, neighbours, packing, secrets, suffix_dedup, toxicity, urls
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
@@ -34,6 +34,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(_read(spark, sf, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.repeat_report(_read(spark, sf, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity_report(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
 
@@ -72,5 +76,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op2_nearest_neighbours, op5_toxicity, op6_ngram_jaccard_join, op7_line_dedup, op8_secret_scans, op9_url_filters, op10_benchmark_decontamination)
+    for f in (op1_packing, op2_nearest_neighbours, op4_suffix_array_dedup, op5_toxicity, op6_ngram_jaccard_join, op7_line_dedup, op8_secret_scans, op9_url_filters, op10_benchmark_decontamination)
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,23 @@ from linehaul.session import hadoop_path, new_work_folder
 #: Rows of one Arrow batch handed to Python; bounds what a task holds with long texts.
 BATCH_ROWS = 256
 
+#: The folder that holds the package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 _written: list[str] = []
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Hand texts to Python in batches of few rows, whatever their length."""
+    """Hand texts to Python in batches of few rows, whatever their length.
+
+    Python workers find the package where the driver found it, as in a checkout that is
+    not installed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, ROOT]))
     return spark
 
 
