@@ -13,7 +13,7 @@ A token class (a cell of a fixed number of cells) is frequent where a task count
 tokens in four or more documents; this decides the plan only, never the result. Equal
 sets are one class and stand for one set. Buckets first link to a pivot, their smallest
 set; what that leaves unconnected is then paired bucket by bucket across components.
-A parity sketch bounds a pair's difference from below, and the pairs it lets through are
+Parity sketches bound a pair's difference from below, and the pairs they let through are
 verified on whole sets. So a group of near copies costs about one pair per copy.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing.
@@ -47,7 +47,7 @@ FREQUENT = 4
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 
-_SETS = "kind int, id bigint, n int, sid bigint, whole binary, sketch array<bigint>"
+_SETS = "kind int, id bigint, n int, sid bigint, whole binary, sketch array<bigint>, wide binary"
 
 
 def _sets(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -70,7 +70,8 @@ def _sets(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     "n": pa.array([len(t) for t in tokens], pa.int32()),
                     "sid": pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
                     "whole": pa.array(digests, pa.binary()),
-                    "sketch": pa.array([_sketch(t) for t in tokens], pa.list_(pa.int64())),
+                    "sketch": pa.array([_sketch(t, SKETCH).view(np.int64) for t in tokens], pa.list_(pa.int64())),
+                    "wide": pa.array([_sketch(t, _width(len(t))).tobytes() for t in tokens], pa.binary()),
                 }
             )
         cells = np.flatnonzero(seen >= FREQUENT)
@@ -83,18 +84,46 @@ def _sets(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 "sid": none.cast(pa.int64()),
                 "whole": none.cast(pa.binary()),
                 "sketch": none.cast(pa.list_(pa.int64())),
+                "wide": none.cast(pa.binary()),
             }
         )
 
     return run
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
+def _width(n: int) -> int:
+    """64-bit words of a set's wide sketch: a power of two, a bit or more per token."""
+    return max(SKETCH, 1 << ((n + 63) // 64 - 1).bit_length() if n else 0)
+
+
+def _sketch(tokens: np.ndarray, words: int) -> np.ndarray:
     """Bit i is the parity of the tokens that fall on it; two sketches differ in no more
-    bits than the sets have tokens that only one of them holds."""
-    cell = ((tokens >> np.uint64(32)) % np.uint64(64 * SKETCH)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=64 * SKETCH) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    bits than the sets have tokens that only one of them holds. Halves of a wide sketch
+    laid over each other are the sketch of half the width."""
+    cell = ((tokens >> np.uint64(32)) & np.uint64(64 * words - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=64 * words) & 1).astype(np.uint8))
+
+
+def _close(percent: int) -> Callable:
+    """Pairs whose sizes and wide sketches leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            columns = (batch[c].to_pylist() for c in ("na", "nb", "wa", "wb"))
+            for na, nb, x, y in zip(*columns):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                differ = int(np.bitwise_count(x ^ y).sum())
+                sizes = 100 * min(na, nb) >= percent * max(na, nb)
+                good.append(sizes and (100 + percent) * differ <= (100 - percent) * (na + nb))
+            part = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.record_batch({"a": part["a"], "b": part["b"]})
+
+    return run
 
 
 def _keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -230,7 +259,7 @@ def jaccard_components(
     classes = staged(
         sets.where("n > 0 and id is not null")
         .groupBy("whole", "sid", "n")
-        .agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")),
+        .agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")),
         "classes",
     )
     frequent = share(bit_set(both.where("kind = 1"), F.col("id"), CLASS_BITS))
@@ -244,28 +273,29 @@ def jaccard_components(
     several = staged(
         postings()
         .groupBy("k")
-        .agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.min(F.struct("sid", "id")).alias("pivot"))
+        .agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.min("id").alias("pivot"))
         .where("low <> high")
-        .select("k", F.col("pivot.id").alias("pivot")),
+        .select("k", "pivot"),
         "keys",
     )
     wanted = share(bit_set(several, F.col("k"), KEY_BITS))
     shape = F.struct("n", "sketch")
-    sizes = classes.groupBy("rep").agg(F.first(shape).alias("shape"))
+    sizes = classes.select("rep", shape.alias("shape"))
+    wide = classes.select("rep", "n", "wide")
     buckets = staged(
         postings(wanted).join(several, "k").groupBy("k", "sid").agg(F.min("id").alias("id"), F.min("pivot").alias("pivot")),
         "buckets",
     )
 
-    def shaped(pairs: DataFrame) -> DataFrame:
+    def close(pairs: DataFrame) -> DataFrame:
         """Pairs that could link, each once."""
-        x = sizes.select(F.col("rep").alias("a"), F.col("shape").alias("x"))
-        y = sizes.select(F.col("rep").alias("b"), F.col("shape").alias("y"))
+        x = wide.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+        y = wide.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
         once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return once.join(x, "a").join(y, "b").where(_could_link(percent)).select("a", "b")
+        return once.join(x, "a").join(y, "b").mapInArrow(_close(percent), "a bigint, b bigint")
 
     def verified(pairs: DataFrame, purpose: str) -> DataFrame:
-        pairs = staged(pairs, "pairs")
+        pairs = staged(close(pairs).distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         few = texts.mapInArrow(
             _tokens(n_words, share(bit_set(ids, F.col("id"), KEY_BITS))), "id bigint, tokens binary"
@@ -277,7 +307,7 @@ def jaccard_components(
         return staged(found.distinct(), purpose)
 
     star = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-    links = verified(shaped(star), "links")
+    links = verified(star, "links")
     joined = components(links)
 
     # Buckets that are not one component yet: members outside the pivot's component meet
@@ -299,7 +329,7 @@ def jaccard_components(
     )
     all_ = members.select("k", F.col("id").alias("b"), F.col("mine").alias("mb"), F.col("shape").alias("y"))
     across = out.join(all_, "k").where((F.col("ma") != F.col("mb")) & (F.col("b") != F.col("pivot")) & _could_link(percent))
-    more = verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links2")
+    more = verified(across.select("a", "b"), "links2")
 
     # One id in several classes ties them together.
     own = sets.join(classes.select("whole", "rep"), "whole").where("id is not null")

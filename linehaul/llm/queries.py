@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import decontaminate, jaccard, line_dedup, neighbours, packing, secrets, suffix_dedup, toxicity, urls
+from linehaul.llm import decontaminate, jaccard, line_dedup, neighbours, packing, secrets, suffix_dedup, token_counts, toxicity, urls
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
@@ -19,6 +19,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_vocabulary() -> str:
+    """The file of the 32,000 pieces, where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -34,6 +41,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(_read(spark, sf, "embeddings"), F.col("id") % 100 == 0)
 
 
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_report(_read(spark, sf, "documents"), piece_vocabulary())
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.repeat_report(_read(spark, sf, "documents"))
 
@@ -76,5 +87,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op2_nearest_neighbours, op4_suffix_array_dedup, op5_toxicity, op6_ngram_jaccard_join, op7_line_dedup, op8_secret_scans, op9_url_filters, op10_benchmark_decontamination)
+    for f in (op1_packing, op2_nearest_neighbours, op3_token_counts, op4_suffix_array_dedup, op5_toxicity, op6_ngram_jaccard_join, op7_line_dedup, op8_secret_scans, op9_url_filters, op10_benchmark_decontamination)
 }
