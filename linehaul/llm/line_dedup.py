@@ -10,7 +10,7 @@ small row on the other side.
 
 Defined results: a null text is one empty line. A null id counts as one document, after
 all others. Rows of one id are one document. An empty table gives an empty table. Extra
-columns are not read by :func:`line_report` and kept by :func:`drop_repeated_lines`.
+columns are kept by :func:`drop_repeated_lines` and play no part.
 """
 
 from __future__ import annotations
@@ -148,7 +148,8 @@ def probe(lines: DataFrame, index: DataFrame) -> DataFrame:
 def drop_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10
 ) -> DataFrame:
-    """The documents with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
+    """The documents with ``kept_text``, ``n_lines`` and ``n_dropped`` added, which take the
+    place of columns of these names.
 
     A line goes where its key is in the index and another document of a smaller id holds it.
     """
@@ -161,22 +162,21 @@ def drop_repeated_lines(
         .agg(F.collect_set("h1").alias("_drop"))
         .withColumnRenamed("doc", "_doc")
     )
-    joined = docs.join(
-        drops, F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)) == drops["_doc"], "left"
-    )
-    lines_of = text_lines(docs[text_col])
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("_doc"),
+        text_lines(docs[text_col]).alias("ls"),
+    ).join(drops, "_doc", "left")
     gone = lambda line: (F.char_length(line_key(line)) >= min_chars) & F.array_contains(
         F.col("_drop"), F.xxhash64(line_key(line))
     )
-    kept = F.when(F.col("_drop").isNull(), lines_of).otherwise(
-        F.filter(lines_of, lambda line: ~gone(line))
-    )
-    return (
-        joined.withColumn("_kept", kept)
-        .withColumn("kept_text", F.array_join("_kept", "\n"))
-        .withColumn("n_lines", F.size(lines_of).cast("long"))
-        .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-        .drop("_doc", "_drop", "_kept")
+    kept = F.when(F.col("_drop").isNull(), F.col("ls")).otherwise(F.filter("ls", lambda line: ~gone(line)))
+    added = ("kept_text", "n_lines", "n_dropped")
+    return rows.withColumn("kept", kept).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in added],
+        F.array_join("kept", "\n").alias("kept_text"),
+        F.size("ls").cast("long").alias("n_lines"),
+        (F.size("ls") - F.size("kept")).cast("long").alias("n_dropped"),
     )
 
 

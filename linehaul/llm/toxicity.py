@@ -44,7 +44,7 @@ def cells(text: str, keep: np.ndarray | None = None) -> np.ndarray:
     """Sorted distinct cells of the text's n-grams; of those in the mask, if there is one."""
     raw = (" " + text.lower() + " ").encode("utf-8", "replace")
     values = _FOLD[np.frombuffer(raw, np.uint8)].astype(np.uint64) + np.uint64(1)
-    found = []
+    found = [np.zeros(0, np.int32)]
     for at in range(0, len(values), BLOCK):
         v = values[at : at + BLOCK + ORDERS[-1] - 1]
         h = np.zeros(len(v), np.uint64)
@@ -156,6 +156,9 @@ def train(
         .mapInArrow(_fitted(share), "cells binary, weights binary, bias double")
         .first()
     )
+    if model is None:  # no labelled text at all
+        chosen, weights, bias = fit([], np.zeros(0, np.int64), share)
+        return chosen.tobytes(), weights.tobytes(), bias
     return bytes(model[0]), bytes(model[1]), model[2]
 
 
