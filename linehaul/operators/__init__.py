@@ -13,7 +13,9 @@ from .feed import (
     good_rows,
     is_json_document,
     json_lines,
+    json_reject_reason,
     parse_feed,
+    rejected_documents,
     rejected_rows,
     to_copy_rows,
     to_documents,
@@ -45,10 +47,12 @@ __all__ = [
     "in_time_range",
     "is_json_document",
     "json_lines",
+    "json_reject_reason",
     "latest_by_key",
     "load_report",
     "load_total",
     "parse_feed",
+    "rejected_documents",
     "rejected_rows",
     "relay_messages",
     "replay",

@@ -22,8 +22,9 @@ _CSV_OPTIONS = {
     "columnNameOfCorruptRecord": _CORRUPT,
 }
 _CSV = f"map({', '.join(repr(x) for kv in _CSV_OPTIONS.items() for x in kv)})"
-# The CSV parser gives up on texts of more than 20480 fields; shorter ones cannot have them.
-_LONG = 20_000
+# One field as the CSV parser takes it: a quoted part with text after it, or an open quote
+# to the end, or text in which quotes are plain; a line end closes all but quoted parts.
+_FIELD = r"""(?:"[^"]*+(?:""[^"]*+)*+"[^,\\r\\n]*+|"(?s:.*+)|[^,\\r\\n]*+)"""
 # Numeric fields in the order in which a bad one is reported.
 _NUMERIC = ["ts", "speed", "dist", "bearing", "rtid", "secstodep", "longitude", "latitude"]
 _HASHES = [n for n, _ in S.FEED_FIELDS[S.N_BASE :]]
@@ -35,21 +36,10 @@ def _quoted(name: str) -> str:
 
 
 def _first_record(line: str) -> str:
-    """SQL for the CSV record a text starts with.
-
-    A message may go on after a line end outside quotes, which ends the record.
-    """
-    ends = f"contains({line}, '\\n') OR contains({line}, '\\r')"
-    first = f"""regexp_extract({line}, '^(?:[^"\\r\\n]++|"[^"]*+")*+', 0)"""
-    return f"CASE WHEN {ends} THEN {_used_part(first)} ELSE {_used_part(line)} END"
-
-
-def _used_part(record: str) -> str:
-    """SQL for a record; of a very long one the fields in use and one more, to keep it marked."""
-    field = '(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*+),'
-    used = f"regexp_extract({record}, '^(?:{field}){{{S.N_FULL}}}', 0)"
-    return f"""CASE WHEN octet_length({record}) > {_LONG}
-        THEN coalesce(nullif({used}, ''), {record}) ELSE {record} END"""
+    """SQL for the fields in use, and one more to keep the record marked, of the CSV record a
+    text starts with. The same cut is made in every line, so that neither the length of a
+    line nor the number of its fields reaches the parser's limits."""
+    return f"regexp_extract({line}, '^(?:{_FIELD},){{0,{S.N_FULL}}}+{_FIELD}', 0)"
 
 
 def _as_double(token: str) -> str:
@@ -273,28 +263,57 @@ def to_documents(
     return with_id.select(F.inline(F.array(doc)))
 
 
+# Strict JSON, without the parser's own limits on numbers, names and texts; nesting stays
+# limited, as every level takes room on a task's stack.
+MAX_NESTING = 10_000
+_JSON_OPTIONS = {
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+    "maxNestingDepth": str(MAX_NESTING),
+    "maxNumLen": str(2**31 - 1),
+    "maxStringLen": str(2**31 - 1),
+}
+
+
 def is_json_document(value: str | Column) -> Column:
-    """True where the text is exactly one JSON value.
+    """True where the text is exactly one JSON value, nested ``MAX_NESTING`` deep at most.
 
-    The variant parser is strict but stops at the end of the first value. In an
-    array that also holds a hash of the text, anything after that value either
-    breaks the array or moves the hash from second place.
+    The parser stops at the end of the first value. In an array that also holds
+    a hash of the text, anything after that value either breaks the array or
+    moves the hash from second place.
     """
     value = F.col(value) if isinstance(value, str) else value
-    mark = F.xxhash64(value)
-    pair = F.concat(F.lit("["), value, F.lit(","), mark.cast("string"), F.lit("]"))
-    second = F.try_variant_get(F.try_parse_json(pair), "$[1]", "bigint")
-    return F.coalesce(second == mark, F.lit(False))
+    mark = F.xxhash64(value).cast("string")
+    pair = F.concat(F.lit("["), value, F.lit(","), mark, F.lit("]"))
+    both = F.from_json(pair, "array<string>", _JSON_OPTIONS)
+    return F.coalesce((F.size(both) == 2) & (F.get(both, F.lit(1)) == mark), F.lit(False))
+
+
+def json_reject_reason(value: str | Column) -> Column:
+    """Why a line is no document for a target: ``not_json`` (or nested too deep), ``not_an_object``; else null."""
+    value = F.col(value) if isinstance(value, str) else value
+    return (
+        F.when(~is_json_document(value), F.lit("not_json"))
+        .when(~F.ltrim(F.translate(value, "\t\r\n", "   ")).startswith("{"), F.lit("not_an_object"))
+        .otherwise(F.lit(None).cast("string"))
+    )
 
 
 def documents_from_json(df: DataFrame, schema: StructType, value: str = "line") -> DataFrame:
-    """JSON lines as columns, for a document target that takes rows.
+    """JSON lines as columns, for a document target that takes rows, and the whole text.
 
-    The schema is given: working it out would be a pass of its own over all lines.
+    The schema is given: working it out would be a pass of its own over all lines. What it
+    does not name stays in ``document``, the text as it came. Lines that are no JSON object
+    are left out; :func:`rejected_documents` has them.
     """
-    text = F.col(value)
-    valid = df.filter(is_json_document(text))
-    return valid.select(F.inline(F.array(F.from_json(text, schema))))
+    valid = df.filter(json_reject_reason(value).isNull())
+    known = F.from_json(F.col(value), schema, _JSON_OPTIONS)
+    return valid.select(F.inline(F.array(known)), F.col(value).alias("document"))
+
+
+def rejected_documents(df: DataFrame, value: str = "line") -> DataFrame:
+    """The lines that are no JSON object, with their ``reject_reason``."""
+    return df.withColumn("reject_reason", json_reject_reason(value)).filter("reject_reason is not null")
 
 
 def json_lines(df: DataFrame, value: str = "line") -> DataFrame:

@@ -19,7 +19,9 @@ from linehaul.operators.feed import (
     good_rows,
     is_json_document,
     json_lines,
+    json_reject_reason,
     parse_feed,
+    rejected_documents,
     rejected_rows,
     to_copy_rows,
     to_documents,
@@ -37,13 +39,13 @@ def reasons(parsed):
 
 def test_literal_lines_give_typed_values(feed):
     a, b = good_rows(parse_feed(feed(LINE1, LINE2), hashes=True)).orderBy("n").collect()
-    assert a.planeid == "0" and a.ts == 1506957079575 and a.speed == 240.25
-    assert a.dist == 5024.32 and a.bearing == -70.72 and a.rtid == 1 and a.secstodep == -1
-    assert a.orig == "Mielec Airport" and a.dest == "Frank Pais International Airport"
-    assert (a.longitude, a.latitude) == (-31.88592, 49.21297)
+    assert a.planeid == "0" and a.ts == 1533036645250 and a.speed == 301.5
+    assert a.dist == 812.25 and a.bearing == -45.5 and a.rtid == 1 and a.secstodep == -1
+    assert a.orig == "Harbour Field" and a.dest == "North Lake Airfield"
+    assert (a.longitude, a.latitude) == (-12.53175, 38.40721)
     assert (a.geohash, a.sqrhash, a.pntytrihash, a.flattrihash) == ("AAA", "BBB", "CCC", "DDD")
-    assert (b.longitude, b.latitude) == (160.948738273412, 67.805666315828)
-    assert b.flattrihash == "BCFBCGFBBACFBBCFBCGEEGFABBBCEG"
+    assert (b.longitude, b.latitude) == (151.207345120984, -33.868901745211)
+    assert b.flattrihash == "DBAFCEGDBAFCEGDBAFCEGDBAFCEG"
 
 
 def test_reject_reasons(feed):
@@ -100,12 +102,12 @@ def test_shapes_with_hashes_need_all_fields(feed):
 
 
 def test_quotes_and_raw_tokens(feed):
-    line = '5,1,1.0,2.0,3.0,4,"Mie ""x"" lec, A",B,-1,-31.885920,+49.10,"g,1",,"",z'
+    line = '5,1,1.0,2.0,3.0,4,"Har ""x"" bour, A",B,-1,-12.531750,+38.10,"g,1",,"",z'
     rows = good_rows(parse_feed(feed(line), hashes=True))
     r = rows.first()
-    assert r.orig == 'Mie "x" lec, A' and r.dest == "B"
+    assert r.orig == 'Har "x" bour, A' and r.dest == "B"
     assert (r.geohash, r.sqrhash, r.pntytrihash, r.flattrihash) == ("g,1", "", "", "z")
-    assert to_planes12(rows, id_from="uuid").first().geometry == "POINT (-31.885920 +49.10)"
+    assert to_planes12(rows, id_from="uuid").first().geometry == "POINT (-12.531750 +38.10)"
 
 
 def test_numeric_plane_id(feed):
@@ -117,7 +119,7 @@ def test_numeric_plane_id(feed):
 def test_failfast_stops_the_job(feed):
     assert parse_feed(feed(LINE1), mode="failfast").count() == 1
     with pytest.raises(PySparkException, match="bad_ts: 0,bad"):
-        parse_feed(feed(LINE1, LINE1.replace("1506957079575", "bad")), mode="failfast").collect()
+        parse_feed(feed(LINE1, LINE1.replace("1533036645250", "bad")), mode="failfast").collect()
 
 
 def test_column_names_of_the_feed_are_refused(feed):
@@ -139,14 +141,14 @@ def test_each_line_is_parsed_once(feed):
 
 
 def test_a_message_ends_with_its_first_record(feed):
-    quoted = LINE1.replace('"Mielec Airport"', '"Mielec\n""Airport"""')
+    quoted = LINE1.replace('"Harbour Field"', '"Harbour\n""Field"""')
     parsed = parse_feed(
         feed(LINE1 + "\n", LINE1 + "\r\n" + LINE2, "\n" + LINE1, quoted + "\nx", '1,"x\n' + LINE1),
         hashes=True,
     )
     rows = {r.n: r for r in parsed.collect()}
     assert rows[0].flattrihash == rows[1].flattrihash == rows[3].flattrihash == "DDD"
-    assert rows[3].orig == 'Mielec\n"Airport"' and rows[3].reject_reason is None
+    assert rows[3].orig == 'Harbour\n"Field"' and rows[3].reject_reason is None
     assert rows[2].reject_reason == rows[4].reject_reason == "too_few_fields"
     assert rows[1].line == LINE1 + "\r\n" + LINE2
 
@@ -156,8 +158,8 @@ def test_very_long_lines_are_read_whole(feed):
     doubled = '"' + '""' * 50_000 + '"'
     lines = [
         LINE1 + ",x" * 30_000,
-        LINE1.replace('"Mielec Airport"', long_name),
-        LINE1.replace('"Mielec Airport"', doubled) + ",y",
+        LINE1.replace('"Harbour Field"', long_name),
+        LINE1.replace('"Harbour Field"', doubled) + ",y",
         "," * 50_000,
         "1" * 50_000,
         ("a," * 9 + '"' + "b," * 20_000),
@@ -173,7 +175,7 @@ def test_very_long_lines_are_read_whole(feed):
 
 def test_special_numbers_are_spelled_as_in_java(feed):
     def speed_and_lat(token):
-        return LINE1.replace("240.25", token), LINE1.replace("49.21297", token)
+        return LINE1.replace("301.5", token), LINE1.replace("38.40721", token)
 
     tokens = {
         "NaN": True, "Infinity": True, "-Infinity": True, "1e999": True, "1d": True, " 5 ": True,
@@ -230,9 +232,9 @@ def test_planes12_by_name(spark, feed):
     rows = to_planes12(good_rows(parse_feed(feed(LINE1), id_type="bigint")))
     assert rows.dtypes == [(f.name, f.dataType.simpleString()) for f in S.planes12()]
     r = rows.first()
-    assert (r.id, r.lon, r.lat) == (0, -31.88592, 49.21297)
+    assert (r.id, r.lon, r.lat) == (0, -12.53175, 38.40721)
     assert r.ts == datetime.fromtimestamp(1506957079.575)
-    assert r.geometry == "POINT (-31.88592 49.21297)"
+    assert r.geometry == "POINT (-12.53175 38.40721)"
 
 
 def test_planes12_ingest_time_and_uuid(feed):
@@ -252,15 +254,15 @@ def test_planes16_and_planes18(feed):
     assert to_planes16(rows).schema.names == S.PLANES16.names
     r = to_planes18(rows.withColumn("objectid", F.lit(7))).first()
     assert (r.objectid, r.plane_id) == (7, "0")
-    assert (r.geometry.lon, r.geometry.lat) == (r.lon, r.lat) == (-31.88592, 49.21297)
+    assert (r.geometry.lon, r.geometry.lat) == (r.lon, r.lat) == (-12.53175, 38.40721)
     assert r.esri_geohash_pointytriangle_102100_30 == "CCC" and len(r.globalid) == 36
 
 
 def test_copy_rows(feed):
     rows = good_rows(parse_feed(feed(LINE1), hashes=True))
     r = to_copy_rows(rows).first()
-    assert r.ts == "2017-10-02 15:11:19.575"
-    assert r.geometry == "SRID=4326;POINT (-31.88592 49.21297)"
+    assert r.ts == "2018-07-31 11:30:45.250"
+    assert r.geometry == "SRID=4326;POINT (-12.53175 38.40721)"
     g = to_copy_rows(rows, with_globalid=True)
     assert g.schema.names == S.COPY16_GLOBAL.names
     assert g.first().esri_geohash_pointytriangle_102100_26 == "CCC"
@@ -280,7 +282,7 @@ def test_copy_line_quotes_text_and_marks_null(feed):
 @pytest.mark.parametrize("hashes", [False, True])
 @pytest.mark.parametrize("agg", [False, True])
 def test_documents(feed, hashes, agg):
-    quoted = LINE2.replace("Cozumel", 'Co""z""umel')
+    quoted = LINE2.replace("Old Mill", 'Old ""M""ill')
     rows = good_rows(parse_feed(feed(LINE1, quoted), hashes=True))
     docs = to_documents(rows.withColumn("objectid", F.col("n") + 1), hashes, agg)
     a, b = sorted((json.loads(r.document) for r in docs.collect()), key=lambda d: d["objectid"])
@@ -291,13 +293,13 @@ def test_documents(feed, hashes, agg):
     names += ["square", "pointy", "flat"] if hashes else []
     names += ["---geo_hash---"] if agg else []
     assert list(a) == names + ["geometry"]
-    assert a["geometry"] == [-31.88592, 49.21297] and a["ts"] == 1506957079575
+    assert a["geometry"] == [-12.53175, 38.40721] and a["ts"] == 1533036645250
     assert a["planeid"] == "0" and a["secsToDep"] == -1
     if hashes:
         assert (a["square"], a["pointy"], a["flat"]) == ("BBB", "CCC", "DDD")
     if agg:
         assert a["---geo_hash---"] == a["geometry"]
-    assert b["orig"] == 'Co"z"umel International Airport'
+    assert b["orig"] == 'Old "M"ill Airport'
     columns = to_documents(rows.withColumn("objectid", F.lit(1)), hashes, agg, as_text=False)
     assert columns.columns == names + ["geometry"]
 
@@ -324,13 +326,41 @@ def test_json_lines(spark):
     assert df.filter(is_json_document("line")).count() == 3
 
 
+def test_json_without_the_parsers_limits(spark):
+    cases = {
+        '{"a":"' + "x" * 21_000_000 + '"}': None,
+        '{"a":' + "1" * 1200 + "}": None,
+        '{"a":' + "[" * 1100 + "]" * 1100 + "}": None,
+        '{"a":1,"a":2}': None,
+        "[1]": "not_an_object",
+        "7": "not_an_object",
+        '{"a":1}{': "not_json",
+        "": "not_json",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "n int, line string")
+    got = {r.n: r.reason for r in df.select("n", json_reject_reason("line").alias("reason")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    whole = documents_from_json(df, S.document(False)).select(F.md5("document").alias("m")).collect()
+    assert len(whole) == 4
+    assert rejected_documents(df).count() == 4
+
+
+@pytest.mark.parametrize("name", ['"a,b"x', '"a""b"', "plain", 'a"b', '"a,b"x"y', '"x\ny"', '""'])
+def test_length_and_number_of_fields_change_nothing(feed, name):
+    line = LINE1.replace('"Harbour Field"', name)
+    pads = [",".join(["e" * n]) for n in (1, 19_999, 20_001, 1_000_000)] + [",".join(["z"] * 30_000)]
+    lines = [line, *[f"{line},{p}" for p in pads], f"{line}\nnext,1,2", f"{line},{pads[1]}\nnext"]
+    rows = parse_feed(feed(*lines), hashes=True).drop("n", "line").collect()
+    assert len({tuple(r) for r in rows}) == 1 and rows[0].flattrihash == "DDD"
+
+
 def test_documents_from_json_lines(spark, feed):
     rows = good_rows(parse_feed(feed(LINE1, LINE2), hashes=True)).withColumn("objectid", F.col("n"))
     texts = to_documents(rows).withColumnRenamed("document", "line")
     broken = spark.createDataFrame([('{"objectid":',)], "line string")
     docs = documents_from_json(texts.union(broken), S.document(True))
     a, b = docs.orderBy("objectid").collect()
-    assert a.square == "BBB" and a.geometry == [-31.88592, 49.21297] and b.rtid == 2
+    assert a.square == "BBB" and a.geometry == [-12.53175, 38.40721] and b.rtid == 2
 
 
 def test_no_python_in_the_row_path(feed):

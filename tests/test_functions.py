@@ -36,8 +36,8 @@ def test_points(spark):
 
 
 def test_first_of_list(spark):
-    many = "a104,a105,a106,a107,a108,a109,a110,a101,a102,a103"
-    for text, want in [(many, "a104"), ("a104", "a104"), (",b", ""), ("", "")]:
+    many = "n7,n3,n11,n2,n9,n1"
+    for text, want in [(many, "n7"), ("n7", "n7"), (",b", ""), ("", "")]:
         assert one(spark, first_of_list("s"), s=text) == want
 
 
@@ -67,7 +67,7 @@ def test_split_lines_cuts_like_a_file_reader(spark, tmp_path):
 
 
 def test_format_and_chunks(spark):
-    assert one(spark, format_epoch_ms("ms"), ms=1506957079575) == "2017-10-02 15:11:19.575"
+    assert one(spark, format_epoch_ms("ms"), ms=1533036645250) == "2018-07-31 11:30:45.250"
     assert one(spark, format_epoch_ms("ms"), ms=0) == "1970-01-01 00:00:00.000"
     df = spark.createDataFrame([(-1,), (0,), (59_999_999,), (60_000_000,)], "us bigint")
     got = df.select(chunk_number(F.timestamp_micros("us"), 60_000_000).alias("c"))
