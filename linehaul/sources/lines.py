@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,20 +31,25 @@ def s3a_options(
     return {k: v for k, v in options.items() if v is not None}
 
 
-def object_key(file_path: Column, root: str) -> Column:
-    """Path of a file relative to ``root`` (a qualified URI), as an object store lists it.
+def object_key(file_path: Column, *roots: str) -> Column:
+    """Path of a file relative to the first of the roots (absolute, with or without scheme)
+    that it lies below, as an object store lists it; the name of a file that is a root itself.
 
-    This is evaluated for every line, so it is kept to a few byte searches:
-    escapes are undone only where there are any, and as nothing but scheme and
-    slashes comes before the root, its first place in the URI is the right one.
+    Escapes are undone only where there are any, and as nothing but scheme and
+    slashes comes before a root, its first place in the URI is the right one.
     """
     unescaped = F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
     plain = F.when(F.contains(file_path, F.lit("%")), unescaped).otherwise(file_path)
-    prefix = root.split(":", 1)[-1].strip("/") + "/"
-    if prefix == "/":
-        return F.regexp_replace(plain, r"^[^:/]+:/+", "")
-    prefix = "/" + prefix
-    return F.substr(plain, F.locate(prefix, plain) + F.lit(len(prefix)))
+    key = F.substring_index(plain, "/", -1)
+    for root in reversed(roots):
+        prefix = root.split(":", 1)[-1].strip("/") + "/"
+        if prefix == "/":
+            key = F.regexp_replace(plain, r"^[^:/]+:/+", "")
+            continue
+        prefix = "/" + prefix
+        at = F.locate(prefix, plain)
+        key = F.when(at > 0, F.substr(plain, at + F.lit(len(prefix)))).otherwise(key)
+    return key
 
 
 def full_match(value: str | Column, regex: str) -> Column:
@@ -53,14 +58,24 @@ def full_match(value: str | Column, regex: str) -> Column:
     return value.rlike(rf"\A(?:{regex})\z")
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    fs, p = hadoop_path(spark, path)
+def _paths(path: str | list[str]) -> list[str]:
+    """A comma list, as Hadoop takes it, or a list as it is; commas in braces part nothing."""
+    return path if isinstance(path, list) else re.split(r",(?![^{]*\})", path)
+
+
+def _root(spark: SparkSession, path: str) -> str:
+    """The folder that keys are relative to: the path up to its first pattern."""
+    fixed = re.split(r"[*?\[{]", path, maxsplit=1)
+    root = path if len(fixed) == 1 else fixed[0].rsplit("/", 1)[0]
+    if root.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root):
+        return root
+    fs, p = hadoop_path(spark, root or ".")
     return fs.makeQualified(p).toString()
 
 
 def read_lines(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     key_regex: str | None = None,
     recursive: bool = False,
     options: dict[str, str] | None = None,
@@ -68,7 +83,9 @@ def read_lines(
 ) -> DataFrame:
     """``(file, line)`` of a file, a folder or, with ``recursive``, all objects below a prefix.
 
-    ``file`` is the path relative to ``path`` (the name, for a single file).
+    Patterns and comma lists of paths are taken as Hadoop takes them. ``file``
+    is the path relative to ``path`` (the name, for a single file; below a
+    pattern, relative to the folder before it).
     ``key_regex`` must match it entirely; the condition only looks at file
     paths, so files that do not match are never opened. A missing path gives a
     warning and no rows. ``with_file=False`` leaves ``file`` out: naming the
@@ -78,61 +95,59 @@ def read_lines(
         lines = (
             spark.read.options(**(options or {}))
             .option("recursiveFileLookup", str(recursive).lower())
-            .text(path)
+            .text(_paths(path))
         )
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         log.warning("no files in %s", path)
         return spark.createDataFrame([], LINES if with_file else "line string")
-    return _with_key(spark, lines, path, key_regex, with_file)
+    return _with_key(spark, lines, _paths(path), key_regex, with_file)
 
 
 def _with_key(
     spark: SparkSession,
     lines: DataFrame,
-    path: str,
+    paths: list[str],
     key_regex: str | None,
     with_file: bool = True,
 ) -> DataFrame:
     line = F.col("value").alias("line")
     if key_regex is None and not with_file:
         return lines.select(line)
-    root = _qualified(spark, path)
-    fs, p = hadoop_path(spark, path)
-    if fs.exists(p) and fs.getFileStatus(p).isFile():
-        root = root.rsplit("/", 1)[0]
-    key = object_key(F.col("_metadata.file_path"), root)
+    key = object_key(F.col("_metadata.file_path"), *[_root(spark, p) for p in paths])
     if key_regex is not None:
         lines = lines.filter(full_match(key, key_regex))
     return lines.select(key.alias("file"), line) if with_file else lines.select(line)
 
 
 def list_files(
-    spark: SparkSession, path: str, recursive: bool = False, options: dict[str, str] | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    key_regex: str | None = None,
+    recursive: bool = False,
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
     """``(file)`` for every file below the path, those without any line included.
 
-    Spark's own file index, which already holds these names on the driver to
-    plan the scan, is the source.
+    A scan that asks for no content, so the names come from the tasks.
     """
+    paths = _paths(path)
     try:
-        listed = (
+        found = (
             spark.read.options(**(options or {}))
+            .format("binaryFile")
             .option("recursiveFileLookup", str(recursive).lower())
-            .text(path)
-            .inputFiles()
+            .load(paths)
         )
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "file string")
-    fs, p = hadoop_path(spark, path)
-    root = _qualified(spark, path)
-    if fs.exists(p) and fs.getFileStatus(p).isFile():
-        root = root.rsplit("/", 1)[0]
-    names = spark.createDataFrame([(f,) for f in listed], "uri string")
-    return names.select(object_key(F.col("uri"), root).alias("file"))
+    key = object_key(F.col("_metadata.file_path"), *[_root(spark, p) for p in paths])
+    if key_regex is not None:
+        found = found.filter(full_match(key, key_regex))
+    return found.select(key.alias("file"))
 
 
 def read_line_stream(
@@ -141,18 +156,32 @@ def read_line_stream(
     start: str = "earliest",
     files_per_batch: int | None = None,
     options: dict[str, str] | None = None,
+    start_file: str | None = None,
 ) -> DataFrame:
     """Streaming ``(file, line)`` of a folder that files are dropped into.
 
-    ``start='latest'`` takes only files written after this call.
+    ``start='latest'`` takes only files written after the stream was first set
+    up. That moment is kept in ``start_file``, a path next to the checkpoint,
+    so that a restart does not move it and files that came meanwhile are read.
     """
     reader = spark.readStream.format("text").options(**(options or {}))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     lines = reader.load(path)
     if start == "latest":
-        now = datetime.now(timezone.utc)
-        lines = lines.filter(F.col("_metadata.file_modification_time") > F.lit(now))
+        if start_file is None:
+            raise ValueError("start='latest' needs start_file")
+        since = F.timestamp_micros(F.lit(_first_start(spark, start_file)))
+        lines = lines.filter(F.col("_metadata.file_modification_time") > since)
     elif start != "earliest":
         raise ValueError("start must be 'earliest' or 'latest'")
-    return _with_key(spark, lines, path, None)
+    return _with_key(spark, lines, [path], None)
+
+
+def _first_start(spark: SparkSession, start_file: str) -> int:
+    """Microseconds of the first start, written down by it."""
+    fs, p = hadoop_path(spark, start_file)
+    if not fs.exists(p):
+        now = spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("since"))
+        now.coalesce(1).write.mode("overwrite").parquet(start_file)
+    return spark.read.schema("since long").parquet(start_file).first()[0]

@@ -43,7 +43,9 @@ def read_topic(
     """``(key, value, topic, partition, offset, timestamp)``, key and value as text."""
     if not streaming:
         # A batch read needs a finite range: everything there is right now.
-        options = {**options, "startingOffsets": "earliest", "endingOffsets": "latest"}
+        # Offsets that the caller gave stay; "latest" is a stream's default start.
+        given = {k: v for k, v in options.items() if (k, v) != ("startingOffsets", "latest")}
+        options = {"startingOffsets": "earliest", "endingOffsets": "latest"} | given
     reader = spark.readStream if streaming else spark.read
     records = reader.format(source).options(**options).load()
     return records.select(

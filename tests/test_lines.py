@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,29 @@ def test_escaped_characters_in_the_folder(spark, tmp_path):
     assert sorted(r.file for r in files.collect()) == [f for f, _ in want]
 
 
+def test_patterns_and_lists_of_paths(spark, tmp_path):
+    for n in ("g/x1/f.txt", "g/x2/f.txt", "g/y/f.txt", "h/k.txt"):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(f"{n}\n")
+    pattern = f"{tmp_path}/g/x*/f.txt"
+    assert sorted(pairs(read_lines(spark, pattern))) == [
+        ("x1/f.txt", "g/x1/f.txt"), ("x2/f.txt", "g/x2/f.txt"),
+    ]
+    assert pairs(read_lines(spark, pattern, r"x2/.*")) == [("x2/f.txt", "g/x2/f.txt")]
+    both = f"{tmp_path}/g/{{x1,y}},{tmp_path}/h/k.txt"
+    assert sorted(pairs(read_lines(spark, both))) == [
+        ("k.txt", "h/k.txt"), ("x1/f.txt", "g/x1/f.txt"), ("y/f.txt", "g/y/f.txt"),
+    ]
+    assert sorted(r.file for r in list_files(spark, both).collect()) == ["k.txt", "x1/f.txt", "y/f.txt"]
+    found = list_files(spark, str(tmp_path / "g"), r"y/.*", recursive=True)
+    assert pairs(found) == [("y/f.txt",)]
+
+
+def test_a_path_relative_to_the_working_folder(spark, folder, monkeypatch):
+    relative = os.path.relpath(folder)
+    assert sorted({f for f, _ in pairs(read_lines(spark, relative))}) == ["a.txt", "c.txt"]
+
+
 def test_lines_without_their_file(spark, folder):
     lines = read_lines(spark, str(folder), with_file=False)
     assert lines.columns == ["line"] and lines.count() == 6
