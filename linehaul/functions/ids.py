@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linehaul.session import new_work_folder
 
-# Rows of the offset table that may be broadcast (16 bytes each). The table has
-# one row per write task, so only jobs with millions of tasks go past this.
-BROADCAST_ROWS = 1_000_000
-
-_UNHASHABLE = ("map", "variant")
+# Write tasks per block of the offsets: sums run within blocks, and over blocks in one pass.
+_BLOCK = 4096
 _POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row below
 
 
@@ -39,8 +36,20 @@ def row_hash(df: DataFrame) -> Column:
     It depends on nothing but the row, so a repeated task puts every row where
     it was before.
     """
-    usable = [f.name for f in df.schema if not f.dataType.simpleString().startswith(_UNHASHABLE)]
-    return F.expr(f"xxhash64({', '.join(f'`{n}`' for n in usable)})")
+    parts = []
+    for f in df.schema:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        parts.append(c if _hashable(f.dataType) else F.to_json(F.struct(c.alias("c"))))
+    return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
+
+
+def _hashable(kind: T.DataType) -> bool:
+    """Whether Spark's hash takes the type; maps and variants have no hash at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def with_objectid(
@@ -56,7 +65,18 @@ def with_objectid(
     task its offset. Without ``order_by`` nothing is shuffled. With it, rows are
     range-partitioned and sorted in parallel. Equal keys are put in the order of
     a hash of their rows, which also lets a very frequent key spread over tasks.
+    Select the columns you need before: all of them are staged.
     """
+    return numbered_rows(df, order_by, start, name)[0]
+
+
+def numbered_rows(
+    df: DataFrame,
+    order_by: list[str | Column] | None = None,
+    start: int = 1,
+    name: str = "objectid",
+) -> tuple[DataFrame, DataFrame]:
+    """What :func:`with_objectid` gives, and ``(total)``, the number of its rows."""
     spark = df.sparkSession
     if order_by:
         df = df.orderBy(*order_by, row_hash(df))
@@ -70,15 +90,31 @@ def with_objectid(
     numbered.write.parquet(staged)
     rows = spark.read.schema(numbered.schema).parquet(staged)
 
-    # One row per write task, which is little for the driver: it has handled each of them.
-    counts = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).toArrow().sort_by("_task")
-    n = counts["_n"].to_numpy()
-    offsets = pa.table({"_task": counts["_task"], "_before": n.cumsum() - n})
-    small = spark.createDataFrame(offsets)
-    if offsets.num_rows <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return (
-        rows.join(small, "_task")
+    # One row per write task; written, so that Spark knows its size: it is broadcast below
+    # the session's threshold and joined by a shuffle beyond.
+    counts = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_block", F.expr(f"_task div {_BLOCK}"))
+    earlier = Window.unboundedPreceding, -1
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n"))
+    blocks = blocks.select(
+        "_block", F.sum("_n").over(Window.orderBy("_block").rowsBetween(*earlier)).alias("_blocks")
+    )
+    inside = Window.partitionBy("_block").orderBy("_task").rowsBetween(*earlier)
+    offsets = (
+        counts.withColumn("_inside", F.sum("_n").over(inside))
+        .join(blocks, "_block")
+        .select(
+            "_task",
+            "_n",
+            (F.coalesce("_blocks", F.lit(0)) + F.coalesce("_inside", F.lit(0))).alias("_before"),
+        )
+    )
+    placed = new_work_folder(spark, "offsets")
+    offsets.write.parquet(placed)
+    offsets = spark.read.schema(offsets.schema).parquet(placed)
+    out = (
+        rows.join(offsets.drop("_n"), "_task")
         .withColumn(name, F.col("_before") + F.col("_place") + F.lit(start))
         .drop("_task", "_place", "_before")
     )
+    return out, offsets.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"))

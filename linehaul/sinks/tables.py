@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from linehaul.functions.times import WEEK_US
-from linehaul.operators.keyed import clustered, latest_by_key, with_chunk
+from linehaul.operators.keyed import CHUNK, clustered, latest_by_key, with_chunk
+from linehaul.session import hadoop_path
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -32,6 +34,8 @@ def append(
     if schema is not None:
         df = conform(df, schema)
     writer = df.write.format(fmt).mode("overwrite" if recreate_first else "append")
+    if recreate_first:  # all partitions go, whatever the session's mode
+        writer = writer.option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
@@ -43,10 +47,12 @@ def write_chunked(
     """Write with one folder per time chunk.
 
     Rows are rebalanced by chunk: small chunks end up in one file, a chunk that
-    holds a large share of the rows is split over several tasks at run time.
+    holds a large share of the rows is split over several tasks at run time. The
+    folder's name holds the interval, so readers need not be told.
     """
-    rows = with_chunk(df, ts, interval_us).hint("rebalance", "chunk")
-    append(rows, path, recreate_first=recreate_first, partition_by=["chunk"])
+    name = f"{CHUNK}{interval_us}"
+    rows = with_chunk(df, ts, interval_us).hint("rebalance", name)
+    append(rows, path, recreate_first=recreate_first, partition_by=[name])
 
 
 def write_clustered(
@@ -78,3 +84,66 @@ def read_keyed(
 def write_batch_once(df: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
     """Write a micro-batch to a folder of its own, replacing what a failed try left there."""
     df.write.format(fmt).mode("overwrite").save(f"{path}/batch_id={batch_id}")
+
+
+# Batches of one folder of a batch log.
+LOG_BATCHES = 1000
+
+
+def keep_batch(
+    spark: SparkSession, path: str, batch_id: int, schema: str, rows: list[tuple]
+) -> None:
+    """Note a few values of a micro-batch; a repeated batch replaces its own note.
+
+    Notes lie one folder a batch at first. When a block of ``LOG_BATCHES`` is over, they are
+    put into one folder, so a log of any age has few folders.
+    """
+    note = spark.createDataFrame(rows, schema).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    note.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    block = batch_id // LOG_BATCHES - 1
+    if block >= 0 and batch_id % LOG_BATCHES == 1:
+        _merge_block(spark, path, block, schema)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All notes of a batch log, a batch once."""
+    fields = f"{schema}, batch_id long"
+    try:
+        notes = spark.read.schema(fields).option("recursiveFileLookup", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], fields)
+    # While a block is being put together its notes lie there twice, with equal values.
+    return notes.dropDuplicates(["batch_id"])
+
+
+def _merge_block(spark: SparkSession, path: str, block: int, schema: str) -> None:
+    fs, root = hadoop_path(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    end = (block + 1) * LOG_BATCHES
+    old = [n for n in names if n.startswith("batch=") and int(n[6:]) < end]
+    if not old:
+        return
+    notes = spark.read.schema(f"{schema}, batch_id long").parquet(*[f"{path}/{n}" for n in old])
+    notes.coalesce(1).write.mode("overwrite").parquet(f"{path}/block={block}")
+    for n in old:
+        fs.delete(hadoop_path(spark, f"{path}/{n}")[1], True)
+
+
+def compact_keyed(
+    spark: SparkSession,
+    path: str,
+    target: str,
+    keys: list[str],
+    arrival: str | Column,
+    through: int,
+) -> None:
+    """Write the current rows of a keyed table of batches up to ``through`` to a new place.
+
+    There they are the batch ``through``, in as many files as their size needs;
+    readers change to ``target`` and later batches are written there.
+    """
+    batches = spark.read.parquet(path).filter(F.col("batch_id") <= through)
+    current = latest_by_key(batches, keys, arrival).drop("batch_id")
+    write_batch_once(current, through, target)

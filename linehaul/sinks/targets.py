@@ -21,6 +21,8 @@ class Target:
     options: dict[str, str] = field(default_factory=dict)
     path: str | None = None
     overwrite_options: dict[str, str] = field(default_factory=dict)
+    #: Most tasks that write at a time.
+    tasks: int | None = None
 
 
 def _given(**options) -> dict[str, str]:
@@ -86,12 +88,13 @@ def postgres(
     password: str,
     port: int = 5432,
     batch_rows: int = 10_000,
-    connections: int = 64,
+    connections: int | None = None,
 ) -> Target:
     """Rows of a relational table, sent in large multi-row inserts.
 
-    At most ``connections`` tasks write at a time. Text goes into uuid, time
-    and geometry columns as is; the server casts it.
+    With ``connections``, so many tasks write at a time; rows are dealt out to them
+    after all else is computed, so the work before is not narrowed. Text goes
+    into uuid, time and geometry columns as is; the server casts it.
     """
     options = {
         "url": f"jdbc:postgresql://{host}:{port}/{database}"
@@ -104,20 +107,22 @@ def postgres(
         "numPartitions": connections,
     }
     # Overwriting keeps the table definition (chunks, indexes) and drops its rows.
-    return Target("jdbc", _given(**options), overwrite_options={"truncate": "true"})
+    return Target(
+        "jdbc", _given(**options), overwrite_options={"truncate": "true"}, tasks=connections
+    )
 
 
 def topic(
     brokers: str,
     name: str,
     acks: str = "1",
-    retries: int = 0,
-    batch_bytes: int = 16384,
-    linger_ms: int = 1,
-    buffer_bytes: int = 8_192_000,
-    request_timeout_ms: int = 11_000,
+    retries: int | None = None,
+    batch_bytes: int | None = None,
+    linger_ms: int | None = None,
+    buffer_bytes: int | None = None,
+    request_timeout_ms: int | None = None,
 ) -> Target:
-    """Messages ``(key, value)`` to a topic."""
+    """Messages ``(key, value)`` to a topic; what is not given is left to the client."""
     options = {
         "kafka.bootstrap.servers": brokers,
         "topic": name,
@@ -134,6 +139,8 @@ def topic(
 def write(df: DataFrame, target: Target, recreate_first: bool = False) -> None:
     """Append rows to a target; with ``recreate_first`` they replace what it holds."""
     options = {**target.options, **(target.overwrite_options if recreate_first else {})}
+    if target.tasks:
+        df = df.repartition(target.tasks)
     writer = df.write.format(target.fmt).options(**options)
     writer = writer.mode("overwrite" if recreate_first else "append")
     writer.save(target.path) if target.path else writer.save()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linehaul.operators.counts import running_total
-from linehaul.sinks.tables import write_batch_once
+from linehaul.sinks.tables import keep_batch, read_batches
 from linehaul.streaming.run import run_stream
 
 COUNTS_SCHEMA = "ts long, count long"
@@ -26,11 +26,11 @@ def count_batches(
 ) -> StreamingQuery:
     """Store ``(ts, count)`` of every micro-batch; a repeated batch replaces its own row."""
 
+    spark = stream.sparkSession
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        one = batch.agg(F.count(F.lit(1)).alias("count")).select(
-            F.unix_millis(F.current_timestamp()).alias("ts"), "count"
-        )
-        write_batch_once(one.coalesce(1), batch_id, counts_path)
+        one = batch.agg(F.count(F.lit(1)), F.unix_millis(F.current_timestamp())).first()
+        keep_batch(spark, counts_path, batch_id, COUNTS_SCHEMA, [(one[1], one[0])])
 
     return run_stream(stream, store, checkpoint, trigger)
 
@@ -39,8 +39,7 @@ def stored_report(
     spark: SparkSession, counts_path: str, empty_batches: bool = False
 ) -> DataFrame:
     """``(batch_id, ts, count, total)`` of the stored batches, by default the non-empty ones."""
-    stored = spark.read.schema(f"{COUNTS_SCHEMA}, batch_id long").parquet(counts_path)
-    report = running_total(stored, "batch_id")
+    report = running_total(read_batches(spark, counts_path, COUNTS_SCHEMA), "batch_id")
     if not empty_batches:
         report = report.filter("count > 0")
     return report.select("batch_id", "ts", "count", "total").orderBy("batch_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linehaul.functions.ids import with_objectid
+from linehaul.functions.ids import numbered_rows
 from linehaul.session import hadoop_path
 
 LEDGER_SCHEMA = "next_id long, batch_id long"
@@ -31,8 +31,8 @@ def with_stream_objectid(
         kept = spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
         first = kept.filter(F.col("batch_id") < batch_id).agg(F.max("next_id")).first()[0] or 1
 
-    numbered = with_objectid(batch, order_by, first, name)
-    after = numbered.agg((F.coalesce(F.max(name) + 1, F.lit(first))).cast("long").alias("next_id"))
+    numbered, rows = numbered_rows(batch, order_by, first, name)
+    after = rows.select((F.col("total") + F.lit(first)).cast("long").alias("next_id"))
     after.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
     _forget(spark, ledger, before=batch_id - 1)
     return numbered

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from linehaul.session import log, work_scope
+from linehaul.sinks.tables import keep_batch, read_batches
 
-OBSERVED = "linehaul_batch"
 DROPPED_SCHEMA = "batch_id long, error string"
 Dropped = tuple[int, str]
 
@@ -22,7 +22,7 @@ def run_stream(
     trigger: dict | None = None,
     on_error: str = "fail",
     drop_log: str | None = None,
-    count_rows: bool = False,
+    rows_log: str | None = None,
 ) -> StreamingQuery:
     """Start a query that calls ``action(batch, batch_id)`` for every micro-batch.
 
@@ -33,19 +33,21 @@ def run_stream(
     processing time by default. With ``on_error='fail'`` an error stops the
     query and a restart from the checkpoint repeats the batch; with ``'drop'``
     the batch is given up, noted (in the log and, if named, below ``drop_log``)
-    and the query goes on. ``count_rows`` counts the rows of each batch while
-    they pass, see :func:`batch_rows`.
+    and the query goes on. ``rows_log`` names a folder that keeps the number of
+    rows of each batch, counted while they pass, see :func:`batch_rows`.
     """
     if on_error not in ("fail", "drop"):
         raise ValueError("on_error must be 'fail' or 'drop'")
     spark = stream.sparkSession
-    if count_rows:
-        stream = stream.observe(OBSERVED, F.count(F.lit(1)).alias("rows"))
-
     def run(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation() if rows_log else None
+        if seen:
+            batch = batch.observe(seen, F.count(F.lit(1)).alias("rows"))
         try:
             with work_scope(spark):
                 action(batch, batch_id)
+            if seen:
+                keep_batch(spark, rows_log, batch_id, "rows long", [(seen.get["rows"],)])
         except Exception as e:  # any failure of the batch is the policy's business
             if on_error == "fail":
                 raise
@@ -62,11 +64,6 @@ def run_stream(
     )
 
 
-def batch_rows(query: StreamingQuery) -> list[tuple[int, int]]:
-    """(batch id, rows) of the recent non-empty batches of a query run with ``count_rows``."""
-    out = []
-    for progress in query.recentProgress:
-        seen = progress.observedMetrics.get(OBSERVED)
-        if seen is not None and seen["rows"] > 0:
-            out.append((progress.batchId, seen["rows"]))
-    return out
+def batch_rows(spark: SparkSession, rows_log: str) -> DataFrame:
+    """``(batch_id, rows)`` of all non-empty batches that a query noted in ``rows_log``."""
+    return read_batches(spark, rows_log, "rows long").filter("rows > 0").select("batch_id", "rows")

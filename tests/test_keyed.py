@@ -5,7 +5,13 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from linehaul.operators.keyed import clustered, in_time_range, latest_by_key, retained
+from linehaul.operators.keyed import (
+    chunk_interval,
+    clustered,
+    in_time_range,
+    latest_by_key,
+    retained,
+)
 from linehaul.operators.relay import relay_messages, replay, union_streams
 from linehaul.sinks.tables import write_chunked, write_clustered
 
@@ -35,6 +41,26 @@ def test_latest_by_key(spark):
     ]
 
 
+def test_rows_that_arrived_together_or_at_no_time(spark):
+    rows = [(1, "a", None), (1, "b", None), (2, "x", 5), (2, "y", 5), (2, "z", None), (3, "q", 1)]
+    df = spark.createDataFrame(rows, "k int, v string, arrival long")
+    winners = {
+        tuple(sorted(map(tuple, latest_by_key(df.repartition(n, "v"), ["k"], "arrival").collect())))
+        for n in (1, 2, 5)
+    }
+    assert len(winners) == 1
+    one, two, three = winners.pop()
+    assert one in rows and two in rows[2:4] and three == rows[5]
+
+
+def test_a_chunked_table_names_its_interval(spark, tmp_path):
+    write_chunked(skewed(spark, 600), str(tmp_path / "t"), "ts", 3_600_000_000)
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert chunk_interval(table) == 3_600_000_000
+    with pytest.raises(ValueError):
+        in_time_range(table.select("id", "ts"), "ts", START, START)
+
+
 def test_latest_by_key_reduces_before_the_shuffle(spark):
     df = latest_by_key(skewed(spark), ["key"], "id")
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -65,9 +91,9 @@ def test_chunks_are_written_apart_and_skipped_on_read(spark, tmp_path):
     path, hour = str(tmp_path / "t"), 3_600_000_000
     write_chunked(skewed(spark, 600), path, "ts", hour)
     table = spark.read.parquet(path)
-    assert table.select("chunk").distinct().count() == 10
+    assert table.select(f"chunk_{hour}").distinct().count() == 10
     since, until = START + timedelta(hours=2, minutes=30), START + timedelta(hours=4)
-    part = in_time_range(table, "ts", since, until, hour)
+    part = in_time_range(table, "ts", since, until)
     assert sorted(r.id for r in part.collect()) == list(range(150, 240))
     plan = part._jdf.queryExecution().executedPlan()
     scan = plan.collectLeaves().head()

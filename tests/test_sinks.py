@@ -22,6 +22,8 @@ from linehaul.sinks import (
     write_batch_once,
 )
 
+from linehaul.sinks.targets import Target
+
 
 @pytest.fixture()
 def rows(feed):
@@ -41,11 +43,32 @@ def test_recreate_and_append(spark, rows, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_recreate_replaces_all_partitions_in_either_mode(spark, tmp_path):
+    path, mode = str(tmp_path / "t"), "spark.sql.sources.partitionOverwriteMode"
+    rows = spark.range(10).withColumn("p", F.col("id") % 5)
+    old = spark.conf.get(mode)
+    try:
+        for kind in ("static", "dynamic"):
+            spark.conf.set(mode, kind)
+            append(rows, path, partition_by=["p"], recreate_first=True)
+            append(rows.filter("p = 1"), path, partition_by=["p"], recreate_first=True)
+            assert spark.read.parquet(path).count() == 2
+    finally:
+        spark.conf.set(mode, old)
+
+
+def test_writer_tasks_do_not_narrow_the_work(spark, tmp_path):
+    target = Target("parquet", path=str(tmp_path / "t"), tasks=2)
+    write(spark.range(1000, numPartitions=6), target)
+    read = spark.read.parquet(str(tmp_path / "t"))
+    assert read.count() == 1000 and len(read.inputFiles()) == 2
+
+
 def test_conform_goes_by_name(spark, rows):
     mixed = rows.select(*reversed(rows.columns), F.lit(1).alias("more"))
     got = conform(mixed, S.planes12())
     assert got.columns == S.planes12().names
-    assert sorted(r.lon for r in got.collect()) == [-31.88592, 160.948738273412]
+    assert sorted(r.lon for r in got.collect()) == [-12.53175, 151.207345120984]
 
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
@@ -71,7 +94,7 @@ def test_document_files(spark, feed, tmp_path):
     good = good_rows(parse_feed(feed(LINE1, LINE2), hashes=True)).withColumn("objectid", F.lit(1))
     write(to_documents(good, as_text=False), files(str(tmp_path / "json")))
     read = spark.read.schema(S.document(True)).json(str(tmp_path / "json"))
-    assert sorted(r.square for r in read.collect()) == ["ACADDCCACCADABBADDCCBABDDBBBDA", "BBB"]
+    assert sorted(r.square for r in read.collect()) == ["CADBDDACBBADCDBACBADDBCACDBAAC", "BBB"]
     write(to_documents(good), files(str(tmp_path / "text"), "text"))
     assert spark.read.json(str(tmp_path / "text")).count() == 2
     copy = spark.read.text(str(tmp_path / "text")).withColumnRenamed("value", "document")
@@ -85,8 +108,8 @@ def test_table_rows_reach_the_keyed_store(spark, rows, tmp_path):
     write(rows, target)
     got, options = standins.written(tmp_path)
     assert sorted((r["id"], r["lon"], r["lat"]) for r in got) == [
-        (0, -31.88592, 49.21297),
-        (1, 160.948738273412, 67.805666315828),
+        (0, -12.53175, 38.40721),
+        (1, 151.207345120984, -33.868901745211),
     ]
     assert options["keyspace"] == "realtime" and options["table"] == "planes"
     assert options["spark.cassandra.output.consistency.level"] == "ONE"
@@ -102,7 +125,7 @@ def test_documents_reach_the_index(spark, feed, tmp_path):
     spark.dataSource.register(standins.sink(target.fmt, str(tmp_path)))
     write(to_documents(good, extra_hashes=False, as_text=False), target)
     got, options = standins.written(tmp_path)
-    assert got[0]["geometry"] == [-31.88592, 49.21297] and got[0]["planeid"] == "0"
+    assert got[0]["geometry"] == [-12.53175, 38.40721] and got[0]["planeid"] == "0"
     assert options["path"] == "planes" and options["es.nodes"] == "a1,a2"
     assert options["es.port"] == "9200" and options["es.mapping.id"] == "globalid"
     assert options["es.net.http.auth.user"] == "u" and options["es.index.auto.create"] == "true"
@@ -114,18 +137,15 @@ def test_target_options():
         "kafka.bootstrap.servers": "b:9092",
         "topic": "planes",
         "kafka.acks": "1",
-        "kafka.retries": "0",
-        "kafka.batch.size": "16384",
-        "kafka.linger.ms": "1",
-        "kafka.buffer.memory": "8192000",
-        "kafka.request.timeout.ms": "11000",
     }
+    assert topic("b:9092", "planes", linger_ms=5).options["kafka.linger.ms"] == "5"
     p = postgres("h", "realtime", "s.planes", "u", "p", connections=8)
     assert p.fmt == "jdbc" and p.path is None
     assert p.options["url"].startswith("jdbc:postgresql://h:5432/realtime?")
     assert "reWriteBatchedInserts=true" in p.options["url"]
     assert "stringtype=unspecified" in p.options["url"]
-    assert p.options["numPartitions"] == "8" and p.overwrite_options == {"truncate": "true"}
+    assert p.tasks == 8 and p.overwrite_options == {"truncate": "true"}
+    assert postgres("h", "realtime", "s.planes", "u", "p").tasks is None
     c = cassandra("k", "t")
     assert c.options["spark.cassandra.output.consistency.level"] == "ANY"
     assert "spark.cassandra.output.ttl" not in c.options

@@ -22,7 +22,7 @@ from linehaul.operators.feed import (
 )
 from linehaul.operators.relay import relay_messages, union_streams
 from linehaul.session import hadoop_path, new_work_folder
-from linehaul.sinks import files, write_batch_once, writer_to
+from linehaul.sinks import files, tables, write_batch_once, writer_to
 from linehaul.sources.lines import read_line_stream, read_lines
 from linehaul.sources.topics import read_topic, topic_options, values
 from linehaul.streaming import (
@@ -228,26 +228,48 @@ def test_running_total_in_the_state_store(spark, folder, tmp_path):
 def test_rows_are_counted_while_they_pass(spark, folder, tmp_path):
     three_files(folder)
     stream = read_line_stream(spark, str(folder), files_per_batch=1)
+    log = str(tmp_path / "counts")
     query = run_stream(
         stream,
         lambda b, i: b.write.format("noop").mode("append").save(),
         str(tmp_path / "cp"),
         NOW,
-        count_rows=True,
+        rows_log=log,
     )
     query.awaitTermination()
-    assert batch_rows(query) == [(0, 2), (1, 3), (2, 1)]
+    assert sorted(map(tuple, batch_rows(spark, log).collect())) == [(0, 2), (1, 3), (2, 1)]
+    assert batch_rows(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_old_notes_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LOG_BATCHES", 4)
+    log = str(tmp_path / "log")
+    for i in [*range(10), 9]:
+        tables.keep_batch(spark, log, i, "rows long", [(i * 10,)])
+    notes = tables.read_batches(spark, log, "rows long").orderBy("batch_id").collect()
+    assert [(r.batch_id, r.rows) for r in notes] == [(i, i * 10) for i in range(10)]
+    assert sorted(n for n in os.listdir(log) if not n.startswith(".")) == ["batch=8", "batch=9", "block=0", "block=1"]
 
 
 def test_latest_takes_new_files_only(spark, folder, tmp_path):
     three_files(folder)
-    stream = read_line_stream(spark, str(folder), start="latest")
+    out, first = str(tmp_path / "out"), str(tmp_path / "cp-start")
+
+    def run():
+        stream = read_line_stream(spark, str(folder), start="latest", start_file=first)
+        run_stream(
+            stream, lambda b, i: write_batch_once(b, i, out), str(tmp_path / "cp"), NOW
+        ).awaitTermination()
+
+    read_line_stream(spark, str(folder), start="latest", start_file=first)
     drop_in(folder, "4.txt", "new", age=-5)
-    out = str(tmp_path / "out")
-    run_stream(
-        stream, lambda b, i: write_batch_once(b, i, out), str(tmp_path / "cp"), NOW
-    ).awaitTermination()
+    run()
     assert [r.line for r in stored(spark, out).collect()] == ["new"]
+    drop_in(folder, "5.txt", "came while the stream was down", age=-1)
+    run()
+    assert stored(spark, out).count() == 2
+    with pytest.raises(ValueError):
+        read_line_stream(spark, str(folder), start="latest")
     with pytest.raises(ValueError):
         read_line_stream(spark, str(folder), start="middle")
 
