@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linehaul.functions.text import split_lines
 from linehaul.operators.feed import good_rows, parse_feed
-from linehaul.session import use_utc
+from linehaul.session import hadoop_path, new_work_folder, use_utc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +19,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores when their files are too few to do that by themselves.
-
-    A file of one row group is one task however many cores there are. Data of
-    some size has more splits than cores and is left as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
-
-
 # One feed line per event. Every event gives a line: those whose number divides
 # by 97 carry a broken time and those by 101 are cut after five fields, so that
 # there are lines to reject.
@@ -53,16 +43,33 @@ _TOKENS = {
 _FRAC = "lpad(cast(event_id * 37 % 100000 as string), 5, '0')"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files."""
+#: Files, and so micro-batches, of the staged event stream.
+STREAM_FILES = 6
+
+
+def event_stream(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All events as a stream of several files, a file a micro-batch; the files are staged
+    in ``folder``, once."""
     schema = table(spark, sf_dir, "events").schema
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    staged = f"{folder or new_work_folder(spark, 'events')}/events"
+    fs, p = hadoop_path(spark, staged)
+    if not fs.exists(p):
+        rows = table(spark, sf_dir, "events").repartitionByRange(STREAM_FILES, "event_id")
+        rows.write.parquet(staged)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(staged)
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def document_files(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as text files, a folder a source; returns where they are."""
+    path = new_work_folder(spark, "files")
+    table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(path)
+    return path
+
+
 def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(event_id, line)``."""
-    return lines_of(spread(events(spark, sf_dir).drop("props")))
+    return lines_of(events(spark, sf_dir).drop("props"))
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
@@ -74,6 +81,16 @@ def lines_of(rows: DataFrame) -> DataFrame:
     )
 
 
+def long_lines_of(rows: DataFrame) -> DataFrame:
+    """``(event_id, line)`` with a quoted name that goes on after its quote and more fields
+    than are used, up to 32,000 characters and 24,000 fields of them."""
+    tokens = _TOKENS | {"orig": """concat('"a,b"x ', event_type)"""}
+    more = "if(event_id % 4 = 3, repeat('m,', 24000), repeat('e', cast(event_id % 4 * 16000 as int)))"
+    return rows.withColumn("frac", F.expr(_FRAC)).select(
+        "event_id", F.expr(f"concat_ws(',', {', '.join(tokens.values())}, {more})").alias("line")
+    )
+
+
 def parsed_feed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     return parse_feed(feed_lines(spark, sf_dir), **how)
 
@@ -85,6 +102,6 @@ def good_feed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str, file_column: str) -> DataFrame:
     """``(file, line)`` of the documents, each document's whole text cut into lines."""
     documents = table(spark, sf_dir, "documents").select(file_column, "text")
-    return spread(documents).select(
+    return documents.select(
         F.col(file_column).alias("file"), F.explode(split_lines("text")).alias("line")
     )

@@ -7,6 +7,7 @@ of an event must come out as.
 from __future__ import annotations
 
 from linehaul.functions.times import MINUTE_US, WEEK_US
+from linehaul.plans.inputs import STREAM_FILES
 from linehaul.plans.queries import (
     HOUR_US,
     RANGE,
@@ -65,6 +66,12 @@ def _flags(hashes: bool, agg: bool) -> str:
       count(*) AS n_valid FROM good"""
 
 
+# Files end every document with a line end of its own.
+_FILE_LINES = """
+WITH lines AS (
+  SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+"""
+
 ORACLE: dict[str, str] = {
     "feed_parse_typed": f"{_FEED} SELECT event_id, {_BASE} FROM good",
     "feed_rejects": f"""{_FEED}
@@ -185,5 +192,48 @@ WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - CAST({TTL_SECONDS}
     "stream_ingest": f"""{_FEED}
 SELECT event_id, CAST(planeid AS BIGINT) AS planeid, {_BASE.removeprefix("planeid, ")} FROM good""",
     "stream_batch_report": f"""{_FEED}
-SELECT count(*) AS sum_count, count(*) AS last_total FROM good""",
+SELECT CAST({STREAM_FILES} AS BIGINT) AS n_batches, count(*) AS sum_count, count(*) AS last_total
+FROM good""",
+    "stream_planes16": f"""{_FEED}
+SELECT {_TABLE_BASE}, {_WKT} AS geometry, geohash, sqrhash, pntytrihash, flattrihash FROM good""",
+    "stream_planes18": f"""{_FEED}
+SELECT CAST({STREAM_FILES} AS BIGINT) AS n_batches, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id,
+  count(*) AS last_id, CAST(sum(ts) AS BIGINT) AS sum_ts FROM good""",
+    "stream_documents": f"{_FEED} SELECT planeid, ts, speed, orig, longitude, latitude FROM good",
+    "stream_dropped_batch": f"""
+SELECT CAST({STREAM_FILES - 1} AS BIGINT) AS n_batches, CAST(1 AS BIGINT) AS n_noted,
+  CAST(2 AS BIGINT) AS noted, count(*) AS n_events, true AS counted_right FROM events""",
+    "stream_repeated_batch": """
+SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_event_id
+FROM events GROUP BY event_type""",
+    "feed_long_lines": f"""{_FEED}
+SELECT event_id, '"a,b"x ' || event_type AS orig, latitude, 'f' || frac AS flattrihash,
+  CASE WHEN event_id % 97 = 0 THEN 'bad_ts' END AS reject_reason
+FROM tokens JOIN (SELECT event_id, latitude FROM feed) USING (event_id)""",
+    "feed_ingest_time": f"""{_FEED}
+SELECT count(*) AS n, CAST(1 AS BIGINT) AS n_ts, count(*) AS n_within FROM good""",
+    "feed_copy_files": f"""{_FEED}
+SELECT 36 AS id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M:%S.%g') AS ts,
+  speed, dist, bearing, rtid, orig, dest, secstodep, longitude AS lon, latitude AS lat,
+  geohash, sqrhash, pntytrihash, flattrihash, 'SRID=4326;' || {_WKT} AS geometry FROM good""",
+    "json_pass_through": """
+SELECT CASE event_id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'not_an_object' WHEN 2 THEN 'not_an_object'
+    WHEN 3 THEN 'document' ELSE 'not_json' END AS outcome,
+  md5(CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' WHEN 2 THEN CAST(event_id AS VARCHAR)
+    WHEN 3 THEN '{"k":1,"k":' || event_id || ',"more":[{}]}' ELSE left(props, length(props) - 1) END) AS digest,
+  CASE event_id % 5 WHEN 0 THEN CAST(props ->> '$.k' AS BIGINT) WHEN 3 THEN event_id END AS k
+FROM events""",
+    "files_search_by_folder": f"""{_FILE_LINES}
+SELECT source, count(*) FILTER (contains(line, '{SEARCH_TEXT}')) AS n_matching FROM lines GROUP BY source""",
+    "files_count_matching": f"""{_FILE_LINES}
+SELECT source, count(*) AS n_lines FROM lines
+WHERE regexp_full_match(source, '{SOURCE_REGEX}') GROUP BY source""",
+    "files_count_total": f"{_FILE_LINES} SELECT count(*) AS n_lines FROM lines",
+    "files_listed": "SELECT DISTINCT source, true AS listed FROM documents",
+    "upsert_with_ties": """
+SELECT count(DISTINCT user_id) AS n_real, count(DISTINCT user_id) AS n_same FROM events""",
+    "keyed_table_compacted": """
+SELECT user_id, event_type, event_id,
+  CASE event_type WHEN 'view' THEN '{}' WHEN 'click' THEN '[]' ELSE props END AS props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,18 +18,27 @@ from linehaul.functions.text import first_of_list, split_list
 from linehaul.functions.times import MINUTE_US, WEEK_US, chunk_number
 from linehaul.operators import counts, feed, keyed, relay, search
 from linehaul.plans.inputs import (
+    document_files,
     document_lines,
     event_stream,
     events,
     good_feed,
     lines_of,
+    long_lines_of,
     parsed_feed,
     table,
 )
 from linehaul.session import new_work_folder
 from linehaul.sinks import tables
-from linehaul.sources.lines import full_match
-from linehaul.streaming import count_batches, run_stream, stored_report
+from linehaul.sinks.targets import files, write
+from linehaul.sources.lines import full_match, list_files, read_lines
+from linehaul.streaming import (
+    batch_rows,
+    count_batches,
+    run_stream,
+    stored_report,
+    with_stream_objectid,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,7 +91,8 @@ def feed_hash_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed_global_ids(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = with_objectid(good_feed(spark, sf, hashes=True), ["event_id"])
+    good = good_feed(spark, sf, hashes=True).drop("lon_token", "lat_token")
+    numbered = with_objectid(good, ["event_id"])
     rows = feed.to_planes18(numbered)
     return (
         rows.drop("globalid")
@@ -112,8 +124,36 @@ def feed_stable_ids(spark: SparkSession, sf: str) -> DataFrame:
     return good_feed(spark, sf).select("event_id", stable_uuid("event_id").alias("id"))
 
 
+def feed_long_lines(spark: SparkSession, sf: str) -> DataFrame:
+    lines = long_lines_of(events(spark, sf).drop("props"))
+    parsed = feed.parse_feed(lines, hashes=True)
+    return parsed.select("event_id", "orig", "latitude", "flattrihash", "reject_reason")
+
+
+def feed_ingest_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows stamped with the time of the query: one time, not before the query was made."""
+    made = F.timestamp_micros(F.lit(time.time_ns() // 1000))
+    rows = feed.to_planes12(good_feed(spark, sf, id_type="bigint"), ts_mode="ingest")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("ts").alias("n_ts"),
+        F.count_if((F.col("ts") >= made) & (F.col("ts") <= F.current_timestamp())).alias("n_within"),
+    )
+
+
+def feed_copy_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Copy text written as text files, ready for a server's own loader, and read back."""
+    path = new_work_folder(spark, "copy")
+    texts = feed.copy_line(feed.to_copy_rows(good_feed(spark, sf, hashes=True)))
+    write(texts, files(path, "text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.COPY16)
+    lines = read_lines(spark, path, with_file=False)
+    read = lines.select(F.inline(F.array(F.from_csv("line", schema, {"escape": '"'}))))
+    return read.withColumn("id", F.length("id"))
+
+
 def feed_json_docs(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = with_objectid(good_feed(spark, sf), ["event_id"])
+    numbered = with_objectid(good_feed(spark, sf).select("event_id", *_BASE), ["event_id"])
     docs = feed.to_documents(numbered, extra_hashes=False)
     read = docs.select(F.inline(F.array(F.from_json("document", S.document()))))
     return read.select(
@@ -172,6 +212,22 @@ def json_lines_validate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def json_pass_through(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects whole with their known fields, everything else rejected with a reason."""
+    forms = F.expr("""CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('[', props, ']')
+        WHEN 2 THEN cast(event_id as string) WHEN 3 THEN concat('{"k":1,"k":', event_id, ',"more":[{}]}')
+        ELSE substr(props, 1, length(props) - 1) END""")
+    lines = table(spark, sf, "events").select("event_id", forms.alias("line"))
+    schema = T.StructType([T.StructField("k", T.LongType())])
+    kept = feed.documents_from_json(lines, schema).select(
+        F.lit("document").alias("outcome"), F.md5("document").alias("digest"), "k"
+    )
+    gone = feed.rejected_documents(lines).select(
+        F.col("reject_reason").alias("outcome"), F.md5("line").alias("digest"), F.lit(None).cast("long").alias("k")
+    )
+    return kept.union(gone)
+
+
 def json_lines_to_columns(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "events").select(F.col("props").alias("line"))
     docs = feed.documents_from_json(lines, T.StructType([T.StructField("k", T.IntegerType())]))
@@ -200,6 +256,43 @@ def count_lines_matching_objects(spark: SparkSession, sf: str) -> DataFrame:
     return search.count_lines_by_file(lines)
 
 
+def files_search_by_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches per file, files without a match included, added up by folder."""
+    path = document_files(spark, sf)
+    lines = read_lines(spark, path, recursive=True, options=LINE_END)
+    found = search.search_lines_by_file(lines, SEARCH_TEXT, list_files(spark, path, recursive=True))
+    return found.groupBy(_source("file")).agg(F.sum("n_matching").alias("n_matching"))
+
+
+def files_count_matching(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the files whose keys match; other files are not opened."""
+    regex = rf"source=(?:{SOURCE_REGEX})/.*"
+    lines = read_lines(spark, document_files(spark, sf), regex, recursive=True, options=LINE_END)
+    by_file = search.count_lines_by_file(lines)
+    return by_file.groupBy(_source("file")).agg(F.sum("n_lines").alias("n_lines"))
+
+
+def files_count_total(spark: SparkSession, sf: str) -> DataFrame:
+    lines = read_lines(
+        spark, document_files(spark, sf) + "/source=*", options=LINE_END, with_file=False
+    )
+    return search.count_lines(lines)
+
+
+def files_listed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every folder's files are listed without reading them."""
+    listed = list_files(spark, document_files(spark, sf), r"source=.*\.txt", recursive=True)
+    return listed.groupBy(_source("file")).agg((F.count(F.lit(1)) > 0).alias("listed"))
+
+
+#: The document files end their lines with this alone.
+LINE_END = {"lineSep": "\n"}
+
+
+def _source(file: str):
+    return F.regexp_extract(file, "^source=([^/]*)/", 1).alias("source")
+
+
 def topic_batch_counts(spark: SparkSession, sf: str) -> DataFrame:
     # Micro-batches of one minute, of which many are empty.
     rows = good_feed(spark, sf).select(
@@ -298,6 +391,33 @@ def keyed_table_read(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def upsert_with_ties(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that arrived together, or with no time at all: some real row of each key wins,
+    and the same one however the rows are dealt out."""
+    rows = events(spark, sf).select("user_id", "event_id", "event_type", "props")
+    rows = rows.withColumn("arrival", F.when(F.col("user_id") % 2 == 0, F.lit(1)))
+    one = keyed.latest_by_key(rows, ["user_id"], "arrival")
+    other = keyed.latest_by_key(rows.repartition(5, "event_id"), ["user_id"], "arrival")
+    both = one.join(other.select("user_id", F.col("event_id").alias("other")), "user_id")
+    real = both.join(rows.select("user_id", "event_id", "props"), ["user_id", "event_id", "props"])
+    return real.agg(
+        F.count(F.lit(1)).alias("n_real"), F.count_if(F.col("event_id") == F.col("other")).alias("n_same")
+    )
+
+
+def keyed_table_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """A keyed table of two batches put together, with a third batch after it."""
+    path, target = new_work_folder(spark, "keyed"), new_work_folder(spark, "compacted")
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", "props")
+    keys, arrival = ["user_id", "event_type"], F.struct("batch_id", "event_id")
+    tables.write_batch_once(rows, 0, path)
+    tables.write_batch_once(rows.filter("event_type = 'view'").withColumn("props", F.lit("{}")), 1, path)
+    tables.compact_keyed(spark, path, target, keys, arrival, through=1)
+    later = rows.filter("event_type = 'click'").withColumn("props", F.lit("[]"))
+    tables.write_batch_once(later, 2, target)
+    return tables.read_keyed(spark, target, keys, arrival).drop("batch_id")
+
+
 def cluster_by_id_ts_desc(spark: SparkSession, sf: str) -> DataFrame:
     """Write clustered, then read the place of each row within its user off the files."""
     path = new_work_folder(spark, "clustered")
@@ -348,28 +468,143 @@ def chunked_range_read(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("event_id", F.unix_micros("ts").alias("ts_us"))
 
 
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """The feed as a stream, parsed and written batch by batch, then read back."""
-    folder = new_work_folder(spark, "stream")
-    lines = lines_of(event_stream(spark, sf))
-    rows = feed.good_rows(feed.parse_feed(lines, id_type="bigint"))
+def _good_stream(spark: SparkSession, sf: str, folder: str, **how) -> DataFrame:
+    return feed.good_rows(feed.parse_feed(lines_of(event_stream(spark, sf, folder)), **how))
+
+
+def _ingested(spark: SparkSession, rows: DataFrame, folder: str, shape) -> DataFrame:
+    """The stream's micro-batches shaped and written, then read back."""
     run_stream(
-        rows.select("event_id", *_BASE),
-        lambda batch, batch_id: tables.write_batch_once(batch, batch_id, f"{folder}/rows"),
+        rows,
+        lambda batch, batch_id: tables.write_batch_once(
+            shape(batch, batch_id), batch_id, f"{folder}/rows"
+        ),
         f"{folder}/checkpoint",
         ALL_NOW,
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").drop("batch_id")
+    return spark.read.parquet(f"{folder}/rows")
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream, parsed and written batch by batch, then read back."""
+    folder = new_work_folder(spark, "stream")
+    rows = _good_stream(spark, sf, folder, id_type="bigint").select("event_id", *_BASE)
+    return _ingested(spark, rows, folder, lambda b, _: b).drop("batch_id")
+
+
+def stream_planes16(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_work_folder(spark, "stream")
+    rows = _good_stream(spark, sf, folder, hashes=True)
+    stored = _ingested(spark, rows, folder, lambda b, _: feed.to_planes16(b))
+    return stored.drop("id", "batch_id").withColumn("ts", F.unix_millis("ts"))
+
+
+def stream_planes18(spark: SparkSession, sf: str) -> DataFrame:
+    """Object ids go on from batch to batch without gap or repeat."""
+    folder = new_work_folder(spark, "stream")
+    rows = _good_stream(spark, sf, folder, hashes=True)
+
+    def shape(batch: DataFrame, batch_id: int) -> DataFrame:
+        return feed.to_planes18(with_stream_objectid(batch, batch_id, f"{folder}/ids", ["event_id"]))
+
+    stored = _ingested(spark, rows, folder, shape)
+    return stored.agg(
+        F.count_distinct("batch_id").alias("n_batches"),
+        F.count_distinct("objectid").alias("n_ids"),
+        F.min("objectid").cast("long").alias("first_id"),
+        F.max("objectid").cast("long").alias("last_id"),
+        F.sum(F.unix_millis("ts")).alias("sum_ts"),
+    )
+
+
+def stream_documents(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_work_folder(spark, "stream")
+    rows = _good_stream(spark, sf, folder)
+
+    def shape(batch: DataFrame, batch_id: int) -> DataFrame:
+        numbered = with_stream_objectid(batch, batch_id, f"{folder}/ids", ["event_id"])
+        return feed.to_documents(numbered, extra_hashes=False)
+
+    stored = _ingested(spark, rows, folder, shape)
+    read = stored.select(F.inline(F.array(F.from_json("document", S.document()))))
+    return read.select("planeid", "ts", "speed", "orig", "longitude", "latitude")
 
 
 def stream_batch_report(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed rows counted per micro-batch; the last total is their number."""
     folder = new_work_folder(spark, "stream")
-    rows = feed.good_rows(feed.parse_feed(lines_of(event_stream(spark, sf))))
-    query = count_batches(rows, f"{folder}/counts", f"{folder}/checkpoint", ALL_NOW)
+    query = count_batches(
+        _good_stream(spark, sf, folder), f"{folder}/counts", f"{folder}/checkpoint", ALL_NOW
+    )
     query.awaitTermination()
     return stored_report(spark, f"{folder}/counts").agg(
-        F.sum("count").alias("sum_count"), F.max("total").alias("last_total")
+        F.count(F.lit(1)).alias("n_batches"),
+        F.sum("count").alias("sum_count"),
+        F.max("total").alias("last_total"),
+    )
+
+
+def stream_dropped_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """One batch fails and is given up: its rows are missing, and it is noted."""
+    folder = new_work_folder(spark, "stream")
+
+    def action(batch: DataFrame, batch_id: int) -> None:
+        tables.write_batch_once(batch, batch_id, f"{folder}/{'lost' if batch_id == 2 else 'rows'}")
+        if batch_id == 2:
+            raise RuntimeError("target is gone")
+
+    run_stream(
+        event_stream(spark, sf, folder).select("event_id"),
+        action,
+        f"{folder}/checkpoint",
+        ALL_NOW,
+        on_error="drop",
+        drop_log=f"{folder}/dropped",
+        rows_log=f"{folder}/counts",
+    ).awaitTermination()
+    kept, lost = (spark.read.parquet(f"{folder}/{n}") for n in ("rows", "lost"))
+    noted = spark.read.schema("batch_id long").json(f"{folder}/dropped/*")
+    counted = batch_rows(spark, f"{folder}/counts")
+    measures = [
+        kept.agg(F.count_distinct("batch_id").alias("n_batches"), F.count(F.lit(1)).alias("n_kept")),
+        lost.agg(F.count(F.lit(1)).alias("n_lost")),
+        noted.agg(F.count(F.lit(1)).alias("n_noted"), F.max("batch_id").alias("noted")),
+        counted.agg(F.sum("rows").alias("n_counted")),
+    ]
+    one = measures[0]
+    for m in measures[1:]:  # single rows
+        one = one.crossJoin(m)
+    return one.select(
+        "n_batches",
+        "n_noted",
+        "noted",
+        (F.col("n_kept") + F.col("n_lost")).alias("n_events"),
+        (F.col("n_counted") == F.col("n_kept")).alias("counted_right"),
+    )
+
+
+def stream_repeated_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch fails after its write and stops the query; the next start repeats it."""
+    folder = new_work_folder(spark, "stream")
+
+    def action(batch: DataFrame, batch_id: int) -> None:
+        tables.write_batch_once(batch, batch_id, f"{folder}/rows")
+        if batch_id == 3 and not broken:
+            broken.append(batch_id)
+            raise RuntimeError("lost after the write")
+
+    broken: list[int] = []
+    rows = event_stream(spark, sf, folder).select("event_id", "event_type")
+    for _ in range(2):
+        query = run_stream(rows, action, f"{folder}/checkpoint", ALL_NOW)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if broken != [3]:
+                raise
+    stored = spark.read.parquet(f"{folder}/rows")
+    return stored.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("sum_event_id")
     )
 
 
@@ -418,4 +653,19 @@ QUERIES: dict[str, Query] = {
     "ttl_retention": ttl_retention,
     "stream_ingest": stream_ingest,
     "stream_batch_report": stream_batch_report,
+    "stream_planes16": stream_planes16,
+    "stream_planes18": stream_planes18,
+    "stream_documents": stream_documents,
+    "stream_dropped_batch": stream_dropped_batch,
+    "stream_repeated_batch": stream_repeated_batch,
+    "feed_long_lines": feed_long_lines,
+    "feed_ingest_time": feed_ingest_time,
+    "feed_copy_files": feed_copy_files,
+    "json_pass_through": json_pass_through,
+    "files_search_by_folder": files_search_by_folder,
+    "files_count_matching": files_count_matching,
+    "files_count_total": files_count_total,
+    "files_listed": files_listed,
+    "upsert_with_ties": upsert_with_ties,
+    "keyed_table_compacted": keyed_table_compacted,
 }
