@@ -8,7 +8,8 @@ their borders: no shuffle of tokens, no order to agree on. A document that cross
 border leaves one record per window. Only the last sequence can be short.
 
 Words between ASCII white space are tokenized once and kept in a table of bounded size,
-since the tokenizer's normaliser and pre-tokenizer never look across white space.
+since the tokenizer's normaliser and pre-tokenizer never look across white space. (This
+holds for tokenizers that lower-case, drop white space and part letters from signs.)
 
 Defined results: null and empty texts are the end id alone. Repeated rows and null ids
 are documents like others. An empty table has no pieces. Extra columns are not read.
@@ -17,8 +18,11 @@ are documents like others. An empty table has no pieces. Extra columns are not r
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,8 +31,11 @@ from pyspark.sql import functions as F
 from linehaul.llm.hashing import utf8
 from linehaul.llm.stage import keyed, staged
 
-#: Words kept with their ids in a Python worker, and the longest of them in bytes.
-KEPT_WORDS, KEPT_BYTES = 200_000, 64
+#: Words kept with their ids in a Python worker (some 200 bytes each), and the longest of
+#: them in bytes.
+KEPT_WORDS, KEPT_BYTES = 1_500_000, 32
+#: Cuts lower-cased text at white space, and after an ASCII letter where a sign follows.
+_WORDS = re.compile(rb"[a-z\x80-\xff]*[a-z](?=[.,!?;:|\s])|\S+")
 #: Tasks of one block of prefix sums.
 BLOCK = 1024
 #: Bytes of an id: unsigned, little-endian.
@@ -45,35 +52,43 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.known: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False
-        )
-        return [b"".join(i.to_bytes(WIDTH, "little") for i in e.ids) for e in found]
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        # A special token must not come about by lower-casing.
+        words = [t.split() if b"<|" in t else _WORDS.findall(t.lower()) for t in texts]
         known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = list(set(words))
-            at_once = dict(zip(new, self._encode(new)))
-            known.update((w, i) for w, i in at_once.items() if len(w) <= KEPT_BYTES)
-            if len(known) > KEPT_WORDS or len(at_once) and max(map(len, at_once)) > KEPT_BYTES:
-                return b"".join([at_once[w] if w in at_once else known[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+        every = set().union(*words)
+        if len(known) + len(every) > KEPT_WORDS:
+            known.clear()
+        known.update(self._encode([w for w in every if w not in known]))
+        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        for w in every:
+            if len(w) > KEPT_BYTES:
+                del known[w]
+        return out
+
+    def __call__(self, text: bytes) -> bytes:
+        return self.many([text])[0]
+
+
+@cache
+def _word_ids(tokenizer_file: str) -> WordIds:
+    """One table for all tasks of a Python worker."""
+    return WordIds(tokenizer_file)
 
 
 def _tokenized(tokenizer_file: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_file)
+        ids_of = _word_ids(tokenizer_file)
         task = TaskContext.get().partitionId()
         last = end.to_bytes(WIDTH, "little")
         at = 0
         for batch in batches:
-            ids = [ids_of(t) + last for t in utf8(batch["text"])]
+            ids = [i + last for i in ids_of.many(utf8(batch["text"]))]
             sizes = [len(i) // WIDTH for i in ids]
             places = []
             for n in sizes:
