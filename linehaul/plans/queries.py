@@ -360,6 +360,19 @@ def load_rows_by_partition(spark: SparkSession, sf: str) -> DataFrame:
     return counts.load_report(spark, path, ["partition"])
 
 
+def load_rows_by_task(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and seconds of each write task of a load of copy text."""
+    path, started = new_work_folder(spark, "load"), time.time_ns() // 1_000_000 - 1
+    texts = feed.copy_line(feed.to_copy_rows(good_feed(spark, sf, hashes=True)))
+    write(texts.repartition(3), files(path, "text"))
+    report = counts.load_report(spark, path, started_ms=started, fmt="text")
+    return report.agg(
+        F.count(F.lit(1)).alias("n_tasks"),
+        F.sum("rows").alias("rows"),
+        F.count_if(F.col("seconds") >= 0).alias("n_timed"),
+    )
+
+
 def recreate_then_append(spark: SparkSession, sf: str) -> DataFrame:
     path = new_work_folder(spark, "recreate")
     rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "props")
@@ -662,6 +675,7 @@ QUERIES: dict[str, Query] = {
     "feed_ingest_time": feed_ingest_time,
     "feed_copy_files": feed_copy_files,
     "json_pass_through": json_pass_through,
+    "load_rows_by_task": load_rows_by_task,
     "files_search_by_folder": files_search_by_folder,
     "files_count_matching": files_count_matching,
     "files_count_total": files_count_total,

@@ -130,24 +130,24 @@ def list_files(
 ) -> DataFrame:
     """``(file)`` for every file below the path, those without any line included.
 
-    A scan that asks for no content, so the names come from the tasks.
+    Spark's own file index, which already holds these names on the driver to plan the
+    scan, is the source: a scan itself skips files of no length, so no task sees them.
     """
     paths = _paths(path)
     try:
-        found = (
+        listed = (
             spark.read.options(**(options or {}))
-            .format("binaryFile")
             .option("recursiveFileLookup", str(recursive).lower())
-            .load(paths)
+            .text(paths)
+            .inputFiles()
         )
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "file string")
-    key = object_key(F.col("_metadata.file_path"), *[_root(spark, p) for p in paths])
-    if key_regex is not None:
-        found = found.filter(full_match(key, key_regex))
-    return found.select(key.alias("file"))
+    key = object_key(F.col("uri"), *[_root(spark, p) for p in paths])
+    names = spark.createDataFrame([(f,) for f in listed], "uri string").select(key.alias("file"))
+    return names if key_regex is None else names.filter(full_match("file", key_regex))
 
 
 def read_line_stream(

@@ -44,5 +44,9 @@ def test_load_report(spark, tmp_path):
     assert all(0 <= r.seconds < 60 for r in got.values())
     total = counts.load_total(report).first()
     assert total.rows == 100 and total.seconds == max(r.seconds for r in got.values())
+    rows.select(F.col("id").cast("string")).repartition(4).write.text(str(tmp_path / "copy"))
+    tasks = counts.load_report(spark, str(tmp_path / "copy"), None, started, "text").collect()
+    assert sorted(r.task for r in tasks) == [0, 1, 2, 3] and sum(r.rows for r in tasks) == 100
+    assert all(0 <= r.seconds < 60 for r in tasks)
     plain = counts.load_report(spark, str(tmp_path / "t"), ["part"])
     assert plain.columns == ["part", "rows"] and counts.load_total(plain).first().rows == 100

@@ -121,6 +121,17 @@ def test_a_frequent_key_spreads_without_a_unique_order(spark):
     assert [r.k for r in ids] == sorted(r.k for r in ids)
 
 
+def test_rows_with_nested_maps_and_odd_names(spark):
+    df = spark.sql(
+        "SELECT id % 3 AS g, array(map('a', id)) AS `odd ``name`, struct(parse_json('[1]') AS v, id) AS s FROM range(50)"
+    )
+    got = with_objectid(df, ["g"]).select("g", "objectid").collect()
+    assert sorted(r.objectid for r in got) == list(range(1, 51))
+    assert [r.g for r in sorted(got, key=lambda r: r.objectid)] == sorted(r.g for r in got)
+    only_maps = df.select(F.col("`odd ``name`").alias("m"))
+    assert with_objectid(only_maps, [F.size("m")]).count() == 50
+
+
 def test_unordered_numbering_does_not_shuffle_rows(spark):
     plan = with_objectid(spark.range(100))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and "rangepartitioning" not in plan

@@ -345,6 +345,31 @@ def test_topic_options():
         "failOnDataLoss": "false",
     }
     assert topic_options("b", "t")["startingOffsets"] == "latest"
+
+
+def test_a_batch_read_keeps_given_offsets():
+    seen = {}
+
+    class Reader:
+        def format(self, source):
+            return self
+
+        def options(self, **options):
+            seen.update(options)
+            raise InterruptedError
+
+    class Session:
+        read = Reader()
+
+    some = '{"planes":{"0":5}}'
+    for options, want in (
+        (topic_options("b", "planes"), ("earliest", "latest")),
+        (topic_options("b", "planes", extra={"startingOffsets": some}), (some, "latest")),
+        (topic_options("b", "planes", extra={"endingOffsets": some}), ("earliest", some)),
+    ):
+        with pytest.raises(InterruptedError):
+            read_topic(Session(), options, streaming=False)
+        assert (seen["startingOffsets"], seen["endingOffsets"]) == want
     assert "kafka.group.id" not in topic_options("b", "t")
     with pytest.raises(ValueError):
         topic_options("b", "t", "somewhere")
