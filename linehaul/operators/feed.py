@@ -263,13 +263,12 @@ def to_documents(
     return with_id.select(F.inline(F.array(doc)))
 
 
-# Strict JSON, without the parser's own limits on numbers, names and texts; nesting stays
-# limited, as every level takes room on a task's stack.
-MAX_NESTING = 10_000
+# Strict JSON, without the parser's own limits on numbers and texts. It copies values nested
+# up to 1000 deep; a line that is refused and opens more levels gets a reason of its own.
+MAX_NESTING = 1000
 _JSON_OPTIONS = {
     "allowSingleQuotes": "false",
     "allowNonNumericNumbers": "false",
-    "maxNestingDepth": str(MAX_NESTING),
     "maxNumLen": str(2**31 - 1),
     "maxStringLen": str(2**31 - 1),
 }
@@ -290,10 +289,14 @@ def is_json_document(value: str | Column) -> Column:
 
 
 def json_reject_reason(value: str | Column) -> Column:
-    """Why a line is no document for a target: ``not_json`` (or nested too deep), ``not_an_object``; else null."""
+    """Why a line is no document for a target, else null: ``not_json``, ``too_deep_or_not_json``
+    (more than ``MAX_NESTING`` opening brackets), ``not_an_object``."""
     value = F.col(value) if isinstance(value, str) else value
+    opened = F.char_length(value) - F.char_length(F.translate(value, "[{", ""))
+    broken = ~is_json_document(value)
     return (
-        F.when(~is_json_document(value), F.lit("not_json"))
+        F.when(broken & (opened > MAX_NESTING), F.lit("too_deep_or_not_json"))
+        .when(broken, F.lit("not_json"))
         .when(~F.ltrim(F.translate(value, "\t\r\n", "   ")).startswith("{"), F.lit("not_an_object"))
         .otherwise(F.lit(None).cast("string"))
     )
