@@ -2,8 +2,8 @@
 
 A text's features are the distinct n-grams of its lower-cased UTF-8 bytes, hashed into
 ``2 ** BITS`` cells. From labelled texts every cell gets the log ratio of its smoothed
-document frequencies in the two classes; cells that tell the classes apart at ``LEAST_Z``
-standard errors or more stay. A logistic regression with ridge penalty is fitted on
+document frequencies in the two classes; of the cells that tell the classes apart by ``LEAST_Z``
+standard errors or more, the ``MOST_CELLS`` clearest stay. A logistic regression with ridge penalty is fitted on
 presence times ratio, and its intercept moved from the sample's class balance to that of
 all labels. Scoring is a lookup per n-gram in one table of fixed size, map-only.
 
@@ -30,11 +30,13 @@ from linehaul.llm.hashing import BLOCK
 BITS = 20
 ORDERS = (4, 5, 6)
 LEAST_Z = 3.0
+#: Cells of the model at most, those that tell most.
+MOST_CELLS = 4096
 #: Labelled rows of each class that the fit sees at most.
 SAMPLE_ROWS = 8000
 #: Documents' worth of prior in each cell's ratio, and the ridge penalty.
-PRIOR, RIDGE = 10.0, 2.0
-ROUNDS = 300
+PRIOR, RIDGE = 10.0, 0.5
+ROUNDS = 1000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -71,8 +73,10 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> tuple[np.ndarray,
     p = (pooled + 0.5) / (n + 1)
     z = np.abs(count[1] / n1 - count[0] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     ratio = np.log((count[1] + PRIOR * n1 / n) / n1 / ((count[0] + PRIOR * n0 / n) / n0))
-    keep = (z >= LEAST_Z) & (pooled >= 2)
-    chosen = np.flatnonzero(keep)
+    z[pooled < 2] = 0
+    chosen = np.sort(np.argsort(-z, kind="stable")[: min(MOST_CELLS, int((z >= LEAST_Z).sum()))])
+    keep = np.zeros(2**BITS, bool)
+    keep[chosen] = True
     number = np.zeros(2**BITS, np.int32)
     number[chosen] = np.arange(len(chosen))
     lists = [number[cells(t, keep)] for t in texts]
