@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes hashed at once; a longer run without a separator is hashed as one block.
-BLOCK = 1 << 20
+#: Bytes hashed at once (arrays that fit a core's cache); a longer run without a separator is
+#: hashed as one block.
+BLOCK = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)

@@ -13,8 +13,8 @@ are covered, in three steps that each pass on only what the next must look at:
    anchors are gathered by anchor; equal segments stand for their first place, and the
    others are covered whole.
 3. Segments of a shard of anchors that still differ are trimmed to the stretches whose
-   windows' hashes recur in the shard, and these are suffix-sorted together, linearly, by
-   :func:`suffix_array`. Neighbours in that order that agree on ``LENGTH`` bytes are equal
+   windows' hashes recur in the shard, equal ones again standing for their first place. What
+   overlaps without being equal is suffix-sorted together, linearly, by :func:`suffix_array`. Neighbours in that order that agree on ``LENGTH`` bytes are equal
    windows; all but the first place are covered.
 
 A frequent anchor with many different segments would be one large group; its segments are
@@ -45,8 +45,8 @@ CHUNK = 8
 
 #: Cells of the bit set of anchors, as a power of two: 8 MB.
 ANCHOR_BITS = 26
-#: Bytes of texts looked at together, and windows hashed at once.
-BLOCK, PART = 1 << 20, 1 << 20
+#: Bytes of texts looked at together, and windows hashed at once (arrays that fit a core's cache).
+BLOCK, PART = 1 << 20, 1 << 17
 #: Bytes of segments that are sorted together, about, and different segments of one anchor
 #: from which they are cut into windows.
 SHARD_BYTES, HOT = 1 << 18, 1024
@@ -352,14 +352,16 @@ _SPANS = "doc bigint, mark bigint, start bigint, stop bigint"
 def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
     """Covered spans among the segments of one shard, each of them there once."""
     spans = Spans()
-    stretches = _stretches(rows["body"].tolist())
-    docs, marks, starts = (rows[c].tolist() for c in ("doc", "mark", "start"))
-    # Equal stretches stand for their first place.
-    found = [
-        (*_digest(body), docs[i], marks[i], starts[i] + x, starts[i] + x + len(body), body)
-        for i, x, body in stretches
-    ]
-    found = _once(sorted(found), spans)
+    found = [(0, 0, d, m, x, 0, b) for d, m, x, b in zip(*(rows[c] for c in ("doc", "mark", "start", "body")))]
+    size = -1
+    while found and size != sum(len(r[6]) for r in found):
+        size = sum(len(r[6]) for r in found)
+        # Equal stretches stand for their first place, after which fewer windows recur.
+        stretches = [
+            (*_digest(body), *found[i][2:4], found[i][4] + x, found[i][4] + x + len(body), body)
+            for i, x, body in _stretches([r[6] for r in found])
+        ]
+        found = _once(sorted(stretches), spans)
     if found:
         places = np.array([(r[2], r[3], r[4]) for r in found], np.int64)
         sizes = [len(r[6]) for r in found]
