@@ -50,7 +50,7 @@ SKETCH = 8
 _SETS = "kind int, id bigint, n int, sid bigint, whole binary, sketch array<bigint>, wide binary"
 
 
-def _sets(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sets(n_words: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per document the size, digest and sketch of its set; at the end of the task the
     cells of frequent tokens."""
 
@@ -74,7 +74,7 @@ def _sets(n_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     "wide": pa.array([_sketch(t, _width(len(t))).tobytes() for t in tokens], pa.binary()),
                 }
             )
-        cells = np.flatnonzero(seen >= FREQUENT)
+        cells = np.flatnonzero(seen >= least)
         none = pa.nulls(len(cells))
         yield pa.record_batch(
             {
@@ -243,8 +243,9 @@ def jaccard_components(
     text_col: str = "text",
     n_words: int = 5,
     percent: int = 80,
+    frequent_from: int = FREQUENT,
 ) -> DataFrame:
-    """``(id, n, component, links)`` of every row: its id, the size of its set, the smallest
+    """``(id, n, component, linked)`` of every row: its id, the size of its set, the smallest
     id reachable by links of ``percent`` / 100 and whether its set was linked to another.
 
     ``percent`` is at least 70, as the prefixes rely on it.
@@ -254,7 +255,7 @@ def jaccard_components(
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     texts = keyed(docs, id_col, text_col).withColumnRenamed(text_col, "text")
-    both = staged(texts.mapInArrow(_sets(n_words), _SETS), "sets")
+    both = staged(texts.mapInArrow(_sets(n_words, frequent_from), _SETS), "sets")
     sets = both.where("kind = 0")
     classes = staged(
         sets.where("n > 0 and id is not null")
@@ -349,9 +350,11 @@ def jaccard_components(
     )
 
 
-def component_report(docs: DataFrame, n_words: int = 3, percent: int = 90) -> DataFrame:
+def component_report(
+    docs: DataFrame, n_words: int = 3, percent: int = 90, frequent_from: int = FREQUENT
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every document."""
-    out = jaccard_components(docs, "doc_id", "text", n_words, percent)
+    out = jaccard_components(docs, "doc_id", "text", n_words, percent, frequent_from)
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")
     )
