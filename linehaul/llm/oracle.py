@@ -48,6 +48,28 @@ def _secret_spans() -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op4_suffix_array_dedup": """
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (
+          SELECT doc_id, i, md5(array_slice(h, 2 * i + 1, 2 * i + 200)) AS k
+          FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 99))) AS i FROM t)
+        ),
+        hit AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        numbered AS (
+          SELECT doc_id, i, sum(CASE WHEN i - prev <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+          FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM hit)
+        ),
+        runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, g),
+        per AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS xs, list(b ORDER BY a) AS ys FROM runs GROUP BY doc_id),
+        whole AS (
+          SELECT doc_id, h, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            list_prepend(0, coalesce(ys, [])) AS s, list_append(coalesce(xs, []), len(h) // 2) AS e
+          FROM t LEFT JOIN per USING (doc_id)
+        )
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, n_removed, n_spans,
+          sha256(unhex(array_to_string(list_transform(range(1, len(s) + 1), lambda j: array_slice(h, 2 * s[j] + 1, 2 * e[j])), ''))) AS kept_sha256
+        FROM whole
+    """,
     "op6_ngram_jaccard_join": rf"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
