@@ -200,6 +200,8 @@ SELECT {_TABLE_BASE}, {_WKT} AS geometry, geohash, sqrhash, pntytrihash, flattri
 SELECT CAST({STREAM_FILES} AS BIGINT) AS n_batches, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id,
   count(*) AS last_id, CAST(sum(ts) AS BIGINT) AS sum_ts FROM good""",
     "stream_documents": f"{_FEED} SELECT planeid, ts, speed, orig, longitude, latitude FROM good",
+    "stream_processing_time": f"""{_FEED}
+SELECT CAST({STREAM_FILES} AS BIGINT) AS n_batches, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts FROM good""",
     "stream_dropped_batch": f"""
 SELECT CAST({STREAM_FILES - 1} AS BIGINT) AS n_batches, CAST(1 AS BIGINT) AS n_noted,
   CAST(2 AS BIGINT) AS noted, count(*) AS n_events, true AS counted_right FROM events""",

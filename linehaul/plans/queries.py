@@ -557,6 +557,27 @@ def stream_batch_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_processing_time(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed on a processing-time trigger, until all there is has been taken."""
+    folder = new_work_folder(spark, "stream")
+    query = run_stream(
+        _good_stream(spark, sf, folder).select("event_id", "ts"),
+        lambda batch, batch_id: tables.write_batch_once(batch, batch_id, f"{folder}/rows"),
+        f"{folder}/checkpoint",
+        {"processingTime": "100 milliseconds"},
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    stored = spark.read.parquet(f"{folder}/rows")
+    return stored.agg(
+        F.count_distinct("batch_id").alias("n_batches"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("ts").alias("sum_ts"),
+    )
+
+
 def stream_dropped_batch(spark: SparkSession, sf: str) -> DataFrame:
     """One batch fails and is given up: its rows are missing, and it is noted."""
     folder = new_work_folder(spark, "stream")
@@ -669,6 +690,7 @@ QUERIES: dict[str, Query] = {
     "stream_planes16": stream_planes16,
     "stream_planes18": stream_planes18,
     "stream_documents": stream_documents,
+    "stream_processing_time": stream_processing_time,
     "stream_dropped_batch": stream_dropped_batch,
     "stream_repeated_batch": stream_repeated_batch,
     "feed_long_lines": feed_long_lines,
