@@ -9,9 +9,10 @@ extended until two neighbouring shared tokens must stand close together in both,
 pairs of frequent tokens up to ``GAP`` apart are the keys (see :func:`_keys`). That is
 far fewer rows than all pairs of a long prefix, and no pair of documents is missed.
 
-A token class (a cell of a fixed number of cells) is frequent where a task counted its
-tokens in four or more documents; this decides the plan only, never the result. Equal
-sets are one class and stand for one set. Buckets first link to a pivot, their smallest
+A token class is a cell of a fixed number of cells. Tasks report the cells whose tokens
+they saw more often than by chance, and a class is frequent where the reports add up to
+``frequent_from`` documents; this decides the plan only, never the result. Equal
+sets are one class and stand for one set, and of keys with equal members one stays. Buckets first link to a pivot, their smallest
 set; what that leaves unconnected is then paired bucket by bucket across components.
 Parity sketches bound a pair's difference from below, and the pairs they let through are
 verified on whole sets. So a group of near copies costs about one pair per copy.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -42,27 +44,45 @@ BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 GAP = 3
 #: Cells of token classes and of the bit sets, as powers of two: 2 MB and 8 MB.
 CLASS_BITS, KEY_BITS = 24, 26
-#: A class is frequent from so many documents of a task on.
-FREQUENT = 4
+#: A class is frequent from so many documents on, as far as tasks report them.
+FREQUENT = 8
+#: Cells that a task may report by chance, as tokens fall on one cell.
+CHANCE = 4096
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 
 _SETS = "kind int, id bigint, n int, sid bigint, whole binary, sketch array<bigint>, wide binary"
 
 
-def _sets(n_words: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _reported(tokens: int, frequent_from: int) -> int:
+    """The count from which a task reports a cell: at least 2, and so high that hardly more
+    than ``CHANCE`` cells get there by chance."""
+    if frequent_from < 2:
+        return 1
+    load = tokens / 2**CLASS_BITS
+    least, term, below = 2, load * exp(-load), exp(-load) * (1 + load)
+    while 2**CLASS_BITS * (1 - below) > CHANCE:
+        term *= load / least
+        below += term
+        least += 1
+    return least
+
+
+def _sets(n_words: int, frequent_from: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per document the size, digest and sketch of its set; at the end of the task the
     cells of frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(BLANKS)
         seen = np.zeros(2**CLASS_BITS, np.uint8)
+        total = 0
         for batch in batches:
             tokens = words.shingles(utf8(batch["text"]), n_words)
             digests = [hashlib.blake2b(t.tobytes(), digest_size=16).digest() for t in tokens]
             for t in tokens:
                 cells = (t & np.uint64(2**CLASS_BITS - 1)).astype(np.int64)
                 seen[cells] = np.minimum(seen[cells], 254) + 1
+                total += len(cells)
             yield pa.record_batch(
                 {
                     "kind": pa.array(np.zeros(len(tokens), np.int32)),
@@ -74,13 +94,13 @@ def _sets(n_words: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                     "wide": pa.array([_sketch(t, _width(len(t))).tobytes() for t in tokens], pa.binary()),
                 }
             )
-        cells = np.flatnonzero(seen >= least)
+        cells = np.flatnonzero(seen >= _reported(total, frequent_from))
         none = pa.nulls(len(cells))
         yield pa.record_batch(
             {
                 "kind": pa.array(np.ones(len(cells), np.int32)),
                 "id": pa.array(cells),
-                "n": none.cast(pa.int32()),
+                "n": pa.array(seen[cells].astype(np.int32)),
                 "sid": none.cast(pa.int64()),
                 "whole": none.cast(pa.binary()),
                 "sketch": none.cast(pa.list_(pa.int64())),
@@ -263,7 +283,8 @@ def jaccard_components(
         .agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")),
         "classes",
     )
-    frequent = share(bit_set(both.where("kind = 1"), F.col("id"), CLASS_BITS))
+    reported = both.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
+    frequent = share(bit_set(reported.where(F.col("n") >= frequent_from), F.col("id"), CLASS_BITS))
 
     def postings(wanted=None) -> DataFrame:
         return texts.mapInArrow(
@@ -288,6 +309,15 @@ def jaccard_components(
         "buckets",
     )
 
+    # Close sets share many keys. Of keys with the same members one is enough.
+    members = buckets.groupBy("k").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("id")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"),
+    )
+    one = members.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k")
+    buckets = staged(buckets.join(one, "k", "left_semi"), "buckets")
+
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs that could link, each once."""
         x = wide.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
