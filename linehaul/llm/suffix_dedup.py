@@ -248,7 +248,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, lis
 _PIECES = "a bigint, b bigint, doc bigint, mark bigint, start bigint, stop bigint, body binary"
 
 
-def _pieces(rows: list[tuple], spans: Spans, body: bool) -> pa.RecordBatch:
+def _pieces(rows: list[tuple], spans: Spans) -> pa.RecordBatch:
     """Pieces with keys, and spans as rows without."""
     rows = rows + [(None, None, *r, None) for r in spans.rows]
     columns = list(zip(*rows)) if rows else [[]] * 7
@@ -283,7 +283,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.append(cuts[1:], len(first)) - 1
             for x, y in zip(first[cuts].tolist(), (stop[ends] + LENGTH - 1).tolist()):
                 found.append((*_digest(texts[i][x:y]), docs[i], marks[i], x, y, None))
-        yield _pieces(_once(found, spans), spans, False)
+        yield _pieces(_once(found, spans), spans)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def _segment_rows(wanted) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 ):
                     body = texts[i][x:y]
                     found.append((a, _digest(body)[0], docs[i], marks[i], x, y, body))
-            yield _pieces(_once(found, spans), spans, True)
+            yield _pieces(_once(found, spans), spans)
 
     return run
 
@@ -343,7 +343,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in range(len(r["body"]) - LENGTH + 1):
                 at = r["start"] + x
                 found.append((*_digest(r["body"][x : x + LENGTH]), r["doc"], r["mark"], at, at + LENGTH, None))
-        yield _pieces(_once(found, spans), spans, False)
+        yield _pieces(_once(found, spans), spans)
 
 
 _SPANS = "doc bigint, mark bigint, start bigint, stop bigint"
