@@ -4,7 +4,8 @@ Vectors are spread evenly over shards by a hash of their id. A shard projects it
 on ``PROJECTIONS`` directions and keeps, per direction, one sorted array of values. A query
 opens a window centred on its own value in each array; windows grow with a search radius
 (virtual rehashing: no table is rebuilt, only the ends move outward), and every vector that
-comes in gets one collision. Vectors that reach the collision threshold are verified by
+comes in gets one collision. The first radius comes from a query's distances to a few
+vectors of the shard; any would do, as the search goes on until its end is reached. Vectors that reach the collision threshold are verified by
 their true distance. A vector within the radius falls into a window with a known chance,
 so the threshold lies ``SPREAD`` standard deviations below the mean of its collisions;
 the search of a shard ends when its k-th verified distance is within the radius, or when
@@ -34,6 +35,8 @@ SHARD_ROWS, BLOCK_ROWS = 8192, 4096
 PROJECTIONS = 64
 #: Half a window's width and the growth of the radius from level to level.
 WIDTH, GROWTH = 1.5, 1.2
+#: Vectors of a shard whose distances set a query's first radius: the k-th of theirs over this.
+SAMPLE, START = 256, 1.5
 #: Standard deviations between the mean collisions of a vector at the radius and the threshold.
 SPREAD = 2.0
 SEED = 7
@@ -65,6 +68,7 @@ class Shard:
         n = len(ids)
         near = self.values[:, min(n - 1, n // 2 + max(1, n // 50))] - self.values[:, n // 2]
         self.first = max(float(np.median(near)), 1e-9)
+        self.sample = np.unique(np.linspace(0, n - 1, min(n, SAMPLE)).astype(int))
 
     def nearest(self, query_id: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest vectors found."""
@@ -76,13 +80,14 @@ class Shard:
         checked = self.ids == query_id
         own = int(checked.sum())
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        radius = self.first
+        some = self.sample[self.ids[self.sample] != query_id]
+        far = np.sort(np.sqrt(((self.vectors[some] - vector) ** 2).sum(1)))
+        radius = max(self.first, far[k - 1] / START if len(far) >= k else 0.0)
         while True:
             half = radius * WIDTH
             for j in range(PROJECTIONS):
                 v, order = self.values[j], self.order[j]
-                a, b = np.searchsorted(v, (centre[j] - half, centre[j] + half))
-                b = max(b, np.searchsorted(v, centre[j] + half, "right"))
+                a, b = v.searchsorted(centre[j] - half), v.searchsorted(centre[j] + half, "right")
                 hits[order[a : low[j]]] += 1
                 hits[order[high[j] : b]] += 1
                 low[j], high[j] = a, max(b, high[j])
