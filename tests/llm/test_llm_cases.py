@@ -271,9 +271,9 @@ def test_trie_takes_partial_segments_and_prefers_block():
 def test_toxicity_without_both_classes(spark):
     docs = make(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], LABELS)
-    assert [x.score for x in toxicity.score(docs, toxicity.train(docs, none), ["doc_id"]).collect()] == pytest.approx([0.0, 0.0])
+    assert [x.score for x in toxicity.score(docs, toxicity.train(docs, none), ["doc_id"]).collect()] == pytest.approx([0.0, 0.0], abs=1e-6)
     one = spark.createDataFrame([(1, 1, 1)], LABELS)
-    assert [x.score for x in toxicity.score(docs, toxicity.train(docs, one), ["doc_id"]).collect()] == pytest.approx([1.0, 1.0])
+    assert [x.score for x in toxicity.score(docs, toxicity.train(docs, one), ["doc_id"]).collect()] == pytest.approx([1.0, 1.0], abs=1e-6)
 
 
 def test_long_texts_are_cut_into_the_same_words():
