@@ -214,9 +214,8 @@ def _tokens(n_words: int, wanted) -> Callable:
         words = Words(BLANKS)
         bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            ids = batch["id"].to_numpy(zero_copy_only=False)
-            known = ~np.isnan(ids.astype(float))
-            whole = np.where(known, ids, 0).astype(np.int64).view(np.uint64)
+            known = batch["id"].is_valid().to_numpy(zero_copy_only=False)
+            whole = batch["id"].fill_null(0).to_numpy().view(np.uint64)  # nulls would make it float64
             part = batch.filter(pa.array(known & has_bit(bits, whole, KEY_BITS)))
             sets = words.shingles(utf8(part["text"]), n_words)
             yield pa.record_batch(

@@ -130,6 +130,17 @@ def test_a_large_group_of_near_copies_takes_few_pairs(spark):
     assert {x.component_id for x in out} == {0}
 
 
+def test_large_ids_beside_a_null_id_keep_their_links(spark):
+    r = random.Random(7)
+    rows = [(None, "without an id")]
+    for group in range(4):
+        words = [f"g{group}w{r.randrange(500)}" for _ in range(100)]
+        for k in range(3):
+            rows.append((2**60 + 10 * group + 2 * k + 1, " ".join([f"x{group}y{k}", *words])))
+    out = jaccard.component_report(make(spark, rows, 1), 3, 90).where("doc_id is not null").collect()
+    assert {x.doc_id: x.component_id for x in out} == {i: i - (i - 2**60) % 10 + 1 for i, _ in rows if i is not None}
+
+
 def test_lines_against_plain(spark):
     r = random.Random(7)
     lines = ["A line that repeats", "  a LINE that repeats\t", "short", "", "ÄÖÜ äöü umlauts stay", "äöü ÄÖÜ umlauts stay", "x" * 500]
