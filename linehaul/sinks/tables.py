@@ -119,14 +119,23 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _merge_block(spark: SparkSession, path: str, block: int, schema: str) -> None:
+    """Put the notes of a block into one folder, then delete what they were read from.
+
+    A try that was stopped leaves a folder of the block and some of the single notes, and
+    either may hold the only copy of a note. So both are read, and nothing is written over.
+    """
     fs, root = hadoop_path(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(root)]
     end = (block + 1) * LOG_BATCHES
-    old = [n for n in names if n.startswith("batch=") and int(n[6:]) < end]
-    if not old:
+    tries = [n for n in names if n.split(".")[0] == f"block={block}"]
+    old = tries + [n for n in names if n.startswith("batch=") and int(n[6:]) < end]
+    if len(old) == len(tries) < 2:
         return
-    notes = spark.read.schema(f"{schema}, batch_id long").parquet(*[f"{path}/{n}" for n in old])
-    notes.coalesce(1).write.mode("overwrite").parquet(f"{path}/block={block}")
+    last = max((int(n.partition(".")[2] or 0) for n in tries), default=None)
+    name = f"block={block}" if last is None else f"block={block}.{last + 1}"
+    reader = spark.read.schema(f"{schema}, batch_id long").option("recursiveFileLookup", "true")
+    notes = reader.parquet(*[f"{path}/{n}" for n in old]).dropDuplicates(["batch_id"])
+    notes.coalesce(1).write.parquet(f"{path}/{name}")
     for n in old:
         fs.delete(hadoop_path(spark, f"{path}/{n}")[1], True)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import time
 
 import pytest
@@ -251,6 +252,34 @@ def test_old_notes_are_put_together(spark, tmp_path, monkeypatch):
     assert sorted(n for n in os.listdir(log) if not n.startswith(".")) == ["batch=8", "batch=9", "block=0", "block=1"]
 
 
+def test_a_stop_while_old_notes_are_deleted_loses_none(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LOG_BATCHES", 4)
+    log = tmp_path / "log"
+    for i in range(5):
+        tables.keep_batch(spark, str(log), i, "rows long", [(i * 10,)])
+    shutil.copytree(log, tmp_path / "before")
+    tables.keep_batch(spark, str(log), 5, "rows long", [(50,)])
+    for left in ([2, 3], [3], []):  # single notes that were still there at the stop
+        for i in left:
+            shutil.copytree(tmp_path / "before" / f"batch={i}", log / f"batch={i}")
+        tables.keep_batch(spark, str(log), 5, "rows long", [(50,)])
+        notes = tables.read_batches(spark, str(log), "rows long").collect()
+        assert sorted((r.batch_id, r.rows) for r in notes) == [(i, i * 10) for i in range(6)]
+        names = [n for n in os.listdir(log) if not n.startswith(".")]
+        assert sum(n.startswith("block=0") for n in names) == 1 and len(names) == 3
+
+
+def test_a_stop_while_a_block_is_written_loses_none(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "LOG_BATCHES", 4)
+    log = tmp_path / "log"
+    for i in range(5):
+        tables.keep_batch(spark, str(log), i, "rows long", [(i * 10,)])
+    (log / "block=0" / "_temporary").mkdir(parents=True)
+    tables.keep_batch(spark, str(log), 5, "rows long", [(50,)])
+    notes = tables.read_batches(spark, str(log), "rows long").collect()
+    assert sorted((r.batch_id, r.rows) for r in notes) == [(i, i * 10) for i in range(6)]
+
+
 def test_latest_takes_new_files_only(spark, folder, tmp_path):
     three_files(folder)
     out, first = str(tmp_path / "out"), str(tmp_path / "cp-start")
