@@ -2,13 +2,14 @@
 
 A text's features are the distinct n-grams of its lower-cased UTF-8 bytes, hashed into
 ``2 ** BITS`` cells. From labelled texts every cell gets the log ratio of its smoothed
-document frequencies in the two classes; of the cells that tell the classes apart by ``LEAST_Z``
-standard errors or more, the ``MOST_CELLS`` clearest stay. A logistic regression with ridge penalty is fitted on
-presence times ratio, and its intercept moved from the sample's class balance to that of
-all labels. Scoring is a lookup per n-gram in one table of fixed size, map-only.
+document frequencies in the two classes; all cells that tell the classes apart by ``LEAST_Z``
+standard errors or more stay. A logistic regression with ridge penalty is fitted on presence
+times ratio by Newton steps, and its intercept moved from the sample's class balance to that
+of all labels. Scoring is a lookup per n-gram in one table of fixed size, map-only.
 
-The fit sees at most ``sample_rows`` labelled rows of each class, chosen by a hash; the
-class balance counts all labels. The sample and the model are bounded by these figures.
+The fit sees at most ``sample_rows`` labelled ids of each class, chosen by a hash, and of
+rows that share such an id the smallest text; the class balance counts all labels. That
+bounds the sample's rows (texts are whole), and the number of cells bounds the model.
 
 Defined results: a null or empty text has no features and scores as the intercept says.
 Labels that are null or that contradict another label of the same id are not learned
@@ -30,13 +31,15 @@ from linehaul.llm.hashing import BLOCK
 BITS = 20
 ORDERS = (4, 5, 6)
 LEAST_Z = 3.0
-#: Cells of the model at most, those that tell most.
-MOST_CELLS = 4096
-#: Labelled rows of each class that the fit sees at most.
+#: Labelled ids of each class that the fit sees at most, a row each.
 SAMPLE_ROWS = 8000
 #: Documents' worth of prior in each cell's ratio, and the ridge penalty.
 PRIOR, RIDGE = 10.0, 0.5
-ROUNDS = 1000
+#: The fit ends where the gradient is this share of the first, or after so many Newton steps,
+#: each of at most so many conjugate gradient steps.
+CLOSE, STEPS, INNER = 1e-6, 50, 200
+#: Rows that the fit multiplies at once.
+FIT_ROWS = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
@@ -74,38 +77,71 @@ def fit(texts: list[str], labels: np.ndarray, share: float) -> tuple[np.ndarray,
     z = np.abs(count[1] / n1 - count[0] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     ratio = np.log((count[1] + PRIOR * n1 / n) / n1 / ((count[0] + PRIOR * n0 / n) / n0))
     z[pooled < 2] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[: min(MOST_CELLS, int((z >= LEAST_Z).sum()))])
-    keep = np.zeros(2**BITS, bool)
-    keep[chosen] = True
+    keep = z >= LEAST_Z
+    chosen = np.flatnonzero(keep)
     number = np.zeros(2**BITS, np.int32)
     number[chosen] = np.arange(len(chosen))
-    lists = [number[cells(t, keep)] for t in texts]
-    column = np.concatenate(lists)
-    row = np.repeat(np.arange(n), [len(x) for x in lists])
-    scale = ratio[chosen][column]
-    weight, bias = np.zeros(len(chosen)), 0.0
-    # Accelerated gradient steps, their length from the largest curvature (power iteration).
-    probe, most = np.ones(len(chosen) + 1), 1.0
-    for _ in range(30):
-        probe /= np.linalg.norm(probe)
-        out = np.bincount(row, probe[column] * scale, minlength=n) + probe[-1]
-        probe = np.append(np.bincount(column, out[row] * scale, minlength=len(chosen)), out.sum())
-        most = float(np.linalg.norm(probe))
-    step = 1 / (most * 1.1 / 4 + RIDGE)
-    w_at, b_at, t_old = weight.copy(), bias, 1.0
-    for _ in range(ROUNDS):
-        margin = np.bincount(row, w_at[column] * scale, minlength=n) + b_at
-        error = 1 / (1 + np.exp(-np.clip(margin, -40, 40))) - labels
-        gradient = np.bincount(column, error[row] * scale, minlength=len(chosen)) + RIDGE * w_at
-        w_new, b_new = w_at - step * gradient, b_at - step * error.sum()
-        t_new = (1 + np.sqrt(1 + 4 * t_old**2)) / 2
-        w_at = w_new + (t_old - 1) / t_new * (w_new - weight)
-        b_at = b_new + (t_old - 1) / t_new * (b_new - bias)
-        weight, bias, t_old = w_new, b_new, t_new
+    lists = [np.append(number[cells(t, keep)], np.int32(len(chosen))) for t in texts]
+    weight, bias = _ridge(lists, ratio[chosen], labels)
     bias += np.log(share / (1 - share)) - np.log(n1 / n0)
     return chosen.astype(np.int32), (weight * ratio[chosen]).astype(np.float32), float(bias)
 
 
+def _ridge(lists: list[np.ndarray], scale: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression with ridge penalty; ``lists`` has the
+    columns of every row and, as the last, the intercept's."""
+    blocks = []
+    for i in range(0, len(lists), FIT_ROWS):
+        lengths = np.array([len(x) for x in lists[i : i + FIT_ROWS]])
+        blocks.append((i, np.concatenate(lists[i : i + FIT_ROWS]), np.cumsum(lengths) - lengths, lengths))
+    scale, penalty = np.append(scale, 1.0), np.append(np.full(len(scale), RIDGE), 0.0)
+
+    def rows(w: np.ndarray) -> np.ndarray:
+        w = w * scale
+        return np.concatenate([np.add.reduceat(w[column], start) for _, column, start, _ in blocks])
+
+    def columns(v: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(scale))
+        for i, column, _, lengths in blocks:
+            out += np.bincount(column, np.repeat(v[i : i + len(lengths)], lengths), len(scale))
+        return out
+
+    def loss(margin: np.ndarray, w: np.ndarray) -> float:
+        return float((np.logaddexp(0, margin) - labels * margin).sum() + (penalty * w * w).sum() / 2)
+
+    w, first = np.zeros(len(scale)), 0.0
+    margin = rows(w)
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
+        gradient = columns(p - labels) * scale + penalty * w
+        size = float(np.linalg.norm(gradient))
+        first = first or size
+        if size <= CLOSE * first:
+            break
+        curve = p * (1 - p)
+        # Conjugate gradients for the Newton step, scaled by the diagonal.
+        diagonal = columns(curve) * scale**2 + penalty
+        step, left = np.zeros(len(w)), -gradient
+        along = scaled = left / diagonal
+        dot = float(left @ scaled)
+        for _ in range(INNER):
+            bent = columns(curve * rows(along)) * scale + penalty * along
+            by = dot / float(along @ bent)
+            step, left = step + by * along, left - by * bent
+            if np.linalg.norm(left) <= min(0.1, (size / first) ** 0.5) * size:
+                break
+            scaled = left / diagonal
+            dot, before = float(left @ scaled), dot
+            along = scaled + dot / before * along
+        ahead, slope, now, by = rows(step), float(gradient @ step), loss(margin, w), 1.0
+        while by > 1e-6 and loss(margin + by * ahead, w + by * step) > now + 1e-4 * by * slope:
+            by /= 2
+        if by <= 1e-6:
+            break  # as close as rounding allows
+        w, margin = w + by * step, margin + by * ahead
+    return w[:-1], float(w[-1])
+
+
 def _fitted(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels = [], []
@@ -154,6 +190,7 @@ def train(
     sample = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(
         F.broadcast(picks[0].union(picks[1])), "id"
     )
+    sample = sample.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     model = (
         sample.select("text", "label")
         .repartition(1)

@@ -287,6 +287,30 @@ def test_toxicity_without_both_classes(spark):
     assert [x.score for x in toxicity.score(docs, toxicity.train(docs, one), ["doc_id"]).collect()] == pytest.approx([1.0, 1.0], abs=1e-6)
 
 
+def test_toxicity_keeps_every_telling_cell():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    telling, common = [word() for _ in range(900)], [word() for _ in range(200)]
+    texts = [" ".join(r.sample(common, 20) + telling[k % 90 :: 90]) for k in range(900)]
+    texts += [" ".join(r.sample(common, 20)) for _ in range(900)]
+    labels = np.repeat([1, 0], 900)
+    chosen, weights, bias = toxicity.fit(texts, labels, 0.5)
+    table = np.zeros(2**toxicity.BITS)
+    table[chosen] = weights
+    assert len(chosen) > 4096
+    assert all(table[toxicity.cells(w)].sum() > 0.1 for w in telling)
+    margins = np.array([table[toxicity.cells(t)].sum() + bias for t in texts])
+    assert ((margins > 0) == (labels == 1)).all()
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    rows = [(k, f"plain words number {k}" if k % 2 else f"nasty words number {k}") for k in range(40)]
+    labels = spark.createDataFrame([(k, 1, 1 - k % 2) for k in range(40)], LABELS)
+    once = toxicity.train(make(spark, rows), labels)
+    again = toxicity.train(make(spark, rows + [(0, "nasty words, later")] * 30), labels)
+    assert once == again
+
+
 def test_long_texts_are_cut_into_the_same_words():
     words = Words(jaccard.BLANKS)
     text = b"some words and more " * (BLOCK // 10) + b"x" * (BLOCK + 10) + b" end"
