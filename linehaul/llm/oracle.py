@@ -169,6 +169,56 @@ ORACLE: dict[str, str] = {
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
     """,
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE tab AS (
+            SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8),
+                lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+        ),
+        runs AS (
+            SELECT doc_id, w, count(*) AS m FROM (
+                SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents)
+            GROUP BY ALL
+        ),
+        bytes AS (
+            SELECT w, m, hex(encode(CAST(doc_id AS VARCHAR) || ':' || w)) AS x FROM runs
+        ),
+        hashed AS (
+            SELECT w, m, xor(list_reduce([4294967295] || list_transform(range(length(x) // 2),
+                    lambda i: (strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1),
+                lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h
+            FROM bytes, tab
+        ),
+        cut AS (
+            SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, m FROM hashed
+        ),
+        vocabulary AS (
+            SELECT word, CAST(sum(m) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5
+        ),
+        shorter AS (
+            SELECT word, i, word[:i] || word[i + 2:] AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM vocabulary)
+        ),
+        pairs AS (
+            SELECT a.word AS a, b.word AS b FROM shorter a JOIN shorter b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM shorter a JOIN vocabulary b ON a.d = b.word
+            UNION SELECT b.word, a.word FROM shorter a JOIN vocabulary b ON a.d = b.word
+        ),
+        near AS (
+            SELECT a AS word, x.n, b, y.n AS bn FROM pairs JOIN vocabulary x ON x.word = a JOIN vocabulary y ON y.word = b
+        ),
+        best AS (
+            SELECT word, CASE WHEN bn >= 5 * n THEN b END AS form, CASE WHEN bn >= 5 * n THEN bn END AS form_n
+            FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY bn DESC, encode(b)) = 1
+        ),
+        steps AS (
+            SELECT word, word AS stop, 0 AS k FROM vocabulary
+            UNION ALL
+            SELECT steps.word, best.form, k + 1 FROM steps JOIN best ON best.word = steps.stop WHERE best.form IS NOT NULL
+        ),
+        roots AS (SELECT word, arg_max(stop, k) AS root FROM steps GROUP BY word),
+        counted AS (SELECT word, count(DISTINCT b) AS n_near FROM near GROUP BY word)
+        SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n
+        FROM vocabulary LEFT JOIN best USING (word) LEFT JOIN counted USING (word) LEFT JOIN roots USING (word)
+    """,
     "op7_line_dedup": f"""
         WITH {_LINES}
         SELECT doc_id, count(*) AS n_lines,

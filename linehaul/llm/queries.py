@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import decontaminate, jaccard, line_dedup, neighbours, packing, secrets, suffix_dedup, token_counts, toxicity, urls
+from linehaul.llm import decontaminate, jaccard, line_dedup, neighbours, packing, secrets, suffix_dedup, token_counts, toxicity, urls, variants
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
@@ -85,7 +85,23 @@ def op10_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("longest")
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_report(_read(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_packing, op2_nearest_neighbours, op3_token_counts, op4_suffix_array_dedup, op5_toxicity, op6_ngram_jaccard_join, op7_line_dedup, op8_secret_scans, op9_url_filters, op10_benchmark_decontamination)
+    for f in (
+        op1_packing,
+        op2_nearest_neighbours,
+        op3_token_counts,
+        op4_suffix_array_dedup,
+        op5_toxicity,
+        op6_ngram_jaccard_join,
+        op7_line_dedup,
+        op8_secret_scans,
+        op9_url_filters,
+        op10_benchmark_decontamination,
+        op11_spelling_variants,
+    )
 }
