@@ -76,14 +76,14 @@ class WordIds:
 
 
 @cache
-def _word_ids(tokenizer_file: str) -> WordIds:
+def word_ids(tokenizer_file: str) -> WordIds:
     """One table for all tasks of a Python worker."""
     return WordIds(tokenizer_file)
 
 
 def _tokenized(tokenizer_file: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _word_ids(tokenizer_file)
+        ids_of = word_ids(tokenizer_file)
         task = TaskContext.get().partitionId()
         last = end.to_bytes(WIDTH, "little")
         at = 0
