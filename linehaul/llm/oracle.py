@@ -219,6 +219,29 @@ ORACLE: dict[str, str] = {
         SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n
         FROM vocabulary LEFT JOIN best USING (word) LEFT JOIN counted USING (word) LEFT JOIN roots USING (word)
     """,
+    "op13_hard_negatives": """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scores AS (
+            SELECT a.vec_id AS anchor, a.label AS mine, b.vec_id AS other, b.label AS theirs,
+                CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS s
+            FROM r a, r b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ),
+        positives AS (
+            SELECT anchor, other, s FROM scores WHERE mine = theirs
+            QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY s DESC, other) <= 5
+        )
+        SELECT p.anchor AS anchor_id, p.other AS positive_id,
+            row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.s DESC, n.other) AS rank,
+            n.other AS negative_id, p.s AS positive_score, n.s AS negative_score
+        FROM positives p JOIN scores n ON p.anchor = n.anchor AND n.mine <> n.theirs AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+        QUALIFY rank <= 3
+    """,
     "op7_line_dedup": f"""
         WITH {_LINES}
         SELECT doc_id, count(*) AS n_lines,

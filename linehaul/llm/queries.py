@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linehaul.llm import bin_completion, decontaminate, jaccard, line_dedup, neighbours, packing, secrets, suffix_dedup, token_counts, toxicity, urls, variants
+from linehaul.llm import bin_completion, decontaminate, hard_negatives, jaccard, line_dedup, neighbours, packing, secrets, suffix_dedup, token_counts, toxicity, urls, variants
 from linehaul.llm.stage import small_batches
 from linehaul.plans.inputs import table
 
@@ -93,6 +93,10 @@ def op12_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return bin_completion.piece_report(_read(spark, sf, "documents"), word_tokenizer())
 
 
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return hard_negatives.negative_report(_read(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -108,5 +112,6 @@ QUERIES: dict[str, Query] = {
         op10_benchmark_decontamination,
         op11_spelling_variants,
         op12_best_fit_packing,
+        op13_hard_negatives,
     )
 }
