@@ -6,7 +6,7 @@ the anchor's parent, plus or minus their distance times the candidate's norm; wh
 parent's score was never computed, its own bounds widen by as much. A task holds one shard of
 candidates, and the blocks of anchors stream past it. It walks each tree from the root, whose scores are all
 computed, and computes a score below it only where the bounds meet a window: for positives, what may
-still enter the first ``n_positives``; for negatives, the span between the
+still enter the first ``n_positives`` (given those found and all lower bounds); for negatives, the span between the
 shares of each positive's score, above what it has already found there. The bounds are true for any
 vectors, so the result is exact; how much they save depends on how close the anchors stand.
 
@@ -104,7 +104,8 @@ def _planted(limit: int, pivots: np.ndarray) -> tuple[Callable, Callable]:
 
     def trees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = TaskContext.get().partitionId() << 20
-        every = pd.concat(frames, ignore_index=True)
+        held = list(frames)
+        every = pd.concat(held, ignore_index=True) if held else pd.DataFrame({"size": []})
         for _, same in every.groupby("size", sort=True):
             same = same.sort_values(["cell", "id"])
             for k in range(0, len(same), limit):
@@ -167,11 +168,11 @@ class Walk:
     def run(
         self,
         wanted: Callable[[int, slice], np.ndarray],
-        window: Callable[[int], tuple[float, float]],
+        window: Callable[[int, np.ndarray], tuple[float, float]],
         take: Callable[[int, np.ndarray, np.ndarray], None],
     ) -> None:
         """For every anchor, from the root: ``take`` the places of candidates that are ``wanted`` and whose bounds
-        meet the anchor's window, with their scores."""
+        meet the anchor's window, with their scores. A window may look at the lower bounds of the wanted."""
         n = len(self.shard.ids)
         for start in range(0, n, CHUNK_ROWS):
             rows = slice(start, min(n, start + CHUNK_ROWS))
@@ -185,7 +186,7 @@ class Walk:
                     with np.errstate(invalid="ignore", over="ignore"):
                         reach = np.nan_to_num(self.edges[k] * norms, nan=np.inf, posinf=np.inf)
                     low[k], high[k] = low[p] - reach, high[p] + reach
-                    bottom, top = window(k)
+                    bottom, top = window(k, low[k, mine])
                     at = np.flatnonzero(mine & ~(high[k] < bottom) & ~(low[k] > top))
                 if not len(at):
                     continue
@@ -233,7 +234,8 @@ def _positives(k: int) -> Callable[[Shard, pd.DataFrame], pd.DataFrame]:
         best = [Best(k) for _ in walk.own]
         walk.run(
             lambda a, rows: (shard.labels[rows] == walk.labels[a]) & (shard.ids[rows] != walk.own[a]),
-            lambda a: (best[a].least, np.inf),
+            # As many as are asked for score no less than the k-th lower bound.
+            lambda a, low: (max(best[a].least, np.partition(low, -k)[-k] if len(low) >= k else -np.inf), np.inf),
             lambda a, rows, scores: best[a].add(shard.ids[rows], scores),
         )
         return pd.concat([pd.DataFrame({"anchor": a} | b.columns()) for a, b in zip(walk.own.tolist(), best)])
@@ -262,7 +264,7 @@ def _negatives(k: int, low: int, high: int) -> Callable[[Shard, pd.DataFrame], p
         walk = Walk(shard, anchors)
         spans = [[span(p) for p in ps] for ps in anchors["positives"]]
 
-        def window(a: int) -> tuple[float, float]:
+        def window(a: int, _: np.ndarray) -> tuple[float, float]:
             bottom = min((max(s.bottom, s.best.least) for s in spans[a]), default=np.inf)
             return float(bottom), max((float(s.top) for s in spans[a]), default=-np.inf)
 

@@ -104,11 +104,11 @@ def test_bounds_spare_scores():
     best = [hard.Best(5) for _ in range(60)]
     walk.run(
         lambda a, at: np.ones(at.stop - at.start, bool),
-        lambda a: (best[a].least, np.inf),
+        lambda a, low: (np.partition(low, -5)[-5], np.inf),
         lambda a, at, s: best[a].add(walk.shard.ids[at], s),
     )
     scores = vectors[order] @ np.array(frame["vector"].tolist(), float).T
     for b, s in zip(best, scores):
         assert b.ids.tolist() == np.lexsort([np.arange(600), -s])[:5].tolist()
-    # Candidates wait in one chunk here, so only those of other clusters can be left out.
+    # Most of what other clusters hold is left out.
     assert walk.computed < 0.6 * walk.pairs
