@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,8 +78,8 @@ def numbered_rows(
     order_by: list[str | Column] | None = None,
     start: int = 1,
     name: str = "objectid",
-) -> tuple[DataFrame, DataFrame]:
-    """What :func:`with_objectid` gives, and ``(total)``, the number of its rows."""
+) -> tuple[DataFrame, Callable[[], int]]:
+    """What :func:`with_objectid` gives, and what tells the number of its rows."""
     spark = df.sparkSession
     if order_by:
         df = df.orderBy(*order_by, row_hash(df))
@@ -90,9 +93,19 @@ def numbered_rows(
     numbered.write.parquet(staged)
     rows = spark.read.schema(numbered.schema).parquet(staged)
 
+    place = F.col("_place") + F.lit(start)
+    counts = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    few = sorted(counts.limit(_BLOCK + 1).collect())
+    if len(few) <= _BLOCK:
+        # Offsets of a few tasks are a short list in the plan itself.
+        before = [0, *accumulate(n for _, n in few)]
+        listed = ", ".join(f"({task}, {at}L)" for (task, _), at in zip(few or [(0, 0)], before))
+        offsets = spark.sql(f"SELECT * FROM VALUES {listed} AS t(_task, _before)")
+        out = rows.join(F.broadcast(offsets), "_task").withColumn(name, F.col("_before") + place)
+        return out.drop("_task", "_place", "_before"), lambda: before[-1]
+
     # One row per write task; written, so that Spark knows its size: it is broadcast below
     # the session's threshold and joined by a shuffle beyond.
-    counts = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_block", F.expr(f"_task div {_BLOCK}"))
     earlier = Window.unboundedPreceding, -1
     blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n"))
@@ -114,7 +127,7 @@ def numbered_rows(
     offsets = spark.read.schema(offsets.schema).parquet(placed)
     out = (
         rows.join(offsets.drop("_n"), "_task")
-        .withColumn(name, F.col("_before") + F.col("_place") + F.lit(start))
+        .withColumn(name, F.col("_before") + place)
         .drop("_task", "_place", "_before")
     )
-    return out, offsets.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"))
+    return out, lambda: offsets.agg(F.sum("_n")).first()[0]

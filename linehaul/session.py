@@ -72,3 +72,47 @@ def hadoop_path(spark: SparkSession, path: str):
     """(FileSystem, Path) of the Hadoop API for a path of any scheme."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Put a small file in place without a job: written beside, then renamed over what is there."""
+    folder, _, name = path.rpartition("/")
+    fs, beside = hadoop_path(spark, f"{folder}/.{name}.new")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    _, p = hadoop_path(spark, path)
+    fs.delete(p, False)
+    move(spark, beside.toString(), path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    fs, p = hadoop_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, p = hadoop_path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder in one step; the folder above the target is made."""
+    fs, p = hadoop_path(spark, target)
+    fs.mkdirs(p.getParent())
+    if not fs.rename(hadoop_path(spark, source)[1], p):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from linehaul.functions.times import WEEK_US
 from linehaul.operators.keyed import CHUNK, clustered, latest_by_key, with_chunk
-from linehaul.session import hadoop_path
+from linehaul.session import hadoop_path, write_text
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -93,13 +95,14 @@ LOG_BATCHES = 1000
 def keep_batch(
     spark: SparkSession, path: str, batch_id: int, schema: str, rows: list[tuple]
 ) -> None:
-    """Note a few values of a micro-batch; a repeated batch replaces its own note.
+    """Note a few values of a micro-batch, without a job; a repeated batch replaces its own note.
 
     Notes lie one folder a batch at first. When a block of ``LOG_BATCHES`` is over, they are
     put into one folder, so a log of any age has few folders.
     """
-    note = spark.createDataFrame(rows, schema).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    note.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    names = StructType.fromDDL(schema).names
+    lines = [json.dumps(dict(zip(names, row)) | {"batch_id": batch_id}) for row in rows]
+    write_text(spark, f"{path}/batch={batch_id}/note.json", "\n".join(lines))
     block = batch_id // LOG_BATCHES - 1
     if block >= 0 and batch_id % LOG_BATCHES == 1:
         _merge_block(spark, path, block, schema)
@@ -109,7 +112,7 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All notes of a batch log, a batch once."""
     fields = f"{schema}, batch_id long"
     try:
-        notes = spark.read.schema(fields).option("recursiveFileLookup", "true").parquet(path)
+        notes = spark.read.schema(fields).option("recursiveFileLookup", "true").json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -134,8 +137,8 @@ def _merge_block(spark: SparkSession, path: str, block: int, schema: str) -> Non
     last = max((int(n.partition(".")[2] or 0) for n in tries), default=None)
     name = f"block={block}" if last is None else f"block={block}.{last + 1}"
     reader = spark.read.schema(f"{schema}, batch_id long").option("recursiveFileLookup", "true")
-    notes = reader.parquet(*[f"{path}/{n}" for n in old]).dropDuplicates(["batch_id"])
-    notes.coalesce(1).write.parquet(f"{path}/{name}")
+    notes = reader.json([f"{path}/{n}" for n in old]).dropDuplicates(["batch_id"])
+    notes.coalesce(1).write.json(f"{path}/{name}")
     for n in old:
         fs.delete(hadoop_path(spark, f"{path}/{n}")[1], True)
 

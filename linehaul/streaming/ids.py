@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from linehaul.functions.ids import numbered_rows
-from linehaul.session import hadoop_path
-
-LEDGER_SCHEMA = "next_id long, batch_id long"
+from linehaul.session import list_names, read_text, remove, write_text
 
 
 def with_stream_objectid(
@@ -20,29 +19,23 @@ def with_stream_objectid(
 ) -> DataFrame:
     """Number the rows of a micro-batch, going on where the batches before it ended.
 
-    The ledger folder keeps the next free id after each batch. A repeated batch
+    The ledger folder keeps the next free id after each batch, a small file each. A repeated batch
     looks only at earlier ones, so it starts from the same id again; with a
     unique ``order_by`` (partition and offset, say) every row gets the same id.
     """
     spark = batch.sparkSession
-    fs, root = hadoop_path(spark, ledger)
-    first = 1
-    if fs.exists(root):
-        kept = spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
-        first = kept.filter(F.col("batch_id") < batch_id).agg(F.max("next_id")).first()[0] or 1
-
-    numbered, rows = numbered_rows(batch, order_by, first, name)
-    after = rows.select((F.col("total") + F.lit(first)).cast("long").alias("next_id"))
-    after.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
-    _forget(spark, ledger, before=batch_id - 1)
+    kept = _batches(spark, ledger)
+    earlier = [i for i in kept if i < batch_id]
+    first = json.loads(read_text(spark, f"{ledger}/batch_id={earlier[-1]}"))["next_id"] if earlier else 1
+
+    numbered, total = numbered_rows(batch, order_by, first, name)
+    write_text(spark, f"{ledger}/batch_id={batch_id}", json.dumps({"next_id": first + total(), "batch_id": batch_id}))
+    # No retry asks for what lies before the batch before this one.
+    for old in earlier[:-1]:
+        remove(spark, f"{ledger}/batch_id={old}")
     return numbered
 
 
-def _forget(spark, ledger: str, before: int) -> None:
-    """Remove ledger entries that no retry can ask for, all but the newest of the older ones."""
-    fs, root = hadoop_path(spark, ledger)
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    ids = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
-    for old in [i for i in ids if i <= before][:-1]:
-        _, path = hadoop_path(spark, f"{ledger}/batch_id={old}")
-        fs.delete(path, True)
+def _batches(spark, ledger: str) -> list[int]:
+    names = list_names(spark, ledger)
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
