@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linehaul.functions.text import split_lines
 from linehaul.operators.feed import good_rows, parse_feed
-from linehaul.session import hadoop_path, new_work_folder, use_utc
+from linehaul.session import hadoop_path, list_names, move, new_work_folder, use_utc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,21 +43,34 @@ _TOKENS = {
 _FRAC = "lpad(cast(event_id * 37 % 100000 as string), 5, '0')"
 
 
-#: Files, and so micro-batches, of the staged event stream.
-STREAM_FILES = 6
+#: Parts that a topic's messages arrive in, each a micro-batch.
+PARTS = 6
 
 
-def event_stream(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
-    """All events as a stream of several files, a file a micro-batch; the files are staged
-    in ``folder``, once."""
-    schema = table(spark, sf_dir, "events").schema
-    staged = f"{folder or new_work_folder(spark, 'events')}/events"
-    fs, p = hadoop_path(spark, staged)
-    if not fs.exists(p):
-        rows = table(spark, sf_dir, "events").repartitionByRange(STREAM_FILES, "event_id")
-        rows.write.parquet(staged)
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(staged)
-    return files.withColumn("ts", F.col("ts").cast("timestamp"))
+class EventTopic:
+    """Events as a topic: a folder into which they are delivered part by part.
+
+    Part k holds the events whose number leaves k when divided by ``PARTS``. All
+    parts are staged by one job, in as many files as it has tasks; a part arrives whole, by
+    renaming its folder.
+    """
+
+    def __init__(self, rows: DataFrame, folder: str):
+        self.spark, self.schema = rows.sparkSession, rows.schema
+        self.staged, self.path = f"{folder}/staged", f"{folder}/topic"
+        part = F.pmod("event_id", F.lit(PARTS)).alias("part")
+        rows.select("*", part).write.partitionBy("part").parquet(self.staged)
+        fs, p = hadoop_path(self.spark, self.path)
+        fs.mkdirs(p)
+
+    def deliver(self, part: int) -> None:
+        name = f"part={part}"
+        if name in list_names(self.spark, self.staged):
+            move(self.spark, f"{self.staged}/{name}", f"{self.path}/{name}")
+
+    def stream(self) -> DataFrame:
+        files = self.spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+        return files.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in files.columns else files
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> str:

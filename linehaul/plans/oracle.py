@@ -7,7 +7,7 @@ of an event must come out as.
 from __future__ import annotations
 
 from linehaul.functions.times import MINUTE_US, WEEK_US
-from linehaul.plans.inputs import STREAM_FILES
+from linehaul.plans.inputs import PARTS
 from linehaul.plans.queries import (
     HOUR_US,
     RANGE,
@@ -72,6 +72,10 @@ WITH lines AS (
   SELECT source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
 """
 
+_REPORT = f"""{_FEED}
+SELECT batch_id, n AS count, CAST(sum(n) OVER (ORDER BY batch_id) AS BIGINT) AS total
+FROM (SELECT event_id % {PARTS} AS batch_id, count(*) AS n FROM good GROUP BY 1)"""
+
 ORACLE: dict[str, str] = {
     "feed_parse_typed": f"{_FEED} SELECT event_id, {_BASE} FROM good",
     "feed_rejects": f"""{_FEED}
@@ -191,23 +195,33 @@ SELECT event_id, epoch_us(ts) AS ts_us FROM events
 WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - CAST({TTL_SECONDS} AS BIGINT) * 1000000""",
     "stream_ingest": f"""{_FEED}
 SELECT event_id, CAST(planeid AS BIGINT) AS planeid, {_BASE.removeprefix("planeid, ")} FROM good""",
-    "stream_batch_report": f"""{_FEED}
-SELECT CAST({STREAM_FILES} AS BIGINT) AS n_batches, count(*) AS sum_count, count(*) AS last_total
-FROM good""",
+    "stream_batch_report": _REPORT,
+    "stream_listener_report": _REPORT,
     "stream_planes16": f"""{_FEED}
 SELECT {_TABLE_BASE}, {_WKT} AS geometry, geohash, sqrhash, pntytrihash, flattrihash FROM good""",
     "stream_planes18": f"""{_FEED}
-SELECT CAST({STREAM_FILES} AS BIGINT) AS n_batches, count(*) AS n_ids, CAST(1 AS BIGINT) AS first_id,
-  count(*) AS last_id, CAST(sum(ts) AS BIGINT) AS sum_ts FROM good""",
-    "stream_documents": f"{_FEED} SELECT planeid, ts, speed, orig, longitude, latitude FROM good",
+SELECT row_number() OVER (ORDER BY event_id % {PARTS}, event_id) AS objectid, event_id % {PARTS} AS batch_id,
+  ts, speed, longitude AS lon, latitude AS lat FROM good""",
+    "stream_documents": f"""{_FEED}
+SELECT row_number() OVER (ORDER BY event_id % {PARTS}, event_id) AS objectid, planeid, ts, speed, orig, longitude, latitude
+FROM good""",
     "stream_processing_time": f"""{_FEED}
-SELECT CAST({STREAM_FILES} AS BIGINT) AS n_batches, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts FROM good""",
+SELECT event_id % {PARTS} AS batch_id, count(*) AS n, CAST(sum(ts) AS BIGINT) AS sum_ts FROM good GROUP BY 1""",
     "stream_dropped_batch": f"""
-SELECT CAST({STREAM_FILES - 1} AS BIGINT) AS n_batches, CAST(1 AS BIGINT) AS n_noted,
-  CAST(2 AS BIGINT) AS noted, count(*) AS n_events, true AS counted_right FROM events""",
-    "stream_repeated_batch": """
-SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_event_id
-FROM events GROUP BY event_type""",
+SELECT event_id % {PARTS} AS batch_id, CASE WHEN event_id % {PARTS} <> 2 THEN count(*) END AS n_kept,
+  CASE WHEN event_id % {PARTS} <> 2 THEN count(*) END AS n_counted,
+  CASE WHEN event_id % {PARTS} = 2 THEN 'target is gone' END AS error
+FROM events GROUP BY event_id % {PARTS}""",
+    "stream_repeated_batch": f"SELECT event_id % {PARTS} AS batch_id, event_id, event_type FROM events",
+    "stream_running_total": f"""
+SELECT batch_id, CAST(sum(n) OVER (ORDER BY batch_id) AS BIGINT) AS total
+FROM (SELECT event_id % {PARTS} AS batch_id, count(*) FILTER (event_id % {PARTS} <> 3) AS n FROM events GROUP BY 1)""",
+    "stream_union_topics": "SELECT event_id, event_type, value FROM events",
+    "stream_relay": "SELECT CAST(event_id AS VARCHAR) AS key, props AS value FROM events",
+    "stream_start_positions": f"""
+SELECT start, event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_event_id
+FROM events, (VALUES ('earliest', 0), ('latest', 2)) AS s(start, first)
+WHERE event_id % {PARTS} >= first GROUP BY start, event_type""",
     "feed_long_lines": f"""{_FEED}
 SELECT event_id, '"a,b"x ' || event_type AS orig, latitude, 'f' || frac AS flattrihash,
   CASE WHEN event_id % 97 = 0 THEN 'bad_ts' END AS reject_reason

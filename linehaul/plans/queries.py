@@ -6,7 +6,6 @@ import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,25 +19,17 @@ from linehaul.operators import counts, feed, keyed, relay, search
 from linehaul.plans.inputs import (
     document_files,
     document_lines,
-    event_stream,
     events,
     good_feed,
-    lines_of,
     long_lines_of,
     parsed_feed,
     table,
 )
+from linehaul.plans.streams import STREAM_QUERIES
 from linehaul.session import new_work_folder
 from linehaul.sinks import tables
 from linehaul.sinks.targets import files, write
 from linehaul.sources.lines import full_match, list_files, read_lines
-from linehaul.streaming import (
-    batch_rows,
-    count_batches,
-    run_stream,
-    stored_report,
-    with_stream_objectid,
-)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +39,6 @@ SOURCE_REGEX = r"src[0-9]*[13579]"
 HOUR_US = 60 * MINUTE_US
 TTL_SECONDS = 7 * 24 * 3600
 RANGE = (datetime(2024, 1, 10, 12), datetime(2024, 1, 20))
-ALL_NOW = {"availableNow": True}
 
 _BASE = [
     "planeid", "ts", "speed", "dist", "bearing", "rtid",
@@ -481,167 +471,6 @@ def chunked_range_read(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("event_id", F.unix_micros("ts").alias("ts_us"))
 
 
-def _good_stream(spark: SparkSession, sf: str, folder: str, **how) -> DataFrame:
-    return feed.good_rows(feed.parse_feed(lines_of(event_stream(spark, sf, folder)), **how))
-
-
-def _ingested(spark: SparkSession, rows: DataFrame, folder: str, shape) -> DataFrame:
-    """The stream's micro-batches shaped and written, then read back."""
-    run_stream(
-        rows,
-        lambda batch, batch_id: tables.write_batch_once(
-            shape(batch, batch_id), batch_id, f"{folder}/rows"
-        ),
-        f"{folder}/checkpoint",
-        ALL_NOW,
-    ).awaitTermination()
-    return spark.read.parquet(f"{folder}/rows")
-
-
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """The feed as a stream, parsed and written batch by batch, then read back."""
-    folder = new_work_folder(spark, "stream")
-    rows = _good_stream(spark, sf, folder, id_type="bigint").select("event_id", *_BASE)
-    return _ingested(spark, rows, folder, lambda b, _: b).drop("batch_id")
-
-
-def stream_planes16(spark: SparkSession, sf: str) -> DataFrame:
-    folder = new_work_folder(spark, "stream")
-    rows = _good_stream(spark, sf, folder, hashes=True)
-    stored = _ingested(spark, rows, folder, lambda b, _: feed.to_planes16(b))
-    return stored.drop("id", "batch_id").withColumn("ts", F.unix_millis("ts"))
-
-
-def stream_planes18(spark: SparkSession, sf: str) -> DataFrame:
-    """Object ids go on from batch to batch without gap or repeat."""
-    folder = new_work_folder(spark, "stream")
-    rows = _good_stream(spark, sf, folder, hashes=True)
-
-    def shape(batch: DataFrame, batch_id: int) -> DataFrame:
-        return feed.to_planes18(with_stream_objectid(batch, batch_id, f"{folder}/ids", ["event_id"]))
-
-    stored = _ingested(spark, rows, folder, shape)
-    return stored.agg(
-        F.count_distinct("batch_id").alias("n_batches"),
-        F.count_distinct("objectid").alias("n_ids"),
-        F.min("objectid").cast("long").alias("first_id"),
-        F.max("objectid").cast("long").alias("last_id"),
-        F.sum(F.unix_millis("ts")).alias("sum_ts"),
-    )
-
-
-def stream_documents(spark: SparkSession, sf: str) -> DataFrame:
-    folder = new_work_folder(spark, "stream")
-    rows = _good_stream(spark, sf, folder)
-
-    def shape(batch: DataFrame, batch_id: int) -> DataFrame:
-        numbered = with_stream_objectid(batch, batch_id, f"{folder}/ids", ["event_id"])
-        return feed.to_documents(numbered, extra_hashes=False)
-
-    stored = _ingested(spark, rows, folder, shape)
-    read = stored.select(F.inline(F.array(F.from_json("document", S.document()))))
-    return read.select("planeid", "ts", "speed", "orig", "longitude", "latitude")
-
-
-def stream_batch_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Parsed rows counted per micro-batch; the last total is their number."""
-    folder = new_work_folder(spark, "stream")
-    query = count_batches(
-        _good_stream(spark, sf, folder), f"{folder}/counts", f"{folder}/checkpoint", ALL_NOW
-    )
-    query.awaitTermination()
-    return stored_report(spark, f"{folder}/counts").agg(
-        F.count(F.lit(1)).alias("n_batches"),
-        F.sum("count").alias("sum_count"),
-        F.max("total").alias("last_total"),
-    )
-
-
-def stream_processing_time(spark: SparkSession, sf: str) -> DataFrame:
-    """The feed on a processing-time trigger, until all there is has been taken."""
-    folder = new_work_folder(spark, "stream")
-    query = run_stream(
-        _good_stream(spark, sf, folder).select("event_id", "ts"),
-        lambda batch, batch_id: tables.write_batch_once(batch, batch_id, f"{folder}/rows"),
-        f"{folder}/checkpoint",
-        {"processingTime": "100 milliseconds"},
-    )
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    stored = spark.read.parquet(f"{folder}/rows")
-    return stored.agg(
-        F.count_distinct("batch_id").alias("n_batches"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum("ts").alias("sum_ts"),
-    )
-
-
-def stream_dropped_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """One batch fails and is given up: its rows are missing, and it is noted."""
-    folder = new_work_folder(spark, "stream")
-
-    def action(batch: DataFrame, batch_id: int) -> None:
-        tables.write_batch_once(batch, batch_id, f"{folder}/{'lost' if batch_id == 2 else 'rows'}")
-        if batch_id == 2:
-            raise RuntimeError("target is gone")
-
-    run_stream(
-        event_stream(spark, sf, folder).select("event_id"),
-        action,
-        f"{folder}/checkpoint",
-        ALL_NOW,
-        on_error="drop",
-        drop_log=f"{folder}/dropped",
-        rows_log=f"{folder}/counts",
-    ).awaitTermination()
-    kept, lost = (spark.read.parquet(f"{folder}/{n}") for n in ("rows", "lost"))
-    noted = spark.read.schema("batch_id long").json(f"{folder}/dropped/*")
-    counted = batch_rows(spark, f"{folder}/counts")
-    measures = [
-        kept.agg(F.count_distinct("batch_id").alias("n_batches"), F.count(F.lit(1)).alias("n_kept")),
-        lost.agg(F.count(F.lit(1)).alias("n_lost")),
-        noted.agg(F.count(F.lit(1)).alias("n_noted"), F.max("batch_id").alias("noted")),
-        counted.agg(F.sum("rows").alias("n_counted")),
-    ]
-    one = measures[0]
-    for m in measures[1:]:  # single rows
-        one = one.crossJoin(m)
-    return one.select(
-        "n_batches",
-        "n_noted",
-        "noted",
-        (F.col("n_kept") + F.col("n_lost")).alias("n_events"),
-        (F.col("n_counted") == F.col("n_kept")).alias("counted_right"),
-    )
-
-
-def stream_repeated_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """A batch fails after its write and stops the query; the next start repeats it."""
-    folder = new_work_folder(spark, "stream")
-
-    def action(batch: DataFrame, batch_id: int) -> None:
-        tables.write_batch_once(batch, batch_id, f"{folder}/rows")
-        if batch_id == 3 and not broken:
-            broken.append(batch_id)
-            raise RuntimeError("lost after the write")
-
-    broken: list[int] = []
-    rows = event_stream(spark, sf, folder).select("event_id", "event_type")
-    for _ in range(2):
-        query = run_stream(rows, action, f"{folder}/checkpoint", ALL_NOW)
-        try:
-            query.awaitTermination()
-        except StreamingQueryException:
-            if broken != [3]:
-                raise
-    stored = spark.read.parquet(f"{folder}/rows")
-    return stored.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("sum_event_id")
-    )
-
-
 def ttl_retention(spark: SparkSession, sf: str) -> DataFrame:
     rows = events(spark, sf)
     as_of = rows.agg(F.max("ts")).first()[0]
@@ -685,14 +514,7 @@ QUERIES: dict[str, Query] = {
     "chunk_counts": chunk_counts,
     "chunked_range_read": chunked_range_read,
     "ttl_retention": ttl_retention,
-    "stream_ingest": stream_ingest,
-    "stream_batch_report": stream_batch_report,
-    "stream_planes16": stream_planes16,
-    "stream_planes18": stream_planes18,
-    "stream_documents": stream_documents,
-    "stream_processing_time": stream_processing_time,
-    "stream_dropped_batch": stream_dropped_batch,
-    "stream_repeated_batch": stream_repeated_batch,
+    **STREAM_QUERIES,
     "feed_long_lines": feed_long_lines,
     "feed_ingest_time": feed_ingest_time,
     "feed_copy_files": feed_copy_files,

@@ -107,8 +107,10 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 def move(spark: SparkSession, source: str, target: str) -> None:
     """Rename a file or folder in one step; the folder above the target is made."""
     fs, p = hadoop_path(spark, target)
-    fs.mkdirs(p.getParent())
-    if not fs.rename(hadoop_path(spark, source)[1], p):
+    _, old = hadoop_path(spark, source)
+    if fs.exists(old):
+        fs.mkdirs(p.getParent())
+    if not (fs.exists(old) and fs.rename(old, p)):
         raise OSError(f"{source} can't be moved to {target}")
 
 

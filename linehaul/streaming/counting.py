@@ -21,6 +21,27 @@ def topic_total(stream: DataFrame) -> DataFrame:
     return stream.groupBy().agg(F.count(F.lit(1)).alias("total"))
 
 
+def keep_totals(
+    stream: DataFrame, totals_path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Store ``(batch_id, total)`` at every micro-batch, those without rows included.
+
+    The total lives in the state store, so it goes on over restarts and nothing is counted
+    twice; only one row a batch leaves it.
+    """
+    spark = stream.sparkSession
+
+    def store(total: DataFrame, batch_id: int) -> None:
+        keep_batch(spark, totals_path, batch_id, "total long", [tuple(total.first())])
+
+    return run_stream(topic_total(stream), store, checkpoint, trigger, output_mode="complete")
+
+
+def stored_totals(spark: SparkSession, totals_path: str) -> DataFrame:
+    """``(batch_id, total)`` of every micro-batch that ran."""
+    return read_batches(spark, totals_path, "total long").select("batch_id", "total")
+
+
 def count_batches(
     stream: DataFrame, counts_path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from linehaul.session import log, work_scope
 from linehaul.sinks.tables import keep_batch, read_batches
+from linehaul.sinks.targets import Target
 
 DROPPED_SCHEMA = "batch_id long, error string"
 Dropped = tuple[int, str]
@@ -23,6 +24,7 @@ def run_stream(
     on_error: str = "fail",
     drop_log: str | None = None,
     rows_log: str | None = None,
+    output_mode: str = "append",
 ) -> StreamingQuery:
     """Start a query that calls ``action(batch, batch_id)`` for every micro-batch.
 
@@ -58,12 +60,32 @@ def run_stream(
 
     return (
         stream.writeStream.foreachBatch(run)
+        .outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
         .start()
     )
 
 
+def write_stream(
+    stream: DataFrame,
+    target: Target,
+    checkpoint: str,
+    trigger: dict | None = None,
+    output_mode: str = "append",
+) -> StreamingQuery:
+    """Start a query that writes to a target by Spark's own streaming sink, without any Python a batch.
+
+    A file target keeps a log of committed batches beside its files: a batch that fails or is
+    repeated shows its rows once, and readers of the folder see committed files only. A
+    topic gets a repeated batch's messages again, as its sink is written at least once.
+    """
+    writer = stream.writeStream.format(target.fmt).options(**target.options)
+    writer = writer.option("checkpointLocation", checkpoint).outputMode(output_mode)
+    writer = writer.trigger(**(trigger or {"processingTime": "1 second"}))
+    return writer.start(target.path) if target.path else writer.start()
+
+
 def batch_rows(spark: SparkSession, rows_log: str) -> DataFrame:
     """``(batch_id, rows)`` of all non-empty batches that a query noted in ``rows_log``."""
     return read_batches(spark, rows_log, "rows long").filter("rows > 0").select("batch_id", "rows")
