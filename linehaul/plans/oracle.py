@@ -9,6 +9,7 @@ from __future__ import annotations
 from linehaul.functions.times import MINUTE_US, WEEK_US
 from linehaul.plans.inputs import PARTS
 from linehaul.plans.queries import (
+    DAY_US,
     HOUR_US,
     RANGE,
     SEARCH_TEXT,
@@ -250,6 +251,17 @@ WHERE regexp_full_match(source, '{SOURCE_REGEX}') GROUP BY source""",
     "files_listed": "SELECT DISTINCT source, true AS listed FROM documents",
     "upsert_with_ties": """
 SELECT count(DISTINCT user_id) AS n_real, count(DISTINCT user_id) AS n_same FROM events""",
+    "keyed_table_levels": """
+SELECT user_id, event_type, event_id, props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""",
+    "window_table_compacted": f"""
+SELECT epoch_us(ts) // {DAY_US} AS "window", count(*) AS n, CAST(sum(event_id) AS BIGINT) AS sum_event_id,
+  CAST(CASE WHEN epoch_us(ts) // {DAY_US} < (SELECT max(epoch_us(ts)) // {DAY_US} FROM events) THEN 1
+    ELSE count(DISTINCT event_id % {PARTS}) END AS INTEGER) AS n_folders
+FROM events GROUP BY 1""",
+    "window_table_expired": f"""
+SELECT event_id, event_type, epoch_us(ts) AS written_us FROM events
+WHERE epoch_us(ts) > (SELECT max(epoch_us(ts)) FROM events) - CAST({TTL_SECONDS} AS BIGINT) * 1000000""",
     "keyed_table_compacted": """
 SELECT user_id, event_type, event_id,
   CASE event_type WHEN 'view' THEN '{}' WHEN 'click' THEN '[]' ELSE props END AS props FROM events

@@ -17,6 +17,7 @@ from linehaul.functions.text import first_of_list, split_list
 from linehaul.functions.times import MINUTE_US, WEEK_US, chunk_number
 from linehaul.operators import counts, feed, keyed, relay, search
 from linehaul.plans.inputs import (
+    PARTS,
     document_files,
     document_lines,
     events,
@@ -27,7 +28,7 @@ from linehaul.plans.inputs import (
 )
 from linehaul.plans.streams import STREAM_QUERIES
 from linehaul.session import new_work_folder
-from linehaul.sinks import tables
+from linehaul.sinks import KeyedTable, WindowTable, tables
 from linehaul.sinks.targets import files, write
 from linehaul.sources.lines import full_match, list_files, read_lines
 
@@ -37,6 +38,7 @@ SEARCH_TEXT = "the"
 URL_REGEX = r"https?://[^/]+/en/\d+(\.html)?"
 SOURCE_REGEX = r"src[0-9]*[13579]"
 HOUR_US = 60 * MINUTE_US
+DAY_US = 24 * HOUR_US
 TTL_SECONDS = 7 * 24 * 3600
 RANGE = (datetime(2024, 1, 10, 12), datetime(2024, 1, 20))
 
@@ -421,6 +423,46 @@ def keyed_table_compacted(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_keyed(spark, target, keys, arrival).drop("batch_id")
 
 
+def keyed_table_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Six batches into a bucketed table whose levels are merged as they fill."""
+    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id", "props")
+    stored = KeyedTable(spark, new_work_folder(spark, "keyed"), rows.schema, ("user_id", "event_type"), "event_id", buckets=8)
+    for part in range(PARTS):
+        stored.add(rows.where(F.pmod("event_id", F.lit(PARTS)) == part))
+        stored.compact(fan=3)
+    return stored.current()
+
+
+def _windows(spark: SparkSession, sf: str) -> tuple[WindowTable, datetime]:
+    """Events written in six batches into windows of a day, and the newest time."""
+    rows = events(spark, sf).select("event_id", "event_type", "ts")
+    stored = WindowTable(spark, new_work_folder(spark, "windows"), rows.schema, DAY_US)
+    for part in range(PARTS):
+        stored.append(rows.where(F.pmod("event_id", F.lit(PARTS)) == part), part, written="ts")
+    return stored, rows.agg(F.max("ts")).first()[0]
+
+
+def window_table_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that are over lie in one folder; the newest stays as its batches left it."""
+    stored, as_of = _windows(spark, sf)
+    stored.append(events(spark, sf), PARTS - 1)  # a repeated batch
+    stored.compact(as_of)
+    stored.clean()
+    folders = [(w, len(f)) for w, f in stored.listed().folders.items()]
+    counted = spark.createDataFrame(folders, "window long, n_folders int")
+    rows = stored.read().groupBy(chunk_number("written", DAY_US).alias("window"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("sum_event_id")).join(counted, "window")
+
+
+def window_table_expired(spark: SparkSession, sf: str) -> DataFrame:
+    """What a week's retention leaves after the files of older windows are gone."""
+    stored, as_of = _windows(spark, sf)
+    stored.compact(as_of)
+    stored.expire(as_of, TTL_SECONDS)
+    stored.clean()
+    return stored.read().select("event_id", "event_type", F.unix_micros("written").alias("written_us"))
+
+
 def cluster_by_id_ts_desc(spark: SparkSession, sf: str) -> DataFrame:
     """Write clustered, then read the place of each row within its user off the files."""
     path = new_work_folder(spark, "clustered")
@@ -526,4 +568,7 @@ QUERIES: dict[str, Query] = {
     "files_listed": files_listed,
     "upsert_with_ties": upsert_with_ties,
     "keyed_table_compacted": keyed_table_compacted,
+    "keyed_table_levels": keyed_table_levels,
+    "window_table_compacted": window_table_compacted,
+    "window_table_expired": window_table_expired,
 }

@@ -1,3 +1,4 @@
+from .keyed_tables import KeyedTable
 from .tables import (
     append,
     conform,
@@ -8,9 +9,12 @@ from .tables import (
     write_clustered,
 )
 from .targets import Target, cassandra, elasticsearch, files, postgres, topic, write, writer_to
+from .window_tables import WindowTable
 
 __all__ = [
+    "KeyedTable",
     "Target",
+    "WindowTable",
     "append",
     "cassandra",
     "conform",
