@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +96,46 @@ def load_report(
     return loaded.groupBy(*by).agg(*measures)
 
 
+TASKS = "task int, rows long, bytes long, started_ms long, seconds double"
+#: Tasks whose figures the driver keeps, as Spark's own bound on them does by default.
+KEPT_TASKS = 100_000
+
+
+def load_metrics(spark: SparkSession, load: Callable[[], None]) -> DataFrame:
+    """Run a load; ``(task, rows, bytes, started_ms, seconds)`` of each of its write tasks.
+
+    From the metrics that Spark's tasks send with their end, so nothing is read again. Beyond the number of
+    tasks that Spark keeps, that is an error; :func:`load_report` has no such bound.
+    """
+    context = spark.sparkContext
+    group, before = f"load-{uuid.uuid4().hex}", context.getLocalProperty("spark.jobGroup.id")
+    context.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        load()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", before)
+    scala = context._jsc.sc()
+    scala.listenerBus().waitUntilEmpty()
+    mapper = spark._jvm.com.fasterxml.jackson.databind.ObjectMapper()
+    mapper.registerModule(spark._jvm.com.fasterxml.jackson.module.scala.DefaultScalaModule())
+    rows = []
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    for stage in sorted(stages):
+        info = tracker.getStageInfo(stage)
+        if info is None or not info.numCompletedTasks:
+            continue  # skipped, as its shuffle was there already
+        listed = scala.statusStore().taskList(stage, info.currentAttemptId, KEPT_TASKS)
+        tasks = [t for t in json.loads(mapper.writeValueAsString(listed)) if t["status"] == "SUCCESS"]
+        if len({t["index"] for t in tasks}) < info.numTasks:
+            raise RuntimeError(f"figures of {info.numTasks - len(tasks)} tasks are gone")
+        for t in tasks:
+            out = t["taskMetrics"]["outputMetrics"]
+            if out["recordsWritten"] or out["bytesWritten"]:
+                rows.append((t["index"], out["recordsWritten"], out["bytesWritten"], t["launchTime"], t["duration"] / 1000))
+    return spark.createDataFrame(rows, TASKS)
+
+
 def load_total(report: DataFrame) -> DataFrame:
     """One row for the whole load: all rows, and the seconds of its slowest partition."""
     measures = [F.sum("rows").alias("rows")]

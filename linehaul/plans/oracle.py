@@ -241,7 +241,7 @@ SELECT CASE event_id % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'not_an_object' WHEN
   CASE event_id % 5 WHEN 0 THEN CAST(props ->> '$.k' AS BIGINT) WHEN 3 THEN event_id END AS k
 FROM events""",
     "load_rows_by_task": f"""{_FEED}
-SELECT CAST(3 AS BIGINT) AS n_tasks, count(*) AS rows, CAST(3 AS BIGINT) AS n_timed FROM good""",
+SELECT count(*) AS rows, count(*) AS stored, true AS equal FROM good""",
     "files_search_by_folder": f"""{_FILE_LINES}
 SELECT source, count(*) FILTER (contains(line, '{SEARCH_TEXT}')) AS n_matching FROM lines GROUP BY source""",
     "files_count_matching": f"""{_FILE_LINES}

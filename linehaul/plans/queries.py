@@ -353,15 +353,16 @@ def load_rows_by_partition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def load_rows_by_task(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows and seconds of each write task of a load of copy text."""
-    path, started = new_work_folder(spark, "load"), time.time_ns() // 1_000_000 - 1
+    """Rows of each write task of a load of copy text, told by the tasks themselves."""
+    path = new_work_folder(spark, "load")
     texts = feed.copy_line(feed.to_copy_rows(good_feed(spark, sf, hashes=True)))
-    write(texts.repartition(3), files(path, "text"))
-    report = counts.load_report(spark, path, started_ms=started, fmt="text")
-    return report.agg(
-        F.count(F.lit(1)).alias("n_tasks"),
+    report = counts.load_metrics(spark, lambda: write(texts, files(path, "text")))
+    stored = counts.load_report(spark, path, fmt="text").withColumnRenamed("rows", "stored")
+    both = report.join(stored, "task", "full")
+    return both.agg(
         F.sum("rows").alias("rows"),
-        F.count_if(F.col("seconds") >= 0).alias("n_timed"),
+        F.sum("stored").alias("stored"),
+        F.coalesce(F.bool_and((F.col("rows") == F.col("stored")) & (F.col("seconds") >= 0)), F.lit(False)).alias("equal"),
     )
 
 
