@@ -248,7 +248,9 @@ SELECT source, count(*) FILTER (contains(line, '{SEARCH_TEXT}')) AS n_matching F
 SELECT source, count(*) AS n_lines FROM lines
 WHERE regexp_full_match(source, '{SOURCE_REGEX}') GROUP BY source""",
     "files_count_total": f"{_FILE_LINES} SELECT count(*) AS n_lines FROM lines",
-    "files_listed": "SELECT DISTINCT source, true AS listed FROM documents",
+    "files_listed": """
+SELECT source, CAST(doc_id % 10 AS INTEGER) AS digit, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes
+FROM documents GROUP BY 1, 2""",
     "upsert_with_ties": """
 SELECT count(DISTINCT user_id) AS n_real, count(DISTINCT user_id) AS n_same FROM events""",
     "keyed_table_levels": """

@@ -30,7 +30,7 @@ from linehaul.plans.streams import STREAM_QUERIES
 from linehaul.session import new_work_folder
 from linehaul.sinks import KeyedTable, WindowTable, tables
 from linehaul.sinks.targets import files, write
-from linehaul.sources.lines import full_match, list_files, read_lines
+from linehaul.sources.lines import full_match, list_files, list_objects, read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -272,9 +272,15 @@ def files_count_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files_listed(spark: SparkSession, sf: str) -> DataFrame:
-    """Every folder's files are listed without reading them."""
-    listed = list_files(spark, document_files(spark, sf), r"source=.*\.txt", recursive=True)
-    return listed.groupBy(_source("file")).agg((F.count(F.lit(1)) > 0).alias("listed"))
+    """Every document's file is listed without reading it, with its length, those of no text too."""
+    path = new_work_folder(spark, "files")
+    pieces = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    pieces.select("source", F.expr("doc_id % 10").alias("digit"), "text").write.partitionBy("source", "digit").option(
+        "lineSep", "\n"
+    ).text(path)
+    listed = list_objects(spark, path, r"source=.*\.txt", recursive=True)
+    digit = F.regexp_extract("file", "/digit=([0-9]+)/", 1).cast("int").alias("digit")
+    return listed.groupBy(_source("file"), digit).agg(F.sum("length").alias("bytes"))
 
 
 #: The document files end their lines with this alone.

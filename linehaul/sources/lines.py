@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linehaul.session import hadoop_path, log
+from linehaul.sources.listing import list_in_tasks, root_of
 
 LINES = "file string, line string"
 
@@ -128,12 +129,45 @@ def list_files(
     recursive: bool = False,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """``(file)`` for every file below the path, those without any line included.
+    """``(file)`` for every file below the path, those without any line included."""
+    return list_objects(spark, path, key_regex, recursive, options).select("file")
 
-    Spark's own file index, which already holds these names on the driver to plan the
-    scan, is the source: a scan itself skips files of no length, so no task sees them.
+
+def list_objects(
+    spark: SparkSession,
+    path: str | list[str],
+    key_regex: str | None = None,
+    recursive: bool = False,
+    options: dict[str, str] | None = None,
+) -> DataFrame:
+    """``(file, length)`` of every file below the path.
+
+    Tasks list the folders (see :mod:`linehaul.sources.listing`), so no list of names is held by the driver. Where they can't reach the
+    store, or the reader has ``options`` that choose files, Spark's own file index is the
+    source, which keeps all names on the driver, and lengths are null.
     """
     paths = _paths(path)
+    roots = [root_of(_qualified(spark, p)) for p in paths]
+    if all(roots) and not options:
+        listed = list_in_tasks(spark, roots, recursive)
+    else:
+        listed = _indexed(spark, paths, recursive, options)
+    key = object_key(F.col("uri"), *[_root(spark, p) for p in paths])
+    names = listed.select(key.alias("file"), "length")
+    return names if key_regex is None else names.filter(full_match("file", key_regex))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path
+    fixed = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    folder = fixed.rpartition("/")[0] if fixed != path else path
+    fs, p = hadoop_path(spark, folder or ("/" if path.startswith("/") else "."))
+    rest = path[len(folder) :]
+    return fs.makeQualified(p).toString().rstrip("/") + ("" if not rest or rest.startswith("/") else "/") + rest
+
+
+def _indexed(spark: SparkSession, paths: list[str], recursive: bool, options: dict[str, str] | None) -> DataFrame:
     try:
         listed = (
             spark.read.options(**(options or {}))
@@ -144,10 +178,8 @@ def list_files(
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "file string")
-    key = object_key(F.col("uri"), *[_root(spark, p) for p in paths])
-    names = spark.createDataFrame([(f,) for f in listed], "uri string").select(key.alias("file"))
-    return names if key_regex is None else names.filter(full_match("file", key_regex))
+        listed = []
+    return spark.createDataFrame([(f, None) for f in listed], "uri string, length long")
 
 
 def read_line_stream(

@@ -11,7 +11,8 @@ from linehaul.operators.search import (
     search_lines,
     search_lines_by_file,
 )
-from linehaul.sources.lines import full_match, list_files, read_lines, s3a_options
+from linehaul.sources import lines, listing
+from linehaul.sources.lines import full_match, list_files, list_objects, read_lines, s3a_options
 
 
 @pytest.fixture()
@@ -155,3 +156,31 @@ def test_a_file_with_most_lines_is_counted_in_parts(spark):
     assert by_file.filter("file = 'hot'").first().n_matching == 20_000
     plan = by_file._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_listing_in_tasks_agrees_with_the_index(spark, tmp_path):
+    names = ["a.txt", "x/b.txt", "x/y/c d%é+.txt", "x/y/z/e.txt", "_h/i.txt", "x/.k.txt", "x/_l.txt", "p=1/m.txt", "p=1/q=2/n.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "x" / "empty.txt").touch()
+    for path, recursive in [("", True), ("/x", False), ("/x", True), ("/x/y/*", True), ("/{x,p=1}/*.txt", False), ("/x/[!b]*.txt", False), ("/?/b.txt", False)]:
+        path = str(tmp_path) + path
+        index = lines._indexed(spark, [path], recursive, None)
+        key = lines.object_key(F.col("uri"), lines._root(spark, path))
+        want = sorted(r.file for r in index.select(key.alias("file")).collect())
+        got = list_objects(spark, path, recursive=recursive).collect()
+        assert sorted(r.file for r in got) == want and want, path
+        assert all(r.length == (0 if r.file.endswith("empty.txt") else (tmp_path / r.file).stat().st_size) for r in got if path == str(tmp_path))
+
+
+def test_many_files_are_listed_by_tasks(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"d{k}").mkdir()
+        for n in range(100):
+            (tmp_path / f"d{k}" / f"{n}.txt").touch()
+    listed = list_objects(spark, str(tmp_path), recursive=True)
+    assert listed.count() == 2000 and listed.agg(F.sum("length")).first()[0] == 0
+    # The names come from files that tasks wrote; the plan holds none of them.
+    assert "LocalTableScan" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert listing.root_of("viewfs://x/y") is None and listing.root_of("file:/a/{b/c,d}") is None
