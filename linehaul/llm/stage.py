@@ -44,6 +44,16 @@ def staged(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a staged table before the end: all that reads it has been written out."""
+    spark = df.sparkSession
+    root = df.inputFiles()
+    for path in [p for p in _written if any(f"/{p.rpartition('/')[2]}/" in f for f in root[:1])]:
+        _written.remove(path)
+        fs, p = hadoop_path(spark, path)
+        fs.delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the tables staged so far; frames that read them must have been written out."""
     while _written:

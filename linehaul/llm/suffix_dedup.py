@@ -33,11 +33,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linehaul.llm.hashing import has_bit, mix, utf8
-from linehaul.llm.stage import bit_set, staged
+from linehaul.llm.stage import bit_set, discard, staged
 
 LENGTH, GRAM = 100, 32
 #: A chunk ends at one anchor in so many.
@@ -45,6 +45,8 @@ CHUNK = 8
 
 #: Cells of the bit set of anchors, as a power of two: 8 MB.
 ANCHOR_BITS = 26
+#: Cells of the bit set of documents with spans: 8 MB.
+DOC_BITS = 26
 #: Bytes of texts looked at together, and windows hashed at once (arrays that fit a core's cache).
 BLOCK, PART = 1 << 20, 1 << 17
 #: Bytes of segments that are sorted together, about, and different segments of one anchor
@@ -408,20 +410,26 @@ def _stretches(bodies: list[bytes]) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def _settle(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Covered spans of pieces that occurred earlier, and the pieces at their first place."""
+def _later(pieces: DataFrame) -> DataFrame:
+    """Covered spans of pieces that occurred earlier."""
     keys = (
         pieces.where("a is not null")
         .groupBy("a", "b")
         .agg(F.min(F.struct("doc", "start")).alias("lead"), F.max(F.struct("doc", "start")).alias("last"))
     )
-    alone = F.struct("doc", "start") == F.col("lead")
     several = keys.where("lead <> last").drop("last")
     both = pieces.where("a is not null").join(several, ["a", "b"])
-    spans = both.where(~alone).select("doc", "mark", "start", "stop")
     direct = pieces.where("a is null").select("doc", "mark", "start", "stop")
-    firsts = pieces.where("a is not null").join(keys, ["a", "b"]).where(alone).drop("lead", "last")
-    return spans.union(direct), firsts
+    return both.where(F.struct("doc", "start") != F.col("lead")).select("doc", "mark", "start", "stop").union(direct)
+
+
+def _settled(pieces: DataFrame) -> DataFrame:
+    """``(a, doc, mark, start, stop, body)``: pieces at their first place with their body, covered spans without."""
+    keyed = pieces.where("a is not null")
+    leads = keyed.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("lead"))
+    body = F.when(F.struct("doc", "start") == F.col("lead"), F.col("body")).alias("body")
+    out = keyed.join(leads, ["a", "b"]).select("a", "doc", "mark", "start", "stop", body)
+    return out.union(pieces.where("a is null").select("a", "doc", "mark", "start", "stop", "body"))
 
 
 def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,7 +437,8 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     texts = _marked(docs, id_col, text_col)
     chunks = staged(texts.mapInArrow(_chunk_rows, _PIECES).drop("body"), "chunks")
-    of_chunks, _ = _settle(chunks)
+    of_chunks = staged(_later(chunks), "chunk_spans")
+    discard(chunks)
 
     # Rows of one anchor meet after each task has left two of it at most.
     anchors = texts.mapInArrow(_anchor_rows, "a bigint, c bigint").repartition("a")
@@ -437,13 +446,16 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     several = staged(several.select("a"), "anchors")
     wanted = spark.sparkContext.broadcast(bit_set(several, F.col("a"), ANCHOR_BITS))
     found = staged(texts.mapInArrow(_segment_rows(wanted), _PIECES), "segments")
-    of_segments, firsts = _settle(found)
-    firsts = staged(firsts, "distinct_segments")
+    settled = staged(_settled(found), "distinct_segments")
+    discard(found)
+    of_segments = settled.where("body is null").select("doc", "mark", "start", "stop")
+    firsts = settled.where("body is not null")
 
     hot = firsts.groupBy("a").count().where(F.col("count") > HOT).select("a")
     hot = staged(hot, "hot_anchors")
-    windows = staged(firsts.join(hot, "a", "left_semi").mapInArrow(_window_rows, _PIECES), "windows")
-    of_windows, _ = _settle(windows)
+    windows = staged(firsts.join(hot, "a", "left_semi").mapInArrow(_window_rows, _PIECES).drop("body"), "windows")
+    of_windows = staged(_later(windows), "window_spans")
+    discard(windows)
 
     rest = firsts.join(hot, "a", "left_anti")
     size = firsts.agg(F.sum(F.length("body"))).first()[0] or 0
@@ -504,9 +516,23 @@ def remove_repeats(
         text.alias("text"),
         F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("doc"),
         F.xxhash64(text).alias("mark"),
-    ).join(spans, ["doc", "mark"], "left")
+    )
+    # Only texts that may have spans are shuffled to meet them.
+    named = docs.sparkSession.sparkContext.broadcast(bit_set(spans, F.xxhash64("doc"), DOC_BITS))
+    spanned = _in_bits(named)(F.xxhash64("doc"))
+    met = rows.where(spanned).join(spans, ["doc", "mark"], "left").select("row", "text", "spans")
+    whole = rows.where(~spanned).select("row", "text", F.lit(None).cast(met.schema["spans"].dataType).alias("spans"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text", "spans").mapInArrow(_cleaned, f"row {kind}, {_CLEANED}")
+    return met.union(whole).mapInArrow(_cleaned, f"row {kind}, {_CLEANED}")
+
+
+def _in_bits(named) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def inside(hashes: pd.Series) -> pd.Series:
+        bits = np.frombuffer(named.value, np.uint8)
+        return pd.Series(has_bit(bits, hashes.to_numpy().view(np.uint64), DOC_BITS))
+
+    return inside
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
