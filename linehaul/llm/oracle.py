@@ -32,7 +32,7 @@ def _secret_spans() -> str:
     for k, (name, pattern) in enumerate(_SECRETS.items()):
         value = f"regexp_extract(p, '{pattern}', 1)" if k == 0 else "p"
         least = {0: 6, 1: 20, 2: 24, 3: 20}[k]
-        mixed = " AND length(v) <= 200 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')"
+        mixed = " AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')"
         parts.append(f"""
             SELECT doc_id, source, {k} AS k, off AS start, off + length(p) AS stop, v FROM (
                 SELECT *, {value} AS v FROM (
@@ -103,11 +103,11 @@ ORACLE: dict[str, str] = {
                 SELECT 1 FROM every b WHERE b.doc_id = e.doc_id AND b.k < 3 AND b.start < e.stop AND e.start < b.stop)
         ),
         counts AS (
-            SELECT v, count(DISTINCT doc_id) AS repositories, count(DISTINCT coalesce(source, '')) AS owners FROM found GROUP BY v
+            SELECT v, count(DISTINCT coalesce(source, '')) AS owners FROM found GROUP BY v
         ),
         listed AS (
             SELECT doc_id, k, start, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS s
-            FROM found JOIN counts USING (v) WHERE k < 3 OR (owners <= 1 AND repositories <= 5)
+            FROM found JOIN counts USING (v) WHERE k < 3 OR owners <= 1
         ),
         per AS (
             SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,

@@ -2,24 +2,26 @@
 
 Three base kinds are found by patterns. Beside them the operator gathers generic
 credential-looking words (long, mixed letters and digits) and hashes every value. Over the
-corpus it counts, per hash, the distinct repositories (documents) and owners (sources)
-that hold it: a value that many owners have was copied from an example, one that stays with
-one owner looks live. Generic words that look live become spans of kind ``owned``; base
-spans stay whatever their count, and carry it.
+corpus it counts, per hash, the distinct repositories (texts of an owner, so that copies count once) and
+owners (sources) that hold it: a value that several owners have was copied from an example, one that
+stays with one owner looks live, in however many of its documents. Generic words that look live become
+spans of kind ``owned``; base spans stay whatever their count. All spans carry both counts.
 
-All of it is DataFrame code. Positions come from marking every match with a character
-that no pattern can match, cutting there and adding up lengths. Distinct owners are
-counted by grouping on hash and owner first, which combines within each task, so a value
-with a third of all rows leaves each task as one row per owner.
+All of it is DataFrame code. Every match is marked with a character that no pattern can match and the
+text cut there; only lengths and matches are passed on, one row each, and a running sum of the lengths
+of a document makes positions of them, so a text of any length and number of matches takes time in
+proportion. Distinct owners are counted by grouping on hash, owner and text first, which combines within
+each task, so a value with a third of all rows leaves each task as one row per text and owner.
 
 Defined results: null is the empty text. Rows without an owner share one unnamed owner.
-Repeated rows count as one repository, and each row gets its own result. Positions are code
-points, ends exclusive. Extra columns are not read.
+Repeated rows count as one repository, and each row gets its own result. A very long text is scanned
+whole; its spans are one list in the end. Positions are code points, ends exclusive. An empty table
+gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linehaul.llm.stage import staged
@@ -30,66 +32,67 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
-#: Generic words: runs of 20 to 200 of these characters with a digit, a small and a capital letter.
-GENERIC = r"[A-Za-z0-9+/_-]{20,}"
-GENERIC_LENGTH = (20, 200)
-#: A generic word looks live up to so many owners and repositories.
-LIVE_OWNERS, LIVE_REPOSITORIES = 1, 5
+#: Generic words: runs of 20 or more of these characters with a digit, a small and a capital letter.
+GENERIC = (r"[A-Za-z0-9+/_-]{20,}", 0, 20)
+#: A generic word looks live up to so many owners.
+LIVE_OWNERS = 1
 KINDS = ["assign", "access", "hex", "owned"]
 # Two private-use characters: no pattern matches either; the first is read as the second.
 _MARK, _OTHER = "\ue000", "\ue001"
-_SPAN = "array<struct<start: bigint, kind: int, stop: bigint, value: string>>"
+_CUTS = "array<struct<kind: int, at: int, size: bigint, value: string>>"
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Leftmost, non-overlapping matches whose group has the least length.
-
-    The match is put between marks, so the pieces at odd places are matches.
-    """
+def _cuts(text: Column, kind: int, pattern: str, group: int) -> Column:
+    """The text cut at leftmost, non-overlapping matches: lengths of all pieces and, at odd
+    places, which are the matches, their values."""
     pieces = F.split(F.regexp_replace(text, pattern, _MARK + "$0" + _MARK), _MARK, -1)
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("odd"), F.array().cast(_SPAN).alias("out"))
 
-    def step(state: Column, piece: Column) -> Column:
-        size = F.char_length(piece).cast("bigint")
-        value = F.regexp_extract(piece, pattern, group) if group else piece
-        span = F.struct(
-            state["at"].alias("start"), F.lit(kind).alias("kind"), (state["at"] + size).alias("stop"), value.alias("value")
+    def piece(p: Column, at: Column) -> Column:
+        value = F.regexp_extract(p, pattern, group) if group else p
+        return F.struct(
+            F.lit(kind).alias("kind"), at.alias("at"), F.char_length(p).cast("bigint").alias("size"), F.when(at % 2 == 1, value).alias("value")
         )
-        out = F.when(state["odd"], F.concat(state["out"], F.array(span))).otherwise(state["out"])
-        return F.struct((state["at"] + size).alias("at"), (~state["odd"]).alias("odd"), out.alias("out"))
 
-    found = F.filter(F.aggregate(pieces, begin, step, lambda s: s["out"]), lambda s: F.char_length(s["value"]) >= least)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), F.transform(pieces, piece)).otherwise(F.array().cast(_CUTS))
 
 
-def _mixed(value: Column) -> Column:
-    classes = [value.rlike(c) for c in ("[0-9]", "[a-z]", "[A-Z]")]
-    return (F.char_length(value) <= GENERIC_LENGTH[1]) & classes[0] & classes[1] & classes[2]
+def _kept(kind: Column, value: Column) -> Column:
+    """Whether a match counts, by its kind and value."""
+    long = F.char_length(value) >= F.array(*[F.lit(least) for _, _, least in (*BASE.values(), GENERIC)])[kind]
+    return long & ((kind < 3) | (value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")))
 
 
-def candidate_spans(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
-    """``(row, id, owner, base, generic)``: the spans of every document, values included."""
+def cut_texts(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
+    """``(doc, id, owner, text_hash, cuts)`` of every row; ``doc`` tells rows apart."""
     text = F.translate(F.coalesce(docs[text_col], F.lit("")), _MARK, _OTHER)
     rows = docs.select(
         docs[id_col].cast("long").alias("id"), docs[owner_col].cast("string").alias("owner"), text.alias("text")
     )
-    base = [_spans(F.col("text"), k, *BASE[name]) for k, name in enumerate(KINDS[:3])]
-    generic = F.filter(_spans(F.col("text"), 3, GENERIC, 0, GENERIC_LENGTH[0]), lambda s: _mixed(s["value"]))
-    out = rows.select("id", "owner", F.array_sort(F.concat(*base)).alias("base"), generic.alias("generic"))
-    apart = F.filter(
-        "generic",
-        lambda g: ~F.exists("base", lambda b: (b["start"] < g["stop"]) & (g["start"] < b["stop"])),
+    kinds = [*BASE.values(), GENERIC]
+    cuts = F.concat(*[_cuts(F.col("text"), k, pattern, group) for k, (pattern, group, _) in enumerate(kinds)])
+    return rows.select(
+        F.monotonically_increasing_id().alias("doc"), "id", "owner", F.xxhash64("text").alias("text_hash"), cuts.alias("cuts")
     )
-    return out.withColumn("generic", apart)
+
+
+def candidate_spans(texts: DataFrame) -> DataFrame:
+    """``(doc, owner, text_hash, start, kind, stop, value, value_hash)``: base spans, and generic words outside them."""
+    pieces = texts.select("doc", "owner", "text_hash", F.inline("cuts")).repartition("doc")
+    so_far = Window.partitionBy("doc", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = pieces.withColumn("stop", F.sum("size").over(so_far)).withColumn("start", F.col("stop") - F.col("size"))
+    found = pieces.where(F.col("value").isNotNull() & _kept(F.col("kind"), F.col("value")))
+    # In order of starts a base span overlaps a word if one before it ends within or after, or the next begins before its end.
+    left = Window.partitionBy("doc").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    right = Window.partitionBy("doc").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("kind") < 3
+    met = (F.max(F.when(base, F.col("stop"))).over(left) > F.col("start")) | (F.min(F.when(base, F.col("start"))).over(right) < F.col("stop"))
+    found = found.withColumn("met", F.coalesce(met, F.lit(False))).where(base | ~F.col("met"))
+    return found.select("doc", "owner", "text_hash", "start", "kind", "stop", "value", F.sha2("value", 256).alias("value_hash"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
     """``(value_hash, repositories, owners)`` of every candidate value of the corpus."""
-    values = spans.select(
-        "id", "owner", F.explode(F.array_distinct(F.transform(F.concat("base", "generic"), lambda s: s["value"]))).alias("value")
-    ).select(F.sha2("value", 256).alias("value_hash"), "owner", "id")
-    each = values.groupBy("value_hash", "owner", "id").agg(F.lit(1).alias("one"))
-    by_owner = each.groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
+    by_owner = spans.select("value_hash", "owner", "text_hash").distinct().groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("value_hash").agg(F.sum("n").alias("repositories"), F.count("*").alias("owners"))
 
 
@@ -98,20 +101,13 @@ def scan_secrets(
 ) -> DataFrame:
     """One row a document: ``id``, ``spans`` (start, kind, stop, value, repositories, owners,
     live) in order of start and kind; of the generic words only those that look live."""
-    found = staged(
-        candidate_spans(docs, id_col, text_col, owner_col).withColumn("doc", F.monotonically_increasing_id()),
-        "secret_spans",
-    )
-    counts = ownership(found)
-    each = found.select("doc", F.explode(F.concat("base", "generic")).alias("s")).select(
-        "doc", "s.*", F.sha2("s.value", 256).alias("value_hash")
-    )
-    live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
-    known = each.join(counts, "value_hash").withColumn("live", live).where("kind < 3 or live")
+    texts = staged(cut_texts(docs, id_col, text_col, owner_col), "secret_cuts")
+    spans = staged(candidate_spans(texts), "secret_spans")
+    known = spans.join(ownership(spans), "value_hash").withColumn("live", F.col("owners") <= LIVE_OWNERS).where("kind < 3 or live")
     listed = known.groupBy("doc").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "value", "repositories", "owners", "live"))).alias("spans")
     )
-    return found.select("doc", "id").join(listed, "doc", "left").select("id", "spans")
+    return texts.select("doc", "id").join(listed, "doc", "left").select("id", "spans")
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
