@@ -5,9 +5,11 @@ a frame. Outputs are written as Parquet and read again before the next stage sta
 a stage may remove what its predecessors staged. All stages but the last return the
 columns of ``documents``.
 
-Defined results: null and empty texts pass all filters and are packed as an end id. Rows
-without an id are kept by the near-duplicate stage; rows of one id leave it as one. Empty
-tables give empty results.
+Defined results: null and empty texts, and texts without words, pass all filters and are packed as
+they are. A document all of whose words stood in lines that earlier documents hold goes with those lines.
+Of near copies the row of the smallest id stays, rows without an id coming last; rows that share an id are
+documents of their own, told apart by their texts. Very long texts are worked on whole. Columns beside
+those of ``documents`` are carried along. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linehaul.functions.ids import with_objectid
 from linehaul.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from linehaul.llm.queries import word_tokenizer
 from linehaul.llm.stage import release, small_batches
@@ -34,9 +37,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that a document of a smaller id holds; ``n_chars`` follows."""
+    """Texts without lines that a document of a smaller id holds; ``n_chars`` follows. Documents
+    that are left without a word by it go."""
     release(small_batches(spark))
     kept = line_dedup.drop_repeated_lines(docs)
+    kept = kept.where((F.col("n_dropped") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     text = F.when(F.col("text").isNotNull(), F.col("kept_text")).alias("text")
     changed = {
         "text": text,
@@ -48,13 +53,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that of the smallest id."""
     release(small_batches(spark))
-    groups = jaccard.jaccard_components(docs, n_words=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = groups.groupBy("id").count().where("count > 1 and id is not null")
-    if again.isEmpty():
-        return rest
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).union(rest.where("doc_id is null"))
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    key, rows = "doc_id", docs
+    if not ids.where("n > 1 or doc_id is null").isEmpty():
+        # Ids that don't tell rows apart: number the rows in the order of ids and texts.
+        key = "row_number_of_stage"
+        rows = with_objectid(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")], name=key)
+    groups = jaccard.jaccard_components(rows, id_col=key, n_words=NEAR_WORDS, percent=NEAR_PERCENT)
+    gone = groups.where("id <> component").select(F.col("id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
