@@ -9,12 +9,12 @@ longest verbatim match up to the window and the range of places that have it. Lo
 matches are runs of windows on one diagonal. All words inside a matched window are hit.
 
 Test items are a query set that stands against all documents. They are taken in blocks
-of at most ``BLOCK_BYTES`` of text, so what a task holds does not grow with them; hits of
-several blocks are put together per document.
+of at most ``BLOCK_BYTES`` of text, one after the other, so what a task or the driver holds does not grow with
+them; what a block finds is written down and put together per document with what the next one finds.
 
 Defined results: null texts and texts without words have no hits; null items, or items
 without words, have no windows. An item that occurs twice counts once by its id. Repeated
-rows are judged alike. Extra columns are not read, or kept by :func:`clean_documents`.
+rows are judged alike. A very long text is a shard of its own. Extra columns are not read, or kept by :func:`clean_documents`.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linehaul.llm.hashing import Words, chain, utf8
+from linehaul.llm.stage import small_batches, staged
 
 #: Bytes that end a word: ASCII but digits and letters.
 NO_WORD = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
@@ -233,6 +234,7 @@ def benchmark_hits(
     """One row a document: ``row`` (a struct of the kept columns), ``n_words``, hit ``spans``
     (word numbers, end exclusive, merged), ``items`` (ids as sorted strings) and ``longest``
     (words of the longest verbatim match that has a whole window, else 0)."""
+    small_batches(docs.sparkSession)
     row = F.struct(*[docs[c] for c in keep]).alias("row")
     out = docs.select(row, docs[text_col].alias("text")).withColumns(
         {
@@ -243,7 +245,12 @@ def benchmark_hits(
         }
     )
     kind = out.select("row").schema["row"].dataType.simpleString()
+    shared = None
     for block in _blocks(tests, test_id, test_text):
+        if shared is not None:
+            # What earlier blocks found is written down, so that one block at a time is held by tasks and driver.
+            out = staged(out, "hits_so_far")
+            shared.unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(block)
         out = out.mapInArrow(_judge(shared, window), f"row {kind}, text string, {_FOUND_SQL}")
     return out.drop("text")

@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linehaul.llm.shards import against
 from linehaul.llm.stage import staged
 
 #: Candidates of a shard and anchors of a block, about; candidates bounded at once within a task.
@@ -285,50 +286,6 @@ def _negatives(k: int, low: int, high: int) -> Callable[[Shard, pd.DataFrame], p
     return search
 
 
-def _streamed(search: Callable[[Shard, pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Sorted rows of shards: the candidates of a length are held while blocks of anchors pass."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at: tuple | None = None
-        waiting: list[pd.DataFrame] = []
-        shard: Shard | None = None
-
-        def done() -> Iterator[pd.DataFrame]:
-            """The rows that wait are complete: candidates become the shard, anchors are searched for."""
-            nonlocal shard
-            rows = pd.concat(waiting, ignore_index=True) if waiting else pd.DataFrame()
-            waiting.clear()
-            if at and at[2] < 0:
-                shard = Shard(rows)
-            elif at and shard is not None:
-                found = search(shard, rows)
-                if len(found):
-                    yield found
-
-        for frame in frames:
-            for key, part in frame.groupby(["shard", "size", "block"], sort=True):
-                if key != at:
-                    yield from done()
-                    if at and key[:2] != at[:2]:
-                        shard = None
-                    at = key
-                waiting.append(part)
-        yield from done()
-
-    return run
-
-
-def _against(rows: DataFrame, anchors: DataFrame, shards: int, search, schema: str) -> DataFrame:
-    """Every block of anchors against every shard; candidates sort before blocks."""
-    stand_in = {"block": -1, "place": 0, "parent": -1, "edge": 0}
-    none = {c: F.lit(stand_in.get(c)).cast(t).alias(c) for c, t in anchors.dtypes if c not in rows.columns}
-    base = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), *[none.get(c, F.col(c)) for c in anchors.columns])
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
-    every = base.union(anchors.select(each, *anchors.columns))
-    dealt = every.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "size", "block", "place")
-    return dealt.mapInPandas(_streamed(search), schema)
-
-
 def hard_negatives(
     vectors: DataFrame,
     anchors: Column,
@@ -349,13 +306,13 @@ def hard_negatives(
     trees = staged(anchor_trees(rows.sparkSession, rows.where(anchors)), "trees")
     shards = -(-rows.count() // SHARD_ROWS) or 1
 
-    found = _against(rows, trees, shards, _positives(n_positives), _POSITIVES)
+    found = against(rows, trees, shards, Shard, _positives(n_positives), _POSITIVES)
     first = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("score"), "id"))
     positives = found.withColumn("nth", first).where(F.col("nth") <= n_positives)
     listed = positives.groupBy(F.col("anchor").alias("id")).agg(F.collect_list(F.struct("id", "score")).alias("positives"))
     asked = staged(trees.join(listed, "id", "left").withColumn("positives", F.coalesce("positives", F.array())), "asked")
 
-    found = _against(rows, asked, shards, _negatives(n_negatives, low, high), _NEGATIVES)
+    found = against(rows, asked, shards, Shard, _negatives(n_negatives, low, high), _NEGATIVES)
     place = F.row_number().over(Window.partitionBy("anchor", "positive").orderBy(F.desc("score"), "id"))
     return (
         found.withColumn("rank", place)

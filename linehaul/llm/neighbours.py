@@ -11,8 +11,8 @@ so the threshold lies ``SPREAD`` standard deviations below the mean of its colli
 the search of a shard ends when its k-th verified distance is within the radius, or when
 all windows cover all values. No cap is set on collisions or candidates.
 
-The query set stands against all rows in blocks: a task gets one shard and one block of
-queries, both of bounded size. Per query and shard at most k rows leave a task.
+A task holds one shard, whose arrays are made once, and the blocks of queries stream past it; both are of
+bounded size. Per query and shard at most k rows leave a task.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
 take no part, nor do rows without an id. Vectors are compared with those of their own
@@ -30,15 +30,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linehaul.llm.shards import against
+from linehaul.llm.stage import small_batches
+
 #: Vectors of a shard and queries of a block, about.
 SHARD_ROWS, BLOCK_ROWS = 8192, 4096
-PROJECTIONS = 64
+PROJECTIONS = 128
 #: Half a window's width and the growth of the radius from level to level.
-WIDTH, GROWTH = 1.5, 1.2
+WIDTH, GROWTH = 1.5, 1.03
 #: Vectors of a shard whose distances set a query's first radius: the k-th of theirs over this.
-SAMPLE, START = 256, 1.5
+SAMPLE, START = 256, 1.15
 #: Standard deviations between the mean collisions of a vector at the radius and the threshold.
-SPREAD = 2.0
+SPREAD = 1.5
 SEED = 7
 
 _OUT = "query_id bigint, vec_id bigint, score double"
@@ -58,6 +61,8 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
+        #: True distances computed so far.
+        self.verified = 0
         self.directions = _directions(vectors.shape[1])
         values = vectors @ self.directions
         self.order = np.argsort(values, axis=0, kind="stable").T.copy()
@@ -95,6 +100,7 @@ class Shard:
             new = np.flatnonzero(~checked & ((hits >= self.threshold) | whole))
             if len(new):
                 checked[new] = True
+                self.verified += len(new)
                 far = np.sqrt(((self.vectors[new] - vector) ** 2).sum(1))
                 ids, scores = np.concatenate([ids, self.ids[new]]), np.concatenate([scores, far])
                 ids, scores = _smallest(ids, scores, k)
@@ -111,18 +117,19 @@ def _smallest(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray,
     return ids[order], scores[order]
 
 
-def _search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(base) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        shard = Shard(base["id"].to_numpy(), np.stack(base["vector"].to_list()).astype(np.float64))
+def _shard(rows: pd.DataFrame) -> Shard:
+    return Shard(rows["id"].to_numpy(), np.stack(rows["vector"].to_list()).astype(np.float64))
+
+
+def _search(k: int) -> Callable[[Shard, pd.DataFrame], pd.DataFrame]:
+    def search(shard: Shard, queries: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for q, vector in zip(queries["id"], queries["vector"]):
             ids, scores = shard.nearest(q, np.asarray(vector, np.float64), k)
             parts.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}))
         return pd.concat(parts)
 
-    return run
+    return search
 
 
 def usable(vector: Column) -> Column:
@@ -140,20 +147,16 @@ def nearest(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of every row that ``queries`` (a
     condition on the column ``id``) names, its own id left out."""
+    small_batches(vectors.sparkSession)
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False)))
     rows = rows.withColumn("size", F.size("vector"))
     asked = rows.where(queries)
     counts = rows.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
     shards, blocks = -(-counts["n"] // SHARD_ROWS) or 1, -(-counts["q"] // BLOCK_ROWS) or 1
-    keys = ["size", "shard", "block"]
-    base = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
-    )
-    found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search(k), _OUT)
+    block = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)).alias("block")
+    asked = asked.select("id", "size", "vector", block, F.lit(0).alias("place"))
+    found = against(rows, asked, shards, _shard, _search(k), _OUT)
     one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return one.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

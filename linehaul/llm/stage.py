@@ -37,7 +37,7 @@ def staged(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFram
 
     The table stays until :func:`release`, since a returned frame may read it at any time.
     """
-    spark = df.sparkSession
+    spark = small_batches(df.sparkSession)
     path = new_work_folder(spark, purpose)
     df.write.parquet(path, compression=compression)
     _written.append(path)
@@ -63,6 +63,7 @@ def release(spark: SparkSession) -> None:
 
 def keyed(docs: DataFrame, id_col: str, *others: str) -> DataFrame:
     """``(id, …)`` of the named columns only, so that extra columns can't clash."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), *[docs[c].alias(c) for c in others])
 
 

@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most rules that are broadcast, some hundred bytes each.
+from linehaul.llm.stage import small_batches, staged
+
+#: Most rules of one trie, some hundred bytes each; more rules make more tries.
 MAX_RULES = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -121,18 +123,39 @@ def judge_urls(
     pages: DataFrame, rules: list[Rule], keep: list[str], url_col: str = "url", default: str = "allow"
 ) -> DataFrame:
     """``row`` (a struct of the kept columns), ``host``, ``path``, ``rule`` and ``verdict``."""
+    small_batches(pages.sparkSession)
+    # A rule of a longer host wins, then that of a longer path, then a block.
     rules = sorted(set(rules))
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are broadcast")
-    shared = pages.sparkSession.sparkContext.broadcast(Trie(rules))
     host, path = host_and_path(pages[url_col])
     row = F.struct(*[pages[c] for c in keep]).alias("row")
-    parts = pages.select(row, host.alias("host"), path.alias("path"))
-    kind = parts.schema["row"].dataType.simpleString()
-    out = parts.mapInArrow(_matched(shared), f"row {kind}, host string, path string, rule string, verdict string")
+    out = pages.select(row, host.alias("host"), path.alias("path"))
+    kind = out.schema["row"].dataType.simpleString()
+    schema = f"row {kind}, host string, path string, rule string, verdict string"
+    best = None
+    for k in range(0, len(rules) or 1, MAX_RULES):
+        shared = pages.sparkSession.sparkContext.broadcast(Trie(rules[k : k + MAX_RULES]))
+        if k:  # one trie at a time in a task
+            out = staged(out.select("row", "host", "path", best.alias("best")), "judged")
+            inner = out.select(F.struct("row", "best").alias("row"), "host", "path")
+            kind = inner.schema["row"].dataType.simpleString()
+            found = inner.mapInArrow(_matched(shared), f"row {kind}, host string, path string, rule string, verdict string")
+            out = found.select("row.row", "host", "path", "rule", "verdict", F.col("row.best").alias("before"))
+            best = F.greatest("before", _rank())
+        else:
+            out = out.mapInArrow(_matched(shared), schema)
+            best = _rank()
+    if len(rules) > MAX_RULES:
+        out = out.select("row", "host", "path", best["rule"].alias("rule"), best["verdict"].alias("verdict"))
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
+def _rank() -> Column:
+    """A found rule in the order of precedence, null without one."""
+    cut = F.locate("/", F.concat("rule", F.lit("/")))
+    order = [cut.alias("host_size"), F.char_length("rule").alias("size"), F.col("verdict").alias("verdict"), F.col("rule").alias("rule")]
+    return F.when(F.col("rule").isNotNull(), F.struct(*order))
+
+
 def allowed_pages(pages: DataFrame, rules: list[Rule], **how) -> DataFrame:
     """The pages that are not blocked, with their columns as they were."""
     return judge_urls(pages, rules, pages.columns, **how).where("verdict = 'allow'").select("row.*")

@@ -239,6 +239,50 @@ def test_neighbours_of_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.col("id") % 100 == 0).collect() == []
 
 
+def test_rules_beyond_one_trie(spark, monkeypatch):
+    rng = random.Random(4)
+    hosts = ["com", "a.com", "b.a.com", "net", "x.net"]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(hosts), rng.choice(["", "/", "/p", "/p/", "/p/q", "/p/q/"])) for _ in range(40)]
+    pages = [(k, f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/p', '/p/q', '/p/q/r', '/z'])}") for k in range(200)]
+    df = spark.createDataFrame(pages + [(200, None), (201, "x" * 100_000), (202, "http://a.com/p/" + "q" * 100_000)], "page_id long, url string")
+    want = {tuple(r) for r in urls.verdict_report(df, rules).collect()}
+    monkeypatch.setattr(urls, "MAX_RULES", 7)
+    assert {tuple(r) for r in urls.verdict_report(df, rules).collect()} == want and len(want) == 203
+    assert {r[4] for r in want} == {"allow", "block"}
+
+
+def test_items_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(r.choices(words, k=14))) for k in range(12)]
+    rows = [(k, " ".join([*r.choices(words, k=5), *items[k % 12][1].split()[: 8 + k % 6], *items[(k + 5) % 12][1].split()[2:]])) for k in range(40)]
+    tests = spark.createDataFrame(items, ITEMS)
+    got = {x.doc_id: (x.n_words, x.n_hit, x.n_items) for x in decontaminate.contamination_report(make(spark, rows), tests).collect()}
+    want = {i: (n, hit, len(found)) for i, (n, hit, found) in plain.benchmark_hits(rows, items).items()}
+    assert got == want and max(n for _, _, n in want.values()) > 1
+
+
+def test_few_vectors_are_verified(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, vectors = table.vec_id.to_numpy(), np.stack(table.embedding).astype(float)
+    shard = neighbours.Shard(ids, vectors)
+    found = 0
+    for q in range(0, 2000, 40):
+        far = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        far[q] = np.inf
+        found += len(set(shard.nearest(ids[q], vectors[q], 10)[0]) & set(ids[np.lexsort([ids, far])[:10]]))
+    assert found >= 0.95 * 500 and shard.verified <= 0.3 * 50 * 2000
+
+
+def test_columns_of_other_meaning_beside_vectors(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clash = df.withColumns({c: F.lit("other") for c in ("id", "vector", "size", "shard", "block", "place", "score", "rank")})
+    got = [sorted(map(tuple, neighbours.nearest(d, F.col("id") % 10 == 0, k=4).collect())) for d in (df, clash)]
+    assert got[0] == got[1] and len(got[0]) == 24
+
+
 def test_secrets_by_owner(spark):
     live, copied = "Zx9Qw8Er7Ty6Ui5Op4As3", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
     texts = [(1, f"a {live} b", "s1"), (2, f"{copied}", "s1"), (3, f"x {copied}", "s2"), (4, "PassWord: 'hunter22'", None)]
