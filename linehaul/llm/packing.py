@@ -9,7 +9,9 @@ border leaves one record per window. Only the last sequence can be short.
 
 Words between ASCII white space are tokenized once and kept in a table of bounded size,
 since the tokenizer's normaliser and pre-tokenizer never look across white space. (This
-holds for tokenizers that lower-case, drop white space and part letters from signs.)
+holds for tokenizers that lower-case, drop white space and part letters from signs.) New
+words of letters alone are encoded many at once, as one text, where the model marks ends
+of words; signs after such a word are looked up apart from it.
 
 Defined results: null and empty texts are the end id alone. Repeated rows and null ids
 are documents like others. An empty table has no pieces. Extra columns are not read.
@@ -34,8 +36,10 @@ from linehaul.llm.stage import keyed, staged
 #: Words kept with their ids in a Python worker (some 200 bytes each), and the longest of
 #: them in bytes.
 KEPT_WORDS, KEPT_BYTES = 1_500_000, 32
-#: Cuts lower-cased text at white space, and after an ASCII letter where a sign follows.
-_WORDS = re.compile(rb"[a-z\x80-\xff]*[a-z](?=[.,!?;:|\s])|\S+")
+#: A plain word, small letters up to U+00FF that no normaliser of that kind changes, and the ASCII signs after it.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)").fullmatch
+#: Plain words encoded as one text.
+JOINED = 512
 #: Tasks of one block of prefix sums.
 BLOCK = 1024
 #: Bytes of an id: unsigned, little-endian.
@@ -47,29 +51,69 @@ class WordIds:
 
     def __init__(self, tokenizer_file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.known: dict[bytes, bytes] = {}
+        # Plain words need no normaliser, and no pattern to part letters from signs.
+        self.plain = Tokenizer.from_file(tokenizer_file)
+        self.plain.normalizer = None
+        bytes_alone = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_alone])
+        end = getattr(self.plain.model, "end_of_word_suffix", None)
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.ends[[i for t, i in vocabulary.items() if end and t.endswith(end)]] = True
+        # Asked for, not assumed: a tokenizer of another kind encodes every word by itself.
+        letters = [chr(c).encode() for c in range(256) if _PLAIN(chr(c).encode())]
+        letters.append(b"".join(letters))
+        self.joins = self._joined(letters) == self._encode(letters)
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
 
+    def _joined(self, words: list[bytes]) -> dict[bytes, bytes] | None:
+        """Ids of plain words encoded as one text, cut after the ids that end a word; none if those are not as many."""
+        text = b" ".join(words).decode()
+        ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self.ends[ids]) + 1) * WIDTH).tolist()
+        raw = ids.tobytes()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends)} if len(ends) == len(words) else None
+
+    def _learn(self, words: set[bytes]) -> list[bytes]:
+        """Put words that the table lacks into it; signs after a plain word are encoded apart from it.
+        Those too long to stay are returned."""
+        known = self.known
+        cut = {w: m.groups() for w in words if self.joins and (m := _PLAIN(w))}
+        plain = [w for w in {w for w, _ in cut.values()} if w not in known]
+        others = [w for w in words.difference(cut).union(s for _, s in cut.values() if s) if w not in known]
+        known.update(self._encode(others))
+        for k in range(0, len(plain), JOINED):
+            part = plain[k : k + JOINED]
+            known.update(self._joined(part) or self._encode(part))
+        for w, (stem, signs) in cut.items():
+            if signs:
+                known[w] = known[stem] + known[signs]
+        return [w for w in {*words, *plain, *others} if len(w) > KEPT_BYTES]
+
     def many(self, texts: list[bytes]) -> list[bytes]:
         # A special token must not come about by lower-casing.
-        words = [t.split() if b"<|" in t else _WORDS.findall(t.lower()) for t in texts]
+        words = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         known = self.known
-        every = set().union(*words)
-        if len(known) + len(every) > KEPT_WORDS:
+        out = [list(map(known.get, w)) for w in words]
+        holes = [[k for k, ids in enumerate(o) if ids is None] for o in out]
+        new = {w[k] for w, h in zip(words, holes) for k in h}
+        if len(known) + len(new) > KEPT_WORDS:
             known.clear()
-        known.update(self._encode([w for w in every if w not in known]))
-        out = [b"".join(map(known.__getitem__, w)) for w in words]
-        for w in every:
-            if len(w) > KEPT_BYTES:
-                del known[w]
-        return out
+        long = self._learn(new)
+        for w, o, h in zip(words, out, holes):
+            for k in h:
+                o[k] = known[w[k]]
+        for w in long:
+            del known[w]
+        return [b"".join(o) for o in out]
 
     def __call__(self, text: bytes) -> bytes:
         return self.many([text])[0]

@@ -229,6 +229,39 @@ def test_words_are_cached_without_changing_ids():
         assert ids_of(t.encode()) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def test_plain_words_are_encoded_many_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    r = random.Random(12)
+    small = "abcdefghijklmnopqrstuvwxyzßàäéîñöøüÿ"
+    text = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    words = [text(small, r.randrange(1, 50)) + text("!,.:;'\"-$&)|>", r.choice([0, 0, 1, 2])) for _ in range(3000)]
+    odd = [text(small + "ÀÉ×÷ªµºĳſ\u0308\u00a0\u00ad中1'.<|ABC", r.randrange(1, 12)) for _ in range(600)]
+    ids_of, tokenizer = packing.WordIds(queries.word_tokenizer()), Tokenizer.from_file(queries.word_tokenizer())
+    want = lambda t: b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(t, add_special_tokens=False).ids)
+    alone, encode = [], ids_of._encode
+    monkeypatch.setattr(ids_of, "_encode", lambda new: alone.extend(new) or encode(new))
+    texts = [" ".join(words[k : k + 300]) for k in range(0, 3000, 300)]
+    assert ids_of.many([t.encode() for t in texts]) == [want(t) for t in texts]
+    # Only the runs of signs.
+    assert len(alone) <= 13 + 13**2
+    monkeypatch.setattr(packing, "KEPT_WORDS", 500)
+    texts = [" ".join(r.choices(words + odd, k=200)) for _ in range(40)] + odd
+    for k in range(0, len(texts), 7):
+        assert ids_of.many([t.encode() for t in texts[k : k + 7]]) == [want(t) for t in texts[k : k + 7]]
+    assert all(len(w) <= packing.KEPT_BYTES for w in ids_of.known)
+
+
+def test_other_tokenizers_encode_words_alone(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"a": 0, "b": 1, ",": 2, "[UNK]": 3}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    tokenizer.save(str(tmp_path / "words.json"))
+    ids_of = packing.WordIds(str(tmp_path / "words.json"))
+    assert np.frombuffer(ids_of(b"a b, ab b"), "<u4").tolist() == [0, 1, 2, 3, 1]
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0])]
     rows += [(6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (8, [0.0, 1.0]), (9, []), (2, [1.0, 0.0])]
